@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, decontaminate, secrets
 
 QUERIES = {
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
