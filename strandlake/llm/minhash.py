@@ -7,9 +7,11 @@ zeros of the smallest hash in the bucket, and the mantissa bits that follow (Yu
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
-from .common import LOWER
+from .common import ASCII_SPACE, LOWER
 
 SHINGLE = 5
 #: log2 of the number of buckets.
@@ -31,77 +33,117 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_TABLES.get(name, ())) < n:
-        _TABLES[name] = _powers(base, max(n, 1 << 16))
-    return _TABLES[name][:n]
-
-
 _IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_IS_SPACE[list(ASCII_SPACE)] = True
+_BYTE = mix(np.arange(256, dtype=np.uint64))
+_STEP = mix(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
+#: Bytes hashed at once; longer batches are cut between texts, longer texts between words.
+_CHUNK = 1 << 20
+_POWER = np.full(_CHUNK + 1, _P, np.uint64)
+_POWER[0] = 1
+np.multiply.accumulate(_POWER, out=_POWER)
+_INVERSE = np.full(_CHUNK + 1, _P_INV, np.uint64)
+_INVERSE[0] = 1
+np.multiply.accumulate(_INVERSE, out=_INVERSE)
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text whose A-Z are lower-cased, in order."""
-    if not raw:
-        return np.empty(0, np.uint64)
-    b = np.frombuffer(raw, np.uint8)
+
+def _hash_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word in at most _CHUNK bytes (more only if one word is longer)."""
     gap = _IS_SPACE[b]
     edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.empty(0, np.uint64)
-    # Two polynomial hashes of different bytes tables by prefix sums, mixed into one.
-    power = _table("power", _P, len(b))
-    inverse = _table("inverse", _P_INV, len(b))
+    if len(b) > _CHUNK:  # a giant word: fold it piece by piece
+        out = np.empty(len(start), np.uint64)
+        for i, (x, y) in enumerate(zip(start.tolist(), end.tolist())):
+            h = np.zeros(1, np.uint64)
+            for z in range(x, y, _CHUNK):
+                part = b[z : min(y, z + _CHUNK)]
+                own = np.array([(_BYTE[part] * _POWER[: len(part)]).sum(dtype=np.uint64)])
+                h = own if z == x else mix(h) ^ own
+            out[i] = mix(h ^ np.array([y - x], np.uint64) * np.uint64(0xD6E8FEB86659FD93))[0]
+        return out, start
     total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * power, out=total[1:])
-    own = (total[end] - total[start]) * inverse[start]
-    return mix(own ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum(_BYTE[b] * _POWER[: len(b)], out=total[1:])
+    own = (total[end] - total[start]) * _INVERSE[start]
+    return mix(own ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64))
-_STEP = mix(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of lower-cased bytes, and where it starts.
+
+    A word's hash is a polynomial of its bytes (by prefix sums), mixed with its length, so it does
+    not depend on what stands around the word.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    if len(b) <= _CHUNK:
+        return _hash_words(b)
+    hashes, starts, a = [], [], 0
+    while a < len(b):
+        z = a + _CHUNK
+        if z < len(b):
+            last = np.flatnonzero(_IS_SPACE[b[a:z]])
+            if len(last):
+                z = a + int(last[-1]) + 1
+            else:
+                step, more = z, np.array([], int)
+                while step < len(b) and not len(more):
+                    more = np.flatnonzero(_IS_SPACE[b[step : step + _CHUNK]])
+                    step += 0 if len(more) else _CHUNK
+                z = step + int(more[0]) + 1 if len(more) else len(b)
+        h, s = _hash_words(b[a:z])
+        hashes.append(h)
+        starts.append(s + a)
+        a = z
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; the words of all are hashed together."""
+    raws = [(t or "").encode().translate(LOWER) for t in texts]
+    edges = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    words, start = word_hashes(b" ".join(raws))
+    first = np.searchsorted(start, edges)
+    n = len(words)
+    runs = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE if len(runs) else 0):
+        runs = _add(runs, words[k : n - SHINGLE + 1 + k], k)
+    runs = mix(runs + np.uint64(SHINGLE))
+    out = []
+    for a, b in zip(first.tolist(), first.tolist()[1:]):
+        if b - a >= SHINGLE:
+            own = np.sort(runs[a : b - SHINGLE + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        elif b > a:
+            h = np.zeros(1, np.uint64)
+            for k in range(b - a):
+                h = _add(h, words[a + k : a + k + 1], k)
+            out.append(mix(h + np.uint64(b - a)))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    w = word_hashes((text or "").encode().translate(LOWER))
-    n = len(w)
-    if not n:
-        return w
-    width = min(SHINGLE, n)
-    out = np.zeros(n - width + 1, np.uint64)
-    for k in range(width):
-        out = (out ^ mix(w[k : n - width + 1 + k])) * _STEP[k]
-        out ^= out >> np.uint64(29)
-    out = mix(out + np.uint64(width))
-    out.sort()
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The registers of a set (BUCKETS of uint16; EMPTY where no hash fell)."""
-    least = np.full(BUCKETS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    at = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    rest = hashes << np.uint64(BUCKET_BITS)
-    # The hashes are sorted, so the first of each bucket is its smallest.
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-    least[at[first]] = rest[first]
-    filled = np.zeros(BUCKETS, bool)
-    filled[at[first]] = True
+def _add(h: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ mix(w)) * _STEP[k]
+    return h ^ (h >> np.uint64(29))
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The registers of each set: rows of BUCKETS uint16, EMPTY where no hash fell."""
+    size = np.array([len(s) for s in sets], np.int64)
+    out = np.full((len(sets), BUCKETS), EMPTY, np.uint16)
+    h = np.concatenate([*sets, np.empty(0, np.uint64)])
+    if not len(h):
+        return out
+    at = np.repeat(np.arange(len(sets)), size) * BUCKETS + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    # The hashes of a set are sorted, so the first of each bucket is its smallest.
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    least = h[first] << np.uint64(BUCKET_BITS)
     zeros = leading_zeros(least)
-    mantissa = (least << np.minimum(zeros + 1, 63).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    return np.where(filled, (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16), EMPTY)
+    mantissa = (least << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
+    out.reshape(-1)[at[first]] = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
+    return out
 
 
 def leading_zeros(x: np.ndarray) -> np.ndarray:
@@ -127,20 +169,31 @@ _PROBES = _probes()
 def densify(registers: np.ndarray) -> np.ndarray:
     """Fills empty registers from others in an order fixed per bucket (Shrivastava 2017).
 
-    Two sets agree in a filled register with probability about their Jaccard similarity, however
-    small they are.  A register that is all empty (no shingles) stays EMPTY.
+    Two sets then agree in a register with probability about their Jaccard similarity, however
+    small they are.  Rows that are all empty (no shingles) stay so.
     """
-    full = registers != EMPTY
-    if full.all() or not full.any():
-        return registers.astype(np.uint32)
     out = registers.astype(np.uint32)
-    empty = np.flatnonzero(~full)
-    order = _PROBES[empty]
-    src = order[np.arange(len(empty)), np.argmax(full[order], axis=1)]
-    out[empty] = registers[src].astype(np.uint32) | ((src.astype(np.uint32) + 1) << np.uint32(16))
+    full = registers != EMPTY
+    doc, empty = np.nonzero(~full & full.any(axis=1)[:, None])
+    for a in range(0, len(doc), 1 << 15):
+        d, e = doc[a : a + (1 << 15)], empty[a : a + (1 << 15)]
+        order = _PROBES[e]
+        src = order[np.arange(len(d)), np.argmax(full[d[:, None], order], axis=1)]
+        out[d, e] = registers[d, src].astype(np.uint32) | ((src.astype(np.uint32) + 1) << np.uint32(16))
     return out
 
 
+def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per band of ``rows`` densified registers."""
+    dense = densify(registers).astype(np.uint64)
+    bands = BUCKETS // rows
+    out = np.tile(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(dense), 1))
+    for k in range(rows):
+        out = mix(out ^ mix(dense[:, k : bands * rows : rows] + np.uint64(k + 1)))
+    return out.view(np.int64)
+
+
+@lru_cache(maxsize=256)
 def collision_rate(n: float, m: float) -> float:
     """Expected share of buckets in which two disjoint sets of sizes n and m agree by chance.
 
@@ -162,13 +215,26 @@ def collision_rate(n: float, m: float) -> float:
     return total
 
 
-def jaccard_estimate(x: np.ndarray, y: np.ndarray, n, m) -> np.ndarray:
-    """Collision-corrected estimates for rows of registers x and y of sets of sizes n and m."""
-    same = ((x == y) & (x != EMPTY)).sum(axis=1)
-    either = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
+def jaccard_bounds(registers: np.ndarray, size: np.ndarray, sigmas: float = 4.5) -> np.ndarray:
+    """For all pairs of rows: the collision-corrected estimate plus ``sigmas`` standard errors.
+
+    The estimate takes from the agreeing registers those expected by chance; a pair whose bound is
+    below a threshold can be left out before verification.
+    """
+    m = len(registers)
+    same = np.zeros((m, m), np.int32)
+    both_empty = np.zeros((m, m), np.int32)
+    for k in range(BUCKETS):
+        col = registers[:, k]
+        none = col == EMPTY
+        eq = col[:, None] == col[None, :]
+        both = none[:, None] & none[None, :]
+        same += eq & ~both
+        both_empty += both
+    either = np.maximum(BUCKETS - both_empty, 1)
     # The chance rate is least sharp in its arguments: powers of two are near enough.
-    size = np.exp2(np.round(np.log2(np.maximum(1, np.maximum(n, m)))))
-    by_size = {s: collision_rate(s, s) * BUCKETS for s in np.unique(size).tolist()}
-    chance = np.array([by_size[s] for s in size.tolist()])
-    either = np.maximum(either, 1)
-    return np.clip((same - chance) / np.maximum(either - chance, 1e-9), 0.0, 1.0)
+    level = np.round(np.log2(np.maximum(size, 1))).astype(np.int64)
+    rate = np.array([collision_rate(2.0**x, 2.0**x) * BUCKETS for x in range(int(level.max()) + 1)])
+    chance = rate[np.maximum(level[:, None], level[None, :])]
+    estimate = np.clip((same - chance) / np.maximum(either - chance, 1e-9), 0.0, 1.0)
+    return estimate + sigmas * np.sqrt(0.25 / either)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, secrets
+from . import bpe, decontaminate, neardup, secrets
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_hyperminhash": neardup.op4_hyperminhash,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
