@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, neardup, secrets
+from . import bpe, decontaminate, html_text, neardup, secrets, toxicity, vectors
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_hyperminhash": neardup.op4_hyperminhash,
+    "op6_cross_polytope": vectors.op6_cross_polytope,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_html_text": html_text.op8_html_text,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
