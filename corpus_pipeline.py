@@ -1,23 +1,54 @@
-"""The corpus pipeline: each stage keeps, cuts or encodes documents and hands on a table."""
+"""The corpus pipeline: each stage keeps, cuts or encodes documents and hands on a table.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents.  Run one after another, each stage is written as Parquet in the shared
+folder and read again, so a lost executor repeats one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.llm import bpe, decontaminate, neardup, secrets, toxicity
+from strandlake.llm.common import table, work_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents of the corpus and drops those that score as toxic."""
+    return toxicity.keep_clean(docs, toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return neardup.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
 
-from strandlake.llm import bpe
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced, and n_chars follows."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of the ids and of what they decode to."""
     return bpe.encode_documents(docs, bpe.production_ranks(), token_ids=True)
 
 
-STAGES = [("byte_bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("near_copies", drop_copies), ("decontamination", drop_leaks), ("secrets", hide_secrets), ("byte_bpe", encode)]
 
+#: SQL cannot express the scorer, the sketches or the encoder; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(at := work_path(spark, f"pipeline-{name}"))
+        docs = spark.read.parquet(at)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -178,6 +178,25 @@ def leak_report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     )
 
 
+def keep_uncontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, unchanged; one pass per block."""
+    at = docs.schema.names.index(text)
+
+    def step(shared):
+        def run(batches):
+            matcher = shared.value
+            for whole in batches:
+                for batch in slices(whole, text):
+                    yield batch.filter(pa.array([not matcher.scan(t)[1] for t in strings(batch.column(at))], pa.bool_()))
+
+        return run
+
+    out = docs
+    for block in benchmark_blocks(bench, item, item_text, block_bytes):
+        out = out.mapInArrow(step(docs.sparkSession.sparkContext.broadcast(Matcher(block, window))), docs.schema)
+    return out
+
+
 def brute_force(docs, items, window: int = WINDOW):
     """Straight from the definition, for tests: rows of (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
     import re

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, neardup, secrets, toxicity, vectors
+from . import bpe, decontaminate, html_text, licences, neardup, secrets, token_counts, toxicity, url_filter, vectors
 
 QUERIES = {
+    "op1_token_rollup": token_counts.op1_token_rollup,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_hyperminhash": neardup.op4_hyperminhash,
+    "op5_licence_scan": licences.op5_licence_scan,
     "op6_cross_polytope": vectors.op6_cross_polytope,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_html_text": html_text.op8_html_text,
@@ -14,4 +17,8 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_token_rollup": token_counts.ORACLE,
+    "op2_url_filter": url_filter.ORACLE,
+    "op5_licence_scan": licences.oracle(),
+}
