@@ -50,14 +50,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word its row of word vectors, its n-gram rows one after another, and their counts."""
+    parts = [_features(vocabulary[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)] or [_features([])]
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join([b"<%b>" % w for w in vocabulary]), np.uint8).astype(np.uint64)
     size = np.array([len(w) + 2 for w in vocabulary], np.int64)
     start = np.cumsum(size) - size
     powers = np.cumprod(np.concatenate(([1], np.full(max(int(size.max(initial=1)) - 1, 0), 0x9E3779B97F4A7C15, np.uint64))).astype(np.uint64))
     place = np.arange(len(raw)) - np.repeat(start, size)
     word = np.add.reduceat((raw + np.uint64(1)) * powers[place], start) if len(start) else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(vocabulary)), size)
-    rows, owners = [], []
+    owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), size)
+    rows, owners = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
     for n in GRAMS:
         m = len(raw) - n + 1
         if m <= 0:
@@ -66,11 +71,11 @@ def features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         for k in range(n):
             h = h * np.uint64(0x100000001B3) ^ raw[k : m + k]
         inside = owner[:m] == owner[n - 1 :]
-        rows.append((_mix(h[inside]) % np.uint64(GRAM_ROWS)).astype(np.int64))
+        rows.append((_mix(h[inside]) % np.uint64(GRAM_ROWS)).astype(np.int32))
         owners.append(owner[:m][inside])
-    gram, own = np.concatenate([*rows, np.empty(0, np.int64)]), np.concatenate([*owners, np.empty(0, np.int64)])
+    gram, own = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return (_mix(word) % np.uint64(WORD_ROWS)).astype(np.int64), gram[order], np.bincount(own, minlength=len(vocabulary))
+    return (_mix(word) % np.uint64(WORD_ROWS)).astype(np.int32), gram[order], np.bincount(own, minlength=len(vocabulary))
 
 
 def window_starts(n: int) -> list[int]:
@@ -329,8 +334,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
 
 
 def held_out(key: str):
-    """True for rows that training never sees."""
-    return F.crc32(F.col(key).cast("string")) % 3 == 1
+    """True for rows that training never sees; false for a null key, which it does not see either."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], list[int]]:
