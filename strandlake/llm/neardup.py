@@ -14,9 +14,9 @@
 At a similarity of 0.75 a pair shares no band with probability (1 - 0.75^4)^32 < 6e-6.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and link with
-nothing; rows that repeat a doc_id give a row each; a null doc_id is never a component's name
-unless no other is reachable; an empty table gives an empty result; only the named columns are
-read.
+nothing; rows that repeat a doc_id give a row each, and are documents of their own if their texts
+differ; a null doc_id names a component only if no other is reachable; an empty table gives an
+empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -56,24 +56,27 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "key": batch.column(0),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if x else None for s, x in zip(sets, some)], pa.binary()),
+                    "set_key": pa.array(map(_set_key, sets), pa.binary()),
                     "bands": pa.array([b if x else None for b, x in zip(bands, some)], pa.list_(pa.int64())),
                 })
 
     return docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
-def hash_sets(docs: DataFrame) -> DataFrame:
-    """(cls, text) to (cls, n, hashes, registers) as packed bytes."""
+def _set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def hash_sets(texts: DataFrame) -> DataFrame:
+    """(text) to (cls, n, hashes, registers): the set's key, size, packed hashes and sketch."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 2_000_000):
-                sets = M.shingle_sets(batch.column(1).to_pylist())
-                registers = M.sketches(sets)
-                yield pa.RecordBatch.from_pydict({"cls": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary()), "registers": pa.array([r.tobytes() for r in registers], pa.binary())})
+                sets = [s for s in M.shingle_sets(batch.column(0).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(map(_set_key, sets), pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary()), "registers": pa.array([r.tobytes() for r in M.sketches(sets)], pa.binary())})
 
-    return docs.mapInArrow(run, f"cls {docs.schema['cls'].dataType.simpleString()}, n long, hashes binary, registers binary")
+    return texts.mapInArrow(run, "cls binary, n long, hashes binary, registers binary")
 
 
 def intersections(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -130,7 +133,8 @@ def judge(group: pa.Table, least: tuple[int, int] = LEAST) -> list[tuple[object,
     low, high = np.minimum.outer(n, n), np.maximum.outer(n, n)
     wanted = (least[1] * low >= least[0] * high) & (M.jaccard_bounds(registers, n) >= least[0] / least[1])
     if "comp" in group.column_names:  # what is connected already needs no judgement
-        comp = np.unique(np.array(group.column("comp").to_pylist(), object).astype(str), return_inverse=True)[1]
+        number: dict = {}
+        comp = np.array([number.setdefault(c, len(number)) for c in group.column("comp").to_pylist()])
         wanted &= comp[:, None] != comp[None, :]
     np.fill_diagonal(wanted, False)
     if not wanted.any():
@@ -156,21 +160,24 @@ def _judged(members: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
 
 def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns key, n_shingles, component_id and kept of each row of ``docs``."""
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
+    return _groups(docs, key, text).select(F.col("key").alias(key), "n_shingles", "component_id", "kept")
+
+
+def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, set_key, n_shingles, component_id and kept of each row; classes are named by their set_key."""
+    checkpoint_dir(docs.sparkSession)
     sig = cut(signatures(docs, key, text))
-    classes = sig.where("set_key is not null and key is not null").groupBy("set_key").agg(F.min("key").alias("cls"))
-    reps = classes.join(sig.select("key", "set_key", "n_shingles", "bands"), (F.col("cls") == F.col("key")) & classes["set_key"].eqNullSafe(sig["set_key"])).dropDuplicates(["cls"]).select("cls", "n_shingles", "bands")
-    rows = cut(reps.select("cls", "n_shingles", F.explode("bands").alias("bucket")))
-    bucket = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("cls").alias("least"), F.sum("n_shingles").alias("total"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sign"))
+    classes = cut(sig.where("set_key is not null").groupBy(F.col("set_key").alias("cls")).agg(F.min("key").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    rows = classes.select("cls", "n_shingles", F.explode("bands").alias("bucket"))
+    bucket = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("cls").alias("first"), F.sum("n_shingles").alias("total"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sign"))
     # Buckets of the same members are one bucket.
-    bucket = bucket.where("members > 1").groupBy("members", "least", "total", "sign").agg(F.min("bucket").alias("bucket")).drop("sign")
+    bucket = bucket.where("members > 1").groupBy("members", "first", "total", "sign").agg(F.min("bucket").alias("bucket")).drop("sign")
     bucket = bucket.withColumn("chunks", F.greatest(F.ceil(F.col("members") / CHUNK_ROWS), F.ceil(F.col("total") / CHUNK_HASHES)).cast("int"))
-    members = cut(rows.join(bucket.select("bucket", "chunks"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")))
-    wanted = members.select("cls").distinct()
-    n_wanted = wanted.count()
-    src = docs.where(docs[key].isNotNull()).select(docs[key].alias("cls"), docs[text].cast("string").alias("text"))
-    sets = cut(hash_sets(src.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "cls", "left_semi")).dropDuplicates(["cls"]))
+    members = cut(rows.join(bucket.select("bucket", "chunks"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")).select("cls", "bucket", "chunk", "chunks"))
+    wanted = cut(classes.select("cls", "least").join(members.select("cls").distinct(), "cls", "left_semi").select("least").distinct())
+    small = wanted.count() <= BROADCAST_IDS
+    src = docs.select(docs[key].alias("least"), docs[text].cast("string").alias("text")).join((F.broadcast(wanted) if small else wanted).withColumnRenamed("least", "w"), F.col("least").eqNullSafe(F.col("w")), "left_semi")
+    sets = cut(hash_sets(src.select("text")).dropDuplicates(["cls"]))
 
     large = members.where("chunks > 1")
     rank = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("cls"))
@@ -187,21 +194,38 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         pairs = each.select("bucket", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "cls", "comp")
         more = _judged(pairs, sets, ["bucket", "p", "q"])
         comp = cut(components(edges.unionByName(more)))
-    merged = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("set_key", F.coalesce("component", "cls").alias("component_id"))
+    # Only classes with a link need the smallest key of their component.
+    linked = comp.withColumnRenamed("id", "cls").join(classes.select("cls", "least"), "cls")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.select("cls", "component").join(smallest, "component").select("cls", "component_id")
+    merged = classes.select("cls", "least").join(linked, "cls", "left").select(F.col("cls").alias("set_key"), F.coalesce("component_id", "least").alias("component_id"))
     out = sig.select("key", "n_shingles", "set_key").join(merged, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("key", "set_key", "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, the one with the smallest key."""
-    groups = cut(find_groups(docs, key, text))
-    gone = groups.where("not kept").select(key)
+    """The rows of ``docs`` that stay: one of each group, the one with the smallest key.
+
+    Rows of one key are told apart by their sets, but only where a key occurs more than once.
+    """
+    groups = cut(_groups(docs, key, text))
+    again = cut(groups.where("n_shingles > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias(key)))
+    gone = groups.where("not kept").select(F.col("key").alias(key))
     small = gone.count() <= BROADCAST_IDS
     out = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
-    again = groups.where("kept and n_shingles > 0").groupBy(key).count().where("count > 1")
-    if not again.isEmpty():  # a row said more than once: only these are looked at again
-        twice = docs.join(again.select(key), key, "left_semi").dropDuplicates([key])
-        out = out.join(again.select(key), key, "left_anti").unionByName(twice)
+    if not again.isEmpty():
+        at = docs.schema.names.index(text)
+
+        def run(batches):
+            for batch in batches:
+                names = list(map(_set_key, M.shingle_sets(batch.column(at).to_pylist())))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], names=[*batch.schema.names, "__set"])
+
+        some = docs.join(again, key, "left_semi").select(*docs.columns)
+        some = some.mapInArrow(run, some.withColumn("__set", F.lit(None).cast("binary")).schema)
+        kept = groups.where("kept").select(F.col("key").alias("__key"), F.col("set_key").alias("__s")).distinct()
+        stay = some.where("__set is null").unionByName(some.where("__set is not null").dropDuplicates([key, "__set"]).join(kept, (F.col(key).eqNullSafe(F.col("__key"))) & (F.col("__set") == F.col("__s")), "left_semi"))
+        out = out.join(again, key, "left_anti").unionByName(stay.drop("__set"))
     return out.select(*docs.columns)
 
 

@@ -17,7 +17,7 @@ def near_copies(seed, groups=30):
                 w[g.randrange(len(w))] = f"zz{g.randint(0, 99)}"
             t = g.choice([" ", "\n", "  "]).join(w)
             docs.append((len(docs) * 7 % 10007, t.upper() if g.random() < 0.3 else t))
-    return docs + [(90001, None), (90002, ""), (90003, " \n"), (90004, "x"), (90005, "X"), (90005, "x")]
+    return docs + [(90001, None), (90002, ""), (90003, " \n"), (90004, "x"), (90005, "X"), (90005, "x"), (90006, "x"), (90006, "one two three four five six"), (90007, "One two three four five six")]
 
 
 @pytest.mark.parametrize("chunk, anchors, small", [(1024, 16, 200_000), (3, 1, 0)])
@@ -33,9 +33,9 @@ def test_groups_against_brute_force(spark, monkeypatch, chunk, anchors, small):
 def test_one_of_each_group_stays(spark):
     docs = near_copies(8, 10)
     df = spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, source string")
-    kept = {d for d, _, _, k in neardup.brute_force(docs) if k}
-    got = [r.doc_id for r in neardup.keep_one(df.unionByName(df.where("length(text) > 2"))).collect()]
-    assert sorted(got) == sorted([*kept])
+    kept = sorted(d for d, _, _, k in neardup.brute_force(docs) if k)
+    got = [(r.doc_id, r.text) for r in neardup.keep_one(df.unionByName(df.where("length(text) > 2"))).collect()]
+    assert sorted(d for d, _ in got) == kept and (90006, "one two three four five six") in got and (90006, "x") not in got
     assert neardup.find_groups(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).columns == df.columns
 
 
