@@ -14,7 +14,7 @@ from ..operators.cluster import cluster_rows
 from ..operators.filters import diagonal_scores
 from ..operators.graph import connected_components
 from ..options import ClusterOptions, SearchOptions
-from ..sources.reports import plain_lines
+from ..sources.reports import cluster_sequences, json_lines, plain_lines
 from .fixtures import POSITIONS_SQL, positions, structures
 from .search import cluster, search
 
@@ -423,3 +423,16 @@ def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete-linkage clusters of the nucleic chains, with representatives and sizes."""
     s = structures(spark, sf_dir).where("mol_type = 'NA'")
     return cluster_rows(cluster(s, ClusterOptions(threshold=0.3), SearchOptions(pre_score=0.1).at_speed(13)))
+
+
+@query()
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON report of the same search, a document per hit."""
+    return json_lines(aligned_hits(spark, sf_dir).drop("rank"), "tm_harmonic", 20, second=True)
+
+
+@query()
+def cluster_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of the nucleic chains by single-linkage cluster, the representative first."""
+    s = structures(spark, sf_dir).where("mol_type = 'NA'")
+    return cluster_sequences(cluster(s, ClusterOptions(threshold=0.3, linkage="single"), SearchOptions(pre_score=0.1).at_speed(13)), s)

@@ -120,8 +120,8 @@ def cif_events(text: str, options: ReadOptions):
 def structures(name: str, content: bytes, options: ReadOptions) -> list[Structure]:
     """The structures of one file.
 
-    ter 0 reads on to the end of the file, 1 stops at the end of a model, 2 at the end of a model
-    or a TER, 3 also at a change of chain.  split 1 starts a structure at each model, 2 at each
+    ter 0 reads on to the end of the file, 1 stops at the end of a model, 2 also at a change of
+    chain, 3 also at a TER.  split 1 starts a structure at each model, 2 at each
     chain.
     """
     text = content.decode("latin-1")
@@ -130,13 +130,13 @@ def structures(name: str, content: bytes, options: ReadOptions) -> list[Structur
     ended = False
     for kind, atom in events:
         if kind != "atom":
-            if out and (kind == "end" and options.ter >= 1 or kind == "ter" and options.ter >= 2):
+            if out and (kind == "end" and options.ter >= 1 or kind == "ter" and options.ter == 3):
                 break
             ended = ended or kind == "end"
             continue
         last = out[-1].atoms[-1] if out else None
         if last:
-            if options.ter == 3 and atom.chain != last.chain:
+            if options.ter >= 2 and atom.chain != last.chain:
                 break
             fresh = options.split >= 1 and (atom.model != last.model or ended) or options.split == 2 and atom.chain != last.chain
         if not last or fresh:

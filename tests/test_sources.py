@@ -28,6 +28,9 @@ def test_segmentation():
     two = pdb(20) + "\nTER\n" + pdb(20, chain="B") + "\nEND"
     assert [len(s.atoms) for s in structures("a.pdb", two.encode(), ReadOptions())] == [20]
     assert [(s.chain, len(s.atoms)) for s in structures("a.pdb", two.encode(), ReadOptions(ter=0, split=2))] == [("A", 20), ("B", 20)]
+    assert [len(x.atoms) for x in structures("a.pdb", two.encode(), ReadOptions(ter=2))] == [20]
+    assert [len(x.atoms) for x in structures("a.pdb", (pdb(20) + "\nTER\n" + atom(21)).encode(), ReadOptions(ter=2))] == [21]
+    assert [len(x.atoms) for x in structures("a.pdb", two.encode(), ReadOptions(ter=1))] == [40]
     models = "MODEL 1\n" + pdb(20) + "\nENDMDL\nMODEL 2\n" + pdb(20) + "\nENDMDL"
     assert [s.model for s in structures("a.pdb", models.encode(), ReadOptions(ter=0, split=1))] == ["1", "2"]
     assert len(structures("a.pdb", models.encode(), ReadOptions())) == 1
