@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, licences, neardup, secrets, token_counts, toxicity, url_filter, vectors
+from . import bpe, checks, decontaminate, html_text, licences, neardup, secrets, token_counts, toxicity, url_filter, vectors
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -20,5 +20,8 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_token_rollup": token_counts.ORACLE,
     "op2_url_filter": url_filter.ORACLE,
+    "op4_hyperminhash": checks.GROUPS,
     "op5_licence_scan": licences.oracle(),
+    "op6_cross_polytope": checks.LINKS,
+    "op9_decontamination": checks.LEAKS,
 }
