@@ -29,6 +29,10 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda off: F.get("embedding", 3 * F.col("k") + off).cast("double")
     raw = e.select(F.expr("vec_id div 4").alias("sid"), "vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(21))).alias("k"))
     raw = raw.select("sid", ((F.col("vec_id") % 4) * 21 + F.col("k")).cast("int").alias("i"), at(-3).alias("a"), at(-2).alias("b"), at(-1).alias("c")).where(F.col("i") <= 84 - (F.col("sid") % 5) * 12)
+    # Dealt once, by structure, for the windows and all that follows: as many tasks as the cluster runs,
+    # since the pairs that follow cost far more than the bytes suggest.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    raw = raw.repartition(tasks, "sid")
     norm = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
     w = Window.partitionBy("sid").orderBy("i")
     total = lambda c: F.round(F.sum(3.8 * F.col(c) / norm).over(w.rowsBetween(Window.unboundedPreceding, 0)), 3)

@@ -52,6 +52,14 @@ sspos as (
 _SET = "q.sid % 100 = 0"
 
 
+#: Positions of the query set that may be broadcast; a larger set joins by a shuffle.
+MOST_POSITIONS = 500_000
+
+
+def _broadcast(q: DataFrame) -> DataFrame:
+    return F.broadcast(q) if q.count() <= MOST_POSITIONS else q
+
+
 def _sides(p: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Positions of the query set against those of every reference of the same type, at equal places.
 
@@ -60,7 +68,7 @@ def _sides(p: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     cols = ("sid", "i", "x", "y", "z", "mol", "len", "res", *extra)
     q = p.where(F.col("sid") % 100 == 0).select(*[F.col(c).alias(f"q{c}") for c in cols])
     r = p.select(*[F.col(c).alias(f"r{c}") for c in cols])
-    return q.join(r, (F.col("qmol") == F.col("rmol")) & (F.col("qi") == F.col("ri")))
+    return r.join(_broadcast(q), (F.col("qmol") == F.col("rmol")) & (F.col("qi") == F.col("ri")))
 
 
 def d2():
@@ -257,7 +265,7 @@ def best_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("sid", "i", "x", "y", "z", "mol", "len")
     q = p.where(F.col("sid") % 100 == 0).select(*[F.col(c).alias(f"q{c}") for c in cols]).withColumn("off", F.explode(F.sequence(F.lit(-10), F.lit(10)))).withColumn("ri", F.col("qi") - F.col("off"))
     r = p.select(*[F.col(c).alias(f"r{c}") for c in cols])
-    j = q.join(r, (F.col("qmol") == F.col("rmol")) & (q["ri"] == r["ri"]))
+    j = r.join(_broadcast(q), (F.col("qmol") == F.col("rmol")) & (q["ri"] == r["ri"]))
     score = F.sum(1 / (1 + d2() / F.pow(S.d0(F.least("qlen", "rlen"), F.col("qmol")), 2)))
     o = j.groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id"), "off").agg(F.round(score, 6).alias("score"))
     return o.groupBy("query_id", "ref_id").agg(F.max("score").alias("score"), A.best(F.col("off"), F.struct("score", (-F.col("off")).alias("n"))).alias("off"))
@@ -335,15 +343,16 @@ def residue_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each position of the query set the nearest one of every reference, exactly.
 
-    Partial aggregation keeps one candidate a group before the shuffle.
+    Distance (in millionths) and place are packed into one long, so the minimum is a hash aggregate
+    that keeps one candidate a group before the shuffle, without a sort.
     """
     p = positions(spark, sf_dir)
     cols = ("sid", "i", "x", "y", "z", "mol")
     q = p.where(F.col("sid") % 100 == 0).select(*[F.col(c).alias(f"q{c}") for c in cols])
     r = p.select(*[F.col(c).alias(f"r{c}") for c in cols])
-    near = F.min(F.struct(F.round(d2(), 6).alias("d2"), F.col("ri").alias("nearest")))
-    g = q.join(r, F.col("qmol") == F.col("rmol")).groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id"), F.col("qi").alias("i")).agg(near.alias("m"))
-    return g.select("query_id", "ref_id", "i", F.col("m")["nearest"].alias("nearest"), F.col("m")["d2"].alias("d2"))
+    near = F.min(F.round(d2() * 1e6).cast("long") * 100_000 + F.col("ri"))
+    g = r.join(_broadcast(q), F.col("qmol") == F.col("rmol")).groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id"), F.col("qi").alias("i")).agg(near.alias("m"))
+    return g.select("query_id", "ref_id", "i", (F.col("m") % 100_000).cast("int").alias("nearest"), (F.expr("m div 100000") / 1e6).alias("d2"))
 
 
 @query(POSITIONS_SQL + "select sid, i, round(0.36 * x + 0.48 * y - 0.8 * z + 1, 6) as tx, round(-0.8 * x + 0.6 * y + 2, 6) as ty, round(0.48 * x + 0.64 * y + 0.6 * z - 3, 6) as tz, round(x, 6) as bx, round(y, 6) as by, round(z, 6) as bz from pos")
