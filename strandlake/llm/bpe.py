@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices, strings, table
+from .common import map_arrow, slices, strings, table
 
 #: Parameter: rank file of the production tokenizer, found through the public_tokenizers package.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 #: Distinct pre-tokens whose ids a worker remembers; older ones are forgotten, never wrong.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 #: The contractions that the public pattern lists (fixed values).
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -274,7 +274,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, key: str = "doc_id", text
                 yield pa.RecordBatch.from_pydict(out)
 
     src = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return src.mapInArrow(run, T.StructType(fields)).withColumnRenamed("key", key)
+    return map_arrow(src, run, T.StructType(fields)).withColumnRenamed("key", key)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,42 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Rows of an Arrow batch at most; long texts make larger batches than rows suggest.
+ARROW_ROWS = 2000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` that holds worker memory down.
+
+    Batches get at most ARROW_ROWS rows (a setting of the session, lowered here if it is larger), and
+    a worker that ends a task gives unused memory back, since it lives on to run other stages.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow and of the C library to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, chars: int = 8_000_000):
     """Cuts a batch so that each part holds about so many bytes of ``column`` (one row at least).
 

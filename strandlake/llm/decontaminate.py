@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_ALNUM, cut, slices, strings, table
+from .common import cut, LOWER_ALNUM, map_arrow, slices, strings, table
 
 #: Words in a window.
 WINDOW = 10
@@ -166,7 +166,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str
     out = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     shared = [spark.sparkContext.broadcast(Matcher(b, window)) for b in benchmark_blocks(bench, item, item_text, block_bytes)]
     for k, s in enumerate(shared):
-        out = out.mapInArrow(step(s, k == len(shared) - 1), schema)
+        out = map_arrow(out, step(s, k == len(shared) - 1), schema)
     return out.drop("text").withColumnRenamed("key", key)
 
 
@@ -193,7 +193,7 @@ def keep_uncontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", i
 
     out = docs
     for block in benchmark_blocks(bench, item, item_text, block_bytes):
-        out = out.mapInArrow(step(docs.sparkSession.sparkContext.broadcast(Matcher(block, window))), docs.schema)
+        out = map_arrow(out, step(docs.sparkSession.sparkContext.broadcast(Matcher(block, window))), docs.schema)
     return out
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import minhash as M
-from .common import checkpoint_dir, components, cut, slices, table
+from .common import checkpoint_dir, components, cut, map_arrow, slices, table
 
 ROWS = 4
 #: The threshold as a fraction: links need LEAST[1] * intersection >= LEAST[0] * union.
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     "bands": pa.array([b if x else None for b, x in zip(bands, some)], pa.list_(pa.int64())),
                 })
 
-    return docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_shingles long, set_key binary, bands array<long>")
+    return map_arrow(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")), run, f"key {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
 def _set_key(s: np.ndarray) -> bytes | None:
@@ -76,7 +76,7 @@ def hash_sets(texts: DataFrame) -> DataFrame:
                 sets = [s for s in M.shingle_sets(batch.column(0).to_pylist()) if len(s)]
                 yield pa.RecordBatch.from_pydict({"cls": pa.array(map(_set_key, sets), pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary()), "registers": pa.array([r.tobytes() for r in M.sketches(sets)], pa.binary())})
 
-    return texts.mapInArrow(run, "cls binary, n long, hashes binary, registers binary")
+    return map_arrow(texts, run, "cls binary, n long, hashes binary, registers binary")
 
 
 def intersections(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], names=[*batch.schema.names, "__set"])
 
         some = docs.join(again, key, "left_semi").select(*docs.columns)
-        some = some.mapInArrow(run, some.withColumn("__set", F.lit(None).cast("binary")).schema)
+        some = map_arrow(some, run, some.withColumn("__set", F.lit(None).cast("binary")).schema)
         kept = groups.where("kept").select(F.col("key").alias("__key"), F.col("set_key").alias("__s")).distinct()
         stay = some.where("__set is null").unionByName(some.where("__set is not null").dropDuplicates([key, "__set"]).join(kept, (F.col(key).eqNullSafe(F.col("__key"))) & (F.col("__set") == F.col("__s")), "left_semi"))
         out = out.join(again, key, "left_anti").unionByName(stay.drop("__set"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, strings, table
+from .common import map_arrow, slices, strings, table
 
 #: The base kinds, in the order that breaks ties of start.
 KINDS = ("assign", "access", "hex", "guess")
@@ -161,7 +161,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least
                 found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, least_bits)] for t in strings(batch.column(1))]
                 yield pa.RecordBatch.from_pydict({"key": batch.column(0), "spans": pa.array(found, arrow)})
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return map_arrow(docs.select(docs[key].alias("key"), docs[text].alias("text")), run, schema).withColumnRenamed("key", key)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_bits: float = LEAST_BITS) -> DataFrame:
@@ -192,7 +192,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_bi
                 col = batch.column(at)
                 yield pa.RecordBatch.from_arrays([pa.array([clean(x) for x in col.to_pylist()], col.type) if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

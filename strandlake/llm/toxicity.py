@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ALNUM, slices, strings, table
+from .common import LOWER_ALNUM, map_arrow, slices, strings, table
 
 WINDOW, STRIDE = 32, 24
 #: Score from which a text counts as toxic.
@@ -35,7 +35,7 @@ DIM, HIDDEN, ATTEND = 12, 8, 8
 GRAMS = (3, 4, 5)
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 17
 #: Distinct words whose inputs a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 STEPS, BATCH = 240, 64
 
 
@@ -253,8 +253,8 @@ class Scorer:
         order = sorted(range(len(windows)), key=lambda k: windows[k][1] < WINDOW)
         full = sum(n == WINDOW for _, n in windows)
         for lo, hi, masked in ((0, full, False), (full, len(order), True)):
-            for a in range(lo, hi, 4096):
-                part = order[a : min(hi, a + 4096)]
+            for a in range(lo, hi, 2048):
+                part = order[a : min(hi, a + 2048)]
                 index, mask = _pack([windows[k] for k in part], ids)
                 np.maximum.at(out, [owner[k] for k in part], self.net.score(self.known, index, mask if masked else None))
         return out
@@ -369,12 +369,12 @@ def score_documents(docs: DataFrame, net: Network | None, key: str = "doc_id", t
     def run(batches):
         scorer = Scorer(shared.value) if shared.value else None
         for whole in batches:
-            for batch in slices(whole, "text", 1_500_000):
+            for batch in slices(whole, "text", 750_000):
                 texts = strings(batch.column(1))
                 out = scorer.scores(texts) if scorer else np.zeros(len(texts))
                 yield pa.RecordBatch.from_pydict({"key": batch.column(0), "score": pa.array(out.astype(np.float64))})
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+    return map_arrow(docs.select(docs[key].alias("key"), docs[text].alias("text")), run, f"key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network | None:
@@ -389,11 +389,11 @@ def keep_clean(docs: DataFrame, net: Network | None, text: str = "text") -> Data
     def run(batches):
         scorer = Scorer(shared.value) if shared.value else None
         for whole in batches:
-            for batch in slices(whole, text, 1_500_000):
+            for batch in slices(whole, text, 750_000):
                 score = scorer.scores(strings(batch.column(at))) if scorer else np.zeros(batch.num_rows)
                 yield batch.filter(pa.array(score < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, map_arrow, table
 from .minhash import mix
 from .neardup import forest
 
@@ -110,7 +110,7 @@ def hashed(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
                 name = [None if x is None else hashlib.blake2b(f"{lab}:".encode() + (x + 0.0).tobytes(), digest_size=16).digest() for x, lab in zip(rows, labels)]
                 yield pa.RecordBatch.from_pydict({"key": batch.column(0), "label": pa.array([None if x is None else str(x) for x in labels], pa.string()), "vkey": pa.array(name, pa.binary()), "vec": pa.array([None if x is None else x.tobytes() for x in rows], pa.binary()), "codes": pa.array(own, pa.list_(pa.int64()))})
 
-    return vectors.select(vectors[key].alias("key"), vectors[vector].alias("v"), vectors[label].alias("l")).mapInArrow(run, f"key {kind}, label string, vkey binary, vec binary, codes array<long>")
+    return map_arrow(vectors.select(vectors[key].alias("key"), vectors[vector].alias("v"), vectors[label].alias("l")), run, f"key {kind}, label string, vkey binary, vec binary, codes array<long>")
 
 
 def judge(group: pa.Table, least: float) -> pa.Table:
