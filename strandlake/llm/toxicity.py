@@ -1,9 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Each word enters as the sum of a hashed word vector and the mean of its hashed character n-gram
-vectors.  The network reads windows of ``WINDOW`` words that overlap by ``WINDOW - STRIDE``;
-attention pools its states into one score a window, and a text's score is the greatest of its
-windows', so one abusive passage in a long text counts.  Every word of every text is in a window.
+vectors.  The network reads a window of ``WINDOW`` words at every word; attention pools its states
+into one score a window, and a text's score is the greatest of its windows', so one abusive
+passage in a long text counts, wherever it stands.
 
 Training uses a bounded sample (``SAMPLE_EACH`` rows of either label, ``SAMPLE_BYTES`` of text at
 most, chosen by a hash of the key) of labelled rows whose crc32(key as text) mod 3 is not 1.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_ALNUM, map_arrow, slices, strings, table
 
-WINDOW, STRIDE = 32, 24
+WINDOW = 32
+#: Windows that are scored at once; their states stay in a core's cache.
+BLOCK = 1024
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
 #: Parameters: bounds of the training sample.
@@ -78,11 +80,9 @@ def _features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return (_mix(word) % np.uint64(WORD_ROWS)).astype(np.int32), gram[order], np.bincount(own, minlength=len(vocabulary))
 
 
-def window_starts(n: int) -> list[int]:
-    """Starts of the windows of a text of n words; the last one ends with the text."""
-    if n <= WINDOW:
-        return [0]
-    return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+def window_starts(n: int) -> range:
+    """Starts of the windows of a text of n words: every word from which a whole window is left."""
+    return range(max(1, n - WINDOW + 1))
 
 
 def _sigmoid(x):
@@ -156,6 +156,46 @@ class Network:
         b = self._run(projected["b"][index[::-1]], None if mask is None else mask[::-1], self.p["Ub"])[::-1]
         return _sigmoid(self._pool(np.concatenate([f, b], axis=2), mask)[3])
 
+    def scan(self, projected: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """Scores of the whole windows at each word of ids, by the same arithmetic as ``score``.
+
+        Neighbouring windows read the same columns, so a step of a block of windows is a slice.
+        """
+        H, p = HIDDEN, self.p
+        out = np.empty(max(0, len(ids) - WINDOW + 1), np.float32)
+        U = {d: np.ascontiguousarray(p["U" + d].T, np.float32) for d in "fb"}
+        A = np.ascontiguousarray(p["A"].T)
+        for lo in range(0, len(out), BLOCK):
+            n = min(BLOCK, len(out) - lo)
+            both = np.empty((WINDOW, 2 * H, n), np.float32)
+            for d, order, rows in (("f", range(WINDOW), slice(0, H)), ("b", range(WINDOW - 1, -1, -1), slice(H, 2 * H))):
+                x = np.ascontiguousarray(projected[d][ids[lo : lo + n + WINDOW - 1]].T, np.float32)
+                h = np.zeros((H, n), np.float32)
+                for t in order:
+                    u = U[d] @ h
+                    at = x[:, t : t + n]
+                    zr = u[: 2 * H]
+                    zr += at[: 2 * H]
+                    np.negative(zr, out=zr)
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    new = u[2 * H :]
+                    new *= zr[H:]
+                    new += at[2 * H :]
+                    np.tanh(new, out=new)
+                    h = h - new
+                    h *= zr[:H]
+                    h += new
+                    both[t, rows] = h
+            s = A @ both
+            np.tanh(s, out=s)
+            e = p["v"] @ s
+            e -= e.max(axis=0)
+            np.exp(e, out=e)
+            out[lo : lo + n] = _sigmoid((e * (p["o"] @ both)).sum(axis=0) / e.sum(axis=0) + p["q"][0])
+        return out
+
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.p["W" + d] + self.p["c" + d] for d in "fb"}
 
@@ -240,23 +280,19 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The greatest window score of each text."""
         cut = [words(t) for t in texts]
-        at, windows, owner = 0, [], []
-        for i, w in enumerate(cut):
-            starts = window_starts(len(w))
-            windows += [(at + s, min(WINDOW, len(w))) for s in starts]
-            owner += [i] * len(starts)
-            at += len(w)
         ids = self._rows([w for c in cut for w in c])
         if not self.used:
             self._rows([b""])
         out = np.zeros(len(texts))
-        order = sorted(range(len(windows)), key=lambda k: windows[k][1] < WINDOW)
-        full = sum(n == WINDOW for _, n in windows)
-        for lo, hi, masked in ((0, full, False), (full, len(order), True)):
-            for a in range(lo, hi, 2048):
-                part = order[a : min(hi, a + 2048)]
-                index, mask = _pack([windows[k] for k in part], ids)
-                np.maximum.at(out, [owner[k] for k in part], self.net.score(self.known, index, mask if masked else None))
+        size = np.array([len(c) for c in cut], np.int64)
+        begin = np.cumsum(size) - size
+        whole, short = np.flatnonzero(size >= WINDOW), np.flatnonzero(size < WINDOW)
+        every = self.net.scan(self.known, ids)
+        for i in whole:
+            out[i] = every[begin[i] : begin[i] + size[i] - WINDOW + 1].max()
+        for a in range(0, len(short), 2048):
+            part = short[a : a + 2048]
+            out[part] = self.net.score(self.known, *_pack(list(zip(begin[part], size[part])), ids))
         return out
 
 
@@ -289,24 +325,25 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     lexical = net.inputs(list(vocabulary))[:, 0]
     ids = np.concatenate([*docs, np.empty(0, np.int64)])
     begin = np.cumsum([0, *map(len, docs)])
-    windows = [[(int(begin[i]) + s, min(WINDOW, len(d))) for s in window_starts(len(d))] for i, d in enumerate(docs)]
-    running = np.concatenate(([0.0], np.cumsum(np.maximum(lexical[ids], 0))))
-    worst = [max(w, key=lambda s: running[s[0] + s[1]] - running[s[0]]) for w in windows]
+    many = [len(window_starts(len(d))) for d in docs]
+    window = lambda i, s: (int(begin[i]) + int(s), min(WINDOW, len(docs[i])))
+    running = np.concatenate(([0.0], np.cumsum(np.maximum(lexical[ids], 0), dtype=np.float64)))
+    worst = []
+    for i, d in enumerate(docs):
+        a, n = begin[i], min(WINDOW, len(d))
+        worst.append(window(i, np.argmax(running[a + n : a + n + many[i]] - running[a : a + many[i]])))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     speed = {"word": np.full(WORD_ROWS, 1e-6, np.float32), "gram": np.full(GRAM_ROWS, 1e-6, np.float32)}
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     for step in range(1, STEPS + 1):
         if step == STEPS // 2:  # look for each text's most suspect window again, with what is learnt
             proj = net.project(net.inputs(list(vocabulary)))
-            flat = [(i, s) for i in range(len(docs)) for s in windows[i]]
-            best = np.full(len(docs), -1.0)
-            for a in range(0, len(flat), 4096):
-                part = flat[a : a + 4096]
-                for (i, s), v in zip(part, net.score(proj, *_pack([s for _, s in part], ids)).tolist()):
-                    if v > best[i]:
-                        best[i], worst[i] = v, s
+            every = net.scan(proj, ids)
+            for i, d in enumerate(docs):
+                if len(d) > WINDOW:
+                    worst[i] = window(i, np.argmax(every[begin[i] : begin[i] + many[i]]))
         pick = np.concatenate([g.choice(toxic, BATCH // 2), g.choice(clean, BATCH // 2)])
-        chosen = [worst[i] if y[i] or g.random() < 0.6 else windows[i][g.integers(len(windows[i]))] for i in pick]
+        chosen = [worst[i] if y[i] or g.random() < 0.6 else window(i, g.integers(many[i])) for i in pick]
         index, mask = _pack(chosen, ids)
         used, inverse = np.unique(index, return_inverse=True)
         own = [gram[ends[i] - count[i] : ends[i]] for i in used] if len(ids) else []

@@ -164,6 +164,17 @@ def test_every_word_is_in_a_window():
         assert covered == set(range(n))
 
 
+def test_a_window_starts_at_every_word():
+    net = toxicity.train(*toxic_corpus(1, 60))
+    w = " ".join(toxic_corpus(4, 12)[0]).split()[:300]
+    for n in (5, 31, 32, 33, 57, 300):
+        alone = [toxicity.Scorer(net).scores([" ".join(w[a : min(a + 32, n)])])[0] for a in range(max(1, n - 31))]
+        index, mask = toxicity._pack([(0, min(n, 32))], np.arange(n))
+        first = net.score(net.project(net.inputs([x.encode() for x in w[:n]])), index, mask)[0]
+        assert toxicity.Scorer(net).scores([" ".join(w[:n])])[0] == pytest.approx(max(alone), abs=1e-5)
+        assert alone[0] == pytest.approx(first, abs=1e-5)
+
+
 def test_toxicity_rows(spark):
     texts, labels = toxic_corpus(3, 90)
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(500, None, "x"), (None, "idiot", "x")], "doc_id long, text string, score string")
