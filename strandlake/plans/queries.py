@@ -429,8 +429,8 @@ def alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete-linkage clusters of the nucleic chains, with representatives and sizes."""
-    s = structures(spark, sf_dir).where("mol_type = 'NA'")
+    """Complete-linkage clusters of all chains, with representatives and sizes."""
+    s = structures(spark, sf_dir)
     return cluster_rows(cluster(s, ClusterOptions(threshold=0.3), SearchOptions(pre_score=0.1).at_speed(13)))
 
 
@@ -442,6 +442,6 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of the nucleic chains by single-linkage cluster, the representative first."""
-    s = structures(spark, sf_dir).where("mol_type = 'NA'")
+    """Sequences of all chains by single-linkage cluster, the representative first."""
+    s = structures(spark, sf_dir)
     return cluster_sequences(cluster(s, ClusterOptions(threshold=0.3, linkage="single"), SearchOptions(pre_score=0.1).at_speed(13)), s)

@@ -39,3 +39,15 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_clustering_takes_every_structure(spark, monkeypatch):
+    from strandlake.plans import queries
+
+    whole = queries.structures
+    monkeypatch.setattr(queries, "structures", lambda spark, sf_dir: whole(spark, sf_dir).where("struct_id < 10"))
+    rows = entry.queries()["complete_linkage"](spark, SF).collect()
+    assert sorted(m for r in rows for m in r.members) == list(range(10))
+    names = {r.line for r in entry.queries()["cluster_fasta"](spark, SF).where("line_no = 0").collect()}
+    assert names == {f">chain{k}" for k in range(10)}
