@@ -2,7 +2,7 @@
 
 A page is cut into blocks (leaves: runs of text between block-level tags).  Each block enters a
 bidirectional LSTM as the sum of hashed vectors of its tag path (tags, and tags with class and id
-words), the mean of hashed vectors of its words, and a few lengths; the states, which have seen
+words), the mean of hashed vectors of its words (of a block of any length), and a few lengths; the states, which have seen
 the whole page, decide for every block whether it is main text.
 
 The labeller is trained in numpy on pages that this module composes itself from common page
@@ -153,8 +153,7 @@ def block_inputs(page: list[Block]) -> tuple[list[tuple[int, ...]], list[list[in
     extra = np.zeros((len(page), EXTRA), np.float32)
     rows = []
     for k, b in enumerate(page):
-        w = WORD.findall(b.text.lower()) if len(b.text) < 400 else []
-        rows.append([_row(x, WORD_ROWS) for x in w])
+        rows.append([_row(x, WORD_ROWS) for x in WORD.findall(b.text.lower())])
         size = len(b.text)
         extra[k] = (1.0, min(np.log1p(size) / 8, 2), b.linked / size, k / max(1, len(page) - 1), size < 40, b.text[-1] in ".!?")
     return [b.path for b in page], rows, extra
@@ -310,6 +309,7 @@ def compose(g: np.random.Generator) -> tuple[str, list[bool]]:
 
     def beside() -> None:
         say = lambda: " ".join([prose(1, 5, 0.2), *([any_of(_SAID)] if g.random() < 0.5 else [])])
+        notice = lambda: " ".join(f"{prose(6, 25, 0.5)} {any_of(_SAID)}" for _ in range(int(g.integers(5, 16))))
         if g.random() < 0.5:
             a, each, z = any_of(_SHORT)
         else:
@@ -317,9 +317,9 @@ def compose(g: np.random.Generator) -> tuple[str, list[bool]]:
             kind = any_of(_BESIDE) + (any_of(["", "", "-box", "-wrap", " block"]))
             each = "<li>{}</li>" if tag == "ul" else any_of(["{} ", "<p>{}</p>", "<p>{}</p>", "<a href='/y'>{}</a> ", "<div>{}</div>", "<h3>{}</h3>", "<p><b>{}</b></p>"])
             a, z = f'<{tag} {any_of(["class", "class", "id"])}="{kind}">', f"</{tag}>"
-        long = g.random() < 0.4
+        long, lengthy = g.random() < 0.4, g.random() < 0.1
         rows = int(g.integers(1, 8)) if not long else int(g.integers(1, 5))
-        put(a + "".join(each.format(*([prose(5, 40) if long else say()] * 2)) for _ in range(rows)) + z, False)
+        put(a + "".join(each.format(*([notice() if lengthy else prose(5, 40) if long else say()] * 2)) for _ in range(rows)) + z, False)
 
     for _ in range(int(g.integers(0, 5))):
         beside()
@@ -329,7 +329,7 @@ def compose(g: np.random.Generator) -> tuple[str, list[bool]]:
         put(f"<h1>{prose(1, 12, 0.5)}</h1>", True)
     for _ in range(int(g.integers(1, 16)) if g.random() < 0.95 else int(g.integers(30, 80))):
         kind = g.random()
-        text = prose(1, 60) if g.random() < 0.8 else prose(1, 4)
+        text = prose(60, 300) if g.random() < 0.1 else prose(1, 60) if g.random() < 0.8 else prose(1, 4)
         if kind < 0.7:
             put(f"<p>{text}</p>" if g.random() < 0.8 else f"<p>{text}", True)
         elif kind < 0.8:

@@ -194,6 +194,17 @@ def test_blocks_of_broken_html():
     assert len(b("<div>" * 3000 + "x")) == 1 and b("<a href=\"open>x</a><p>y") == ["x", "y"]
 
 
+def test_words_of_long_blocks_count():
+    rows = html_text.block_inputs(html_text.blocks("<p>" + "cookies consent " * 200))[1]
+    assert [len(r) for r in rows] == [400]
+    g, long = np.random.default_rng(5), {True: 0, False: 0}
+    for _ in range(60):
+        page, want = html_text.compose(g)
+        for b, y in zip(html_text.blocks(page), want):
+            long[y] += len(b.text) >= 400
+    assert min(long.values()) >= 20
+
+
 def test_labeller_on_unseen_pages():
     net, g = html_text.trained(), np.random.default_rng(99)
     wrong = total = 0
