@@ -10,7 +10,7 @@ parts, so no page of the corpus is needed and the weights are the same on every
 
 Defined results: a null or empty page has empty text; text without any tag is one block in no
 element; unclosed elements end with their parent or the page, stray end tags are ignored,
-comments, scripts, styles and declarations hold no text; a line break inside a block is white
+comments, scripts, styles, declarations and embedded objects hold no text; a line break inside a block is white
 space; repeated pages are read each; an empty table gives an empty result; only the named columns
 are read.
 """
@@ -31,8 +31,10 @@ from .common import map_arrow, slices, strings, table
 #: Elements that do not end a block (fixed values of the public standard).
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no markup, and is dropped.
-RAW = frozenset("script style noscript template svg iframe object math".split())
+#: Elements whose content is no markup, and is dropped up to the end tag.
+RAW = frozenset("script style".split())
+#: Elements whose content is markup, and is dropped; they do not end a block.
+DROPPED = frozenset("noscript template svg iframe object math".split())
 #: A start tag on the left ends an open element on the right, up to the nearest container.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS |= {h: {"p", "h1", "h2", "h3", "h4", "h5", "h6"} for h in ("h1", "h2", "h3", "h4", "h5", "h6")}
@@ -77,6 +79,7 @@ def blocks(html: str | None) -> list[Block]:
     parts: list[str] = []
     path: list[tuple[int, ...]] = [()]
     links, linked = 0, 0
+    drop = -1  # where on the stack the outermost dropped element is
 
     def flush() -> None:
         nonlocal linked
@@ -89,7 +92,7 @@ def blocks(html: str | None) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and drop < 0:
             if not parts:
                 path[0] = tuple(rows for _, rows in stack)
             text = unescape(raw) if "&" in raw else raw
@@ -110,10 +113,17 @@ def blocks(html: str | None) -> list[Block]:
             continue
         name = name.lower()
         if not (m[1] or m[4]):
-            if name in RAW:
+            attributes = m[3] or m[6] or ""
+            if name in RAW and not (drop >= 0 and attributes.endswith("/")):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else n
                 continue
+            if name in DROPPED or drop >= 0:
+                if name not in VOID and not attributes.endswith("/"):
+                    if drop < 0:
+                        drop = len(stack)
+                    stack.append((name, ()))
+                continue
             if name in INLINE:
                 if name == "br":
                     say(" ")
@@ -131,19 +141,28 @@ def blocks(html: str | None) -> list[Block]:
                 elif stack[k][0] not in INLINE:
                     break
             if name not in VOID:
-                stack.append((name, _element(name, (m[3] or m[6] or "").rstrip("/"))))
+                stack.append((name, _element(name, attributes.rstrip("/"))))
         else:
-            if name not in INLINE:
-                flush()
-                links = 0
+            ended = -1
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name == "a":
-                        links = max(0, links - 1)
-                    del stack[k:]
+                    ended = k
                     break
-                if name in INLINE and stack[k][0] not in INLINE:
+                if name in INLINE and stack[k][0] not in INLINE and not 0 <= drop <= k:
                     break  # a stray inline end tag does not close blocks
+            if drop >= 0 and not 0 <= ended < drop:  # within a dropped element, or its end
+                if ended >= 0:
+                    del stack[ended:]
+                    drop = drop if ended > drop else -1
+                continue
+            if name not in INLINE and name not in DROPPED:
+                flush()
+                links = 0
+            if ended >= 0:
+                if name == "a":
+                    links = max(0, links - 1)
+                del stack[ended:]
+                drop = -1
     flush()
     return out
 

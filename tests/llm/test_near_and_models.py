@@ -194,6 +194,17 @@ def test_blocks_of_broken_html():
     assert len(b("<div>" * 3000 + "x")) == 1 and b("<a href=\"open>x</a><p>y") == ["x", "y"]
 
 
+def test_dropped_elements_end_where_they_end():
+    b = lambda h: [x.text for x in html_text.blocks(h)]
+    assert b("<p>a <svg width='1'/> b</p><p>c <svg><g><path/><title>no</title></g></svg>d</p>") == ["a b", "c d"]
+    assert b("<div><math/><p>x</div>") == ["x"] and b("<svg/>x<svg>no</svg>y") == ["xy"]
+    assert b("<article><div><object data='f'>no<p>no</div><p>x</p></article><p>y") == ["x", "y"]
+    assert b("<div><noscript><p>no</p></div>x") == ["x"] and b("<div><svg><svg>no</svg>no</svg>x</div>") == ["x"]
+    assert b("<p><a href='#'><svg><a>no</a></a>x</p>") == ["x"] and b("<template>no</b></i>no</template>x</svg>y") == ["xy"]
+    assert b("<svg><style/><script>'</svg>'</script>no</svg>x") == ["x"]
+    assert [x.linked for x in html_text.blocks("<p><a>ab<svg><a>no</a></svg>cd</a>ef")] == [4]
+
+
 def test_words_of_long_blocks_count():
     rows = html_text.block_inputs(html_text.blocks("<p>" + "cookies consent " * 200))[1]
     assert [len(r) for r in rows] == [400]
