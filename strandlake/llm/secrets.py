@@ -6,9 +6,9 @@ needs who knows these kinds.  A value in a credential context that costs at leas
 ``LEAST_BITS`` is a secret of kind ``guess``, whatever it looks like.
 
 Context values are those of the base assignments and of the looser forms in ``CONTEXT``.  Base
-spans always stay.  The programme takes time linear in a value's length: a segment other than
-brute force is at most ``LONGEST`` characters or one whole run, and brute force grows by one
-character at a time.
+spans always stay.  Words are those of passwords, then of the public tokenizer's vocabulary by rank.
+A repeat may have a unit of any length, and repeats and walks any part of their run; the runs of
+repeats are found in about n log n steps, and only within a run is a step's work the run's length.
 
 Defined results: null counts as empty, without spans; positions are code points, end exclusive;
 whole texts are scanned at any length; repeated rows are scanned each; empty tables give empty
@@ -19,13 +19,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bpe
 from .common import map_arrow, slices, strings, table
 
 #: The base kinds, in the order that breaks ties of start.
@@ -39,8 +42,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Shortest value of a base assignment.
 LEAST_VALUE = 6
 
-#: Credential contexts beyond the base assignment; group 1 is the value.
-CONTEXT = re.compile(r"""\b(?:pwd|pass(?:word|phrase|code|wd)|credentials?|bearer|private_key|client_secret|access_key)\b["']?\x20*(?:[:=]|\x20is\x20|\x20)\x20*["']?([^\s"'<>,;]{8,})""", re.I | re.A)
+#: Credential contexts beyond the base assignment; group 1 is the value. Only a bearer's may follow a bare space.
+CONTEXT = re.compile(r"""\b(?:pwd|pass(?:word|phrase|code|wd)|credentials?|bearer|private_key|client_secret|access_key)\b["']?\x20*(?:[:=]|\x20is\x20|(?<=bearer)\x20)\x20*["']?([^\s"'<>,;]{8,})""", re.I | re.A)
 #: Every match of CONTEXT or ASSIGN holds one of these (after lower-casing); they only save time.
 HINTS = ("pwd", "pass", "credential", "bearer", "private_key", "secret", "access_key", "token", "api")
 
@@ -57,8 +60,29 @@ insert enter value string number my the and for""".split()
 #: Rows of a common keyboard (fixed values).
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
-LONGEST = max(map(len, WORDS))
-_RANK = {w: log2(n + 2) for n, w in reversed(list(enumerate(WORDS)))}
+
+class Words(dict):
+    """Bits of each word, and the length of the longest."""
+
+    longest = 0
+
+
+@lru_cache(maxsize=1)
+def dictionary() -> Words:
+    """Bits of each word: WORDS, then the words of the tokenizer's vocabulary, which is ranked and fixed (some 20,000)."""
+    ranks = sorted((r, token) for token, r in dict(bpe.read_ranks(bpe.production_ranks())).items())
+    ranked = [*WORDS, *(token[1:].decode() for _, token in ranks if re.fullmatch(rb" [a-z]{3,}", token))]
+    out = Words((w, log2(n + 2)) for n, w in reversed(list(enumerate(ranked))))
+    out.longest = max(map(len, out))
+    return out
+
+
+def __getattr__(name: str):
+    if name == "_RANK":
+        return dictionary()
+    raise AttributeError(name)
+
+
 _PLAIN = str.maketrans("@4301$5!7", "aaeoissit")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _NEXT = {(a, b): r for r, row in enumerate(KEYBOARD) for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
@@ -74,65 +98,101 @@ def _char_bits(c: str) -> float:
     return log2(33) if c.isascii() else log2(200)
 
 
-def guess_bits(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit) of every longest run that says a shortest unit at least twice."""
+    n, out = len(value), []
+    codes = np.array([ord(c) for c in value], np.uint32)
+    for unit in range(1, n // 2 + 1):
+        done = 0
+        # A run's positions that equal those a unit later are at least ``unit`` on end: one is a multiple of it.
+        for k in (np.flatnonzero(codes[: n - unit : unit] == codes[unit::unit]) * unit).tolist():
+            if k < done:
+                continue
+            a = k
+            while a and value[a - 1] == value[a - 1 + unit]:
+                a -= 1
+            z = k + 1
+            while z < n - unit and value[z] == value[z + unit]:
+                z += 1
+                if z - k == 64:
+                    differ = codes[z : n - unit] != codes[z + unit :]
+                    z = z + int(differ.argmax()) if differ.any() else n - unit
+                    break
+            done = z
+            if z - a >= unit and not any(unit % u == 0 and x <= a and z + unit <= y for x, y, u in out):
+                out.append((a, z + unit, unit))
+    return out
+
+
+def guess_bits(value: str, rank: Words | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """The cheapest segmentation: its bits, and its (kind, start, end) parts."""
+    rank = dictionary() if rank is None else rank
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_PLAIN)
     inf = float("inf")
-    best, back = [0.0] + [inf] * n, [("", 0)] * (n + 1)
+    best, back = np.full(n + 1, inf), [("", 0)] * (n + 1)
+    best[0] = 0.0
     brute, brute_from = [inf] * (n + 1), [0] * (n + 1)
+    times = np.log2(np.arange(n + 2).clip(1))
+
+    # Runs of which any part may be a segment: (end, step, least steps, bits without the count's) by start.
+    runs: dict[int, list[tuple[str, int, int, int, int, float]]] = {}
+    for a, z, unit in repeats(value):
+        least = 3 if unit == 1 else 2
+        if z - a >= least * unit:
+            runs.setdefault(a, []).append(("repeat", a, z, unit, least, sum(map(_char_bits, value[a : a + unit]))))
+    a = 0
+    while a < n:
+        z = a + 1
+        while z < n and (low[z - 1], low[z]) in _NEXT:
+            z += 1
+        if z - a >= 3:
+            runs.setdefault(a, []).append(("walk", a, z, 1, 3, log2(sum(map(len, KEYBOARD))) + 1))
+        a = z
 
     def offer(i: int, j: int, kind: str, bits: float) -> None:
         if best[i] + bits + SEGMENT < best[j]:
             best[j], back[j] = best[i] + bits + SEGMENT, (kind, i)
 
-    walk_end = repeat_end = 0
-    for i in range(n):
+    open_runs: list[tuple[str, int, int, int, int, float]] = []
+    for i in range(n + 1):
+        open_runs = [r for r in open_runs if i <= r[2]]
+        for kind, a, _, step, least, bits in open_runs:
+            count = (i - a) // step  # the longest part that ends here says the unit so often
+            if count >= least:
+                first = i - count * step
+                cost = best[first : i - least * step + 1 : step] + times[least : count + 1][::-1]
+                k = int(cost.argmin())
+                if cost[k] + bits + SEGMENT < best[i]:
+                    best[i], back[i] = cost[k] + bits + SEGMENT, (kind, first + k * step)
+        open_runs += runs.get(i, ())
         if brute[i] < best[i]:
             best[i], back[i] = brute[i], ("brute", brute_from[i])
+        if i == n:
+            break
         # Brute force: a new segment here, or the one that reaches here by one more character.
         c = _char_bits(value[i])
         if best[i] + SEGMENT <= brute[i]:
-            brute[i + 1], brute_from[i + 1] = best[i] + SEGMENT + c, i
+            brute[i + 1], brute_from[i + 1] = float(best[i]) + SEGMENT + c, i
         else:
             brute[i + 1], brute_from[i + 1] = brute[i] + c, brute_from[i]
-        for j in range(i + 2, min(n, i + LONGEST) + 1):
+        for j in range(i + 2, min(n, i + rank.longest) + 1):
             for form, extra in ((low, 0.0), (plain, 2.0)):
-                r = _RANK.get(form[i:j])
+                r = rank.get(form[i:j])
                 if r is not None:
                     offer(i, j, "word", r + extra + (value[i:j] != low[i:j]) * 1.0)
         if m := _DATE.match(value, i):
             offer(i, m.end(), "date", log2(36525))
-        if i >= repeat_end:
-            repeat_end = i + 1
-            while repeat_end < n and value[repeat_end] == value[i]:
-                repeat_end += 1
-            if repeat_end - i >= 3:
-                offer(i, repeat_end, "repeat", c + log2(repeat_end - i))
-        for unit in (2, 3, 4):  # a block said at least twice
-            if value.startswith(value[i : i + unit], i + unit) and i + 2 * unit <= n and len(set(value[i : i + unit])) > 1 and not (i >= unit and value[i - unit : i] == value[i : i + unit]):
-                j = i + 2 * unit
-                while value.startswith(value[i : i + unit], j):
-                    j += unit
-                offer(i, j, "repeat", sum(map(_char_bits, value[i : i + unit])) + log2((j - i) // unit))
-        if i >= walk_end - 1:
-            walk_end = i + 1
-            while walk_end < n and (low[walk_end - 1], low[walk_end]) in _NEXT:
-                walk_end += 1
-            if walk_end - i >= 3:
-                offer(i, walk_end, "walk", log2(sum(map(len, KEYBOARD))) + log2(walk_end - i) + 1)
-    if brute[n] < best[n]:
-        best[n], back[n] = brute[n], ("brute", brute_from[n])
     parts, j = [], n
     while j:
         kind, i = back[j]
         parts.append((kind, i, j))
         j = i
-    return best[n], parts[::-1]
+    return float(best[n]), parts[::-1]
 
 
-def spans(text: str, least_bits: float = LEAST_BITS) -> list[tuple[str, int, int]]:
+def spans(text: str, least_bits: float = LEAST_BITS, rank: Words | None = None) -> list[tuple[str, int, int]]:
     """All spans by start, then kind."""
     out, values = [], []
     low = text.lower()
@@ -145,7 +205,7 @@ def spans(text: str, least_bits: float = LEAST_BITS) -> list[tuple[str, int, int
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
-    out += [("guess", a, b) for a, b in sorted(set(values)) if guess_bits(text[a:b])[0] >= least_bits]
+    out += [("guess", a, b) for a, b in sorted(set(values)) if guess_bits(text[a:b], rank)[0] >= least_bits]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -153,12 +213,13 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     """``key`` and ``spans`` (kind, start, end) of each row; rows are judged alone, without a shuffle."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("spans", T.ArrayType(span))])
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary())
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, least_bits)] for t in strings(batch.column(1))]
+                found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, least_bits, shared.value)] for t in strings(batch.column(1))]
                 yield pa.RecordBatch.from_pydict({"key": batch.column(0), "spans": pa.array(found, arrow)})
 
     return map_arrow(docs.select(docs[key].alias("key"), docs[text].alias("text")), run, schema).withColumnRenamed("key", key)
@@ -168,12 +229,13 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_bi
     """``docs`` with every span replaced by ``mark``; of an assignment only the value goes."""
     schema = docs.schema
     at = schema.names.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary())
 
     def clean(t: str | None) -> str | None:
         if not t:
             return t
         found = []
-        for kind, a, b in spans(t, least_bits):
+        for kind, a, b in spans(t, least_bits, shared.value):
             if kind == "assign":
                 a = ASSIGN.match(t, a).start(2)
             found.append((a, b))

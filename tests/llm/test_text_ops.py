@@ -142,6 +142,20 @@ def test_weak_and_strong_values():
     assert secrets.spans("the pwd is hG7$kq92LmzX9 now") == [("guess", 11, 24)] and secrets.spans("the password is password") == []
 
 
+def test_prose_is_no_secret_and_any_repeat_is_cheap():
+    for clean in ("password management and password requirements", "credentials verification", "the password is management", "passphrase: recommendations"):
+        assert not secrets.spans(clean), clean
+    bits = lambda v: secrets.guess_bits(v)[0]
+    assert bits("qXk9#" * 10) < secrets.LEAST_BITS and bits("qXk9#" * 10) == bits("Xk9#q" * 10)
+    assert bits("zz" + "aaaaaaaab") < bits("zz" + "aaaaaaaa") + 12 and secrets.repeats("abcabcab") == [(0, 8, 3)]
+    assert secrets.spans("Authorization: Bearer hG7$kq92LmzX9") == [("guess", 22, 35)]
+    g = random.Random(8)
+    for _ in range(300):
+        v = "".join(g.choice(["ab", "a", "abc", "bca"]) for _ in range(g.randint(1, 8)))
+        want = {(i, j) for i in range(len(v)) for j in range(i + 2, len(v) + 1) if any((j - i) % u == 0 and v[i : i + u] * ((j - i) // u) == v[i:j] for u in range(1, (j - i) // 2 + 1))}
+        assert want == {(i, j) for a, z, u in secrets.repeats(v) for i in range(a, z) for j in range(i + 2 * u, z + 1, u)}
+
+
 def test_redaction_and_rows(spark):
     rows = [(1, f'a token = "{HEX}" b', "en", "s", 0), (2, "clean", "en", "s", 0), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "AKIA" + "A1" * 9 + " é", "en", "s", 0)]
     df = spark.createDataFrame(rows, DOC)
