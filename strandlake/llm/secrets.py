@@ -5,7 +5,7 @@ keyboard walks and brute-force spans; its cost is the base-2 logarithm of the gu
 needs who knows these kinds.  A value in a credential context that costs at least
 ``LEAST_BITS`` is a secret of kind ``guess``, whatever it looks like.
 
-Context values are those of the base assignments and of the looser forms in ``CONTEXT``.  Base
+Context values are those of the base assignments and, whole, those of ``CONTEXT``.  Base
 spans always stay.  Words are those of passwords, then of the public tokenizer's vocabulary by rank.
 A repeat may have a unit of any length, and repeats and walks any part of their run; the runs of
 repeats are found in about n log n steps, and only within a run is a step's work the run's length.
@@ -42,8 +42,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Shortest value of a base assignment.
 LEAST_VALUE = 6
 
-#: Credential contexts beyond the base assignment; group 1 is the value. Only a bearer's may follow a bare space.
-CONTEXT = re.compile(r"""\b(?:pwd|pass(?:word|phrase|code|wd)|credentials?|bearer|private_key|client_secret|access_key)\b["']?\x20*(?:[:=]|\x20is\x20|(?<=bearer)\x20)\x20*["']?([^\s"'<>,;]{8,})""", re.I | re.A)
+#: What a value in a credential context may hold.
+VALUE = r"""[^\s"'<>,;]"""
+#: Credential contexts, those of the base assignment too, with or without a prefix of the name; group 1 is the whole
+#: value. Only a bearer's may follow a bare space.
+CONTEXT = re.compile(rf"""(?:password|passwd|secret|token|api_?key|(?<![a-z0-9])(?:pwd|pass(?:phrase|code)|credentials?|bearer|private_key|access_key)\b)["']?\x20*(?:[:=]|\x20is\x20|(?<=bearer)\x20)\x20*["']?({VALUE}{{8,}})""", re.I | re.A)
+_REST = re.compile(f"{VALUE}*")
 #: Every match of CONTEXT or ASSIGN holds one of these (after lower-casing); they only save time.
 HINTS = ("pwd", "pass", "credential", "bearer", "private_key", "secret", "access_key", "token", "api")
 
@@ -226,7 +230,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_bits: float = LEAST_BITS) -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; of an assignment only the value goes."""
+    """``docs`` with every span replaced by ``mark``; of an assignment the value goes, whole."""
     schema = docs.schema
     at = schema.names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(dictionary())
@@ -237,7 +241,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_bi
         found = []
         for kind, a, b in spans(t, least_bits, shared.value):
             if kind == "assign":
-                a = ASSIGN.match(t, a).start(2)
+                a, b = ASSIGN.match(t, a).span(2)
+                b = _REST.match(t, b).end()  # the base pattern stops at characters that the secret may go on with
             found.append((a, b))
         out, done = [], 0
         for a, b in sorted(found):

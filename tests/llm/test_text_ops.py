@@ -156,6 +156,18 @@ def test_prose_is_no_secret_and_any_repeat_is_cheap():
         assert want == {(i, j) for a, z, u in secrets.repeats(v) for i in range(a, z) for j in range(i + 2 * u, z + 1, u)}
 
 
+def test_whole_values_of_base_contexts(spark):
+    strong = "k$8!vQz@2pLm#9Rt"
+    for name in ("api_key", "DB_PASSWORD", "secret", "ACCESS_TOKEN", "db_pwd", "CLIENT_SECRET", "MY_access_key"):
+        t = f'x {name} = "{strong}" y'
+        at = t.index(strong)
+        assert ("guess", at, at + len(strong)) in secrets.spans(t), name
+    t = "secret=abcdef$K9zz!Qm2 b"
+    assert secrets.spans(t) == [("assign", 0, 13), ("guess", 7, 22)] and secrets.brute_force_base(t) == [("assign", 0, 13)]
+    df = spark.createDataFrame([(1, t, "en", "s", 0), (2, "token=abcdef!x b", "en", "s", 0)], DOC)
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["secret=[SECRET] b", "token=[SECRET] b"]
+
+
 def test_redaction_and_rows(spark):
     rows = [(1, f'a token = "{HEX}" b', "en", "s", 0), (2, "clean", "en", "s", 0), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "AKIA" + "A1" * 9 + " é", "en", "s", 0)]
     df = spark.createDataFrame(rows, DOC)
