@@ -3,7 +3,7 @@
 The units of a text are its lines and the sentences of its lines.  A unit is normalised to
 lower-case words of ASCII letters and digits; its distinct bigrams are compared with those of each
 template.  Dice at least ``LEAST`` needs sizes within a factor of LEAST / (2 - LEAST), so the
-number of a unit's bigrams selects its candidate templates before any comparison, and a unit
+number of a unit's distinct bigrams selects its candidate templates before any comparison, and a unit
 that fits no template's size is not compared at all.
 
 Everything is an expression over one row: no shuffle, no Python on executors, no explosion of
@@ -63,10 +63,12 @@ def matches(text: Column, templates=TEMPLATES) -> Column:
     bank = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, b)).alias("b"), F.lit(x).alias("lo"), F.lit(y).alias("hi")) for name, b, x, y in rows])
     lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
 
-    def judged(unit: Column) -> Column:
-        words = F.filter(F.split(unit, "[^a-z0-9]+"), lambda w: w != "")
-        enough = F.when(F.size(words).between(lo + 1, 4 * hi), words)  # repeated bigrams may make a unit longer than its set
-        return enough
+    def cut(unit: Column) -> Column:
+        return F.filter(F.split(unit, "[^a-z0-9]+"), lambda w: w != "")
+
+    def may_fit(words: Column) -> Column:
+        # Each further distinct word ends a new bigram, so more than hi + 1 of them make more than hi bigrams.
+        return (F.size(words) > lo) & ((F.size(words) <= 4 * hi) | (F.size(F.array_distinct(words)) <= hi + 1))
 
     def bigrams(words: Column) -> Column:
         return F.array_distinct(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w)))
@@ -74,7 +76,7 @@ def matches(text: Column, templates=TEMPLATES) -> Column:
     sentences = F.flatten(F.transform(lines, lambda line: F.split(line, "(?<=[.!?])[ \t]+")))
     several = F.filter(lines, lambda line: line.rlike("[.!?][ \t]+"))
     units = F.concat(sentences, several)
-    sized = F.filter(F.transform(units, judged), lambda w: w.isNotNull())
+    sized = F.filter(F.transform(units, cut), may_fit)
     grams = F.filter(F.transform(sized, bigrams), lambda b: F.size(b).between(lo, hi))
 
     def best(b: Column) -> Column:

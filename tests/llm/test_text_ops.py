@@ -196,6 +196,13 @@ def test_licences_against_brute_force(spark):
     assert sum(len(r.m) > 0 for r in got) > 60
 
 
+def test_long_units_of_few_bigrams_match(spark):
+    texts = ["Released under the MIT License, " * 40, "Released under the MIT License, " * 4000, " ".join(f"w{i}" for i in range(5000)), "of the " * 900]
+    got = licences.find_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), out="m").collect()
+    want = {r.doc_id: (len(r.m), ",".join(sorted({x.name for x in r.m})), round(max((x.dice for x in r.m), default=0.0), 6)) for r in got}
+    assert want == {i: licences.brute_force(t) for i, t in enumerate(texts)} and [want[i][0] for i in range(4)] == [1, 1, 0, 0]
+
+
 def test_components(spark, monkeypatch):
     from strandlake.llm import common
 
