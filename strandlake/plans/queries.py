@@ -424,7 +424,7 @@ def aligned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain report of the same search as rows of text."""
-    return plain_lines(aligned_hits(spark, sf_dir).drop("rank"), n_hits=20, n_alignments=5)
+    return plain_lines(aligned_hits(spark, sf_dir).drop("rank"), n_hits=_OPTIONS.hits, n_alignments=_OPTIONS.alignments)
 
 
 @query()
@@ -437,7 +437,7 @@ def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON report of the same search, a document per hit."""
-    return json_lines(aligned_hits(spark, sf_dir).drop("rank"), "tm_harmonic", 20, second=True)
+    return json_lines(aligned_hits(spark, sf_dir).drop("rank"), "tm_harmonic", _OPTIONS.hits, second=True)
 
 
 @query()

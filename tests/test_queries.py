@@ -51,3 +51,20 @@ def test_clustering_takes_every_structure(spark, monkeypatch):
     assert sorted(m for r in rows for m in r.members) == list(range(10))
     names = {r.line for r in entry.queries()["cluster_fasta"](spark, SF).where("line_no = 0").collect()}
     assert names == {f">chain{k}" for k in range(10)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_reports_list_every_rank(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandlake.plans import queries
+
+    whole = queries.structures
+    monkeypatch.setattr(queries, "structures", lambda spark, sf_dir: whole(spark, sf_dir).where("struct_id = 0"))
+    one = queries.aligned_hits(spark, SF)
+    hits = spark.createDataFrame(one.collect(), one.schema).crossJoin(spark.range(25)).withColumn("ref_id", F.col("id")).drop("id")
+    assert hits.count() == 25
+    monkeypatch.setattr(queries, "aligned_hits", lambda spark, sf_dir: hits)
+    lines = queries.alignment_report(spark, SF)
+    assert [lines.where(f"section = {k}").select("rank").distinct().count() for k in (1, 2)] == [25, 25]
+    assert queries.json_report(spark, SF).count() == 25
