@@ -17,6 +17,8 @@ score is 0; an empty table gives an empty result; only the named columns are rea
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import LOWER_ALNUM, map_arrow, slices, strings, table
 
 WINDOW = 32
-#: Windows that are scored at once; their states stay in a core's cache.
-BLOCK = 1024
+#: Windows that are scored at once; their states stay in a core's cache, and rows do not share its sets.
+BLOCK = 2000
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
 #: Parameters: bounds of the training sample.
@@ -157,43 +159,58 @@ class Network:
         return _sigmoid(self._pool(np.concatenate([f, b], axis=2), mask)[3])
 
     def scan(self, projected: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
-        """Scores of the whole windows at each word of ids, by the same arithmetic as ``score``.
+        """Scores of the whole windows at each word of ids; equal to those of ``score`` but for rounding.
 
-        Neighbouring windows read the same columns, so a step of a block of windows is a slice.
+        Neighbouring windows read the same columns, so a step of a block of windows is a slice.  A
+        gate is (1 + tanh(x / 2)) / 2, and the halves are taken into the weights beforehand.  One
+        product with a state gives the next gates and the state's part of the attention.
         """
         H, p = HIDDEN, self.p
         out = np.empty(max(0, len(ids) - WINDOW + 1), np.float32)
-        U = {d: np.ascontiguousarray(p["U" + d].T, np.float32) for d in "fb"}
-        A = np.ascontiguousarray(p["A"].T)
+        half = np.repeat(np.array([0.5, 0.5], np.float32), [2 * H, H])
+        size = min(BLOCK, len(out))
+        looks = np.empty((WINDOW, (ATTEND + 1) * size), np.float32)
+        buffers = [np.empty(k * size, np.float32) for k in (3 * H + ATTEND + 1, H, H)]
+        U = [np.concatenate([(p["U" + d] * half).T, p["A"][k * H : k * H + H].T, p["o"][None, k * H : k * H + H]]).astype(np.float32) for k, d in enumerate("fb")]
         for lo in range(0, len(out), BLOCK):
             n = min(BLOCK, len(out) - lo)
-            both = np.empty((WINDOW, 2 * H, n), np.float32)
-            for d, order, rows in (("f", range(WINDOW), slice(0, H)), ("b", range(WINDOW - 1, -1, -1), slice(H, 2 * H))):
-                x = np.ascontiguousarray(projected[d][ids[lo : lo + n + WINDOW - 1]].T, np.float32)
-                h = np.zeros((H, n), np.float32)
-                for t in order:
-                    u = U[d] @ h
-                    at = x[:, t : t + n]
-                    zr = u[: 2 * H]
-                    zr += at[: 2 * H]
-                    np.negative(zr, out=zr)
-                    np.exp(zr, out=zr)
-                    zr += 1
-                    np.reciprocal(zr, out=zr)
-                    new = u[2 * H :]
-                    new *= zr[H:]
-                    new += at[2 * H :]
+            every, h, d = (x[: len(x) // size * n].reshape(-1, n) for x in buffers)
+            zr, z, r, new, look = every[: 2 * H], every[:H], every[H : 2 * H], every[2 * H : 3 * H], every[3 * H :]
+            seen = looks[:, : (ATTEND + 1) * n].reshape(WINDOW, ATTEND + 1, n)
+            for k, way in enumerate("fb"):
+                x = projected[way][ids[lo : lo + n + WINDOW - 1]].T.astype(np.float32, order="C")
+                x[: 2 * H] *= 0.5
+                at = WINDOW - 1 if k else 0  # the first step starts from nothing: no product, no reset
+                np.tanh(x[:H, at : at + n], out=z)
+                np.tanh(x[2 * H :, at : at + n], out=h)
+                z *= -0.5
+                z += 0.5
+                h *= z
+                for t in range(1, WINDOW + 1):
+                    np.matmul(U[k], h, out=every)
+                    if k:
+                        seen[WINDOW - t] += look
+                    else:
+                        seen[t - 1] = look
+                    if t == WINDOW:
+                        break
+                    at = WINDOW - 1 - t if k else t
+                    zr += x[: 2 * H, at : at + n]
+                    np.tanh(zr, out=zr)
+                    r *= new
+                    new += r
+                    new += x[2 * H :, at : at + n]
                     np.tanh(new, out=new)
-                    h = h - new
-                    h *= zr[:H]
-                    h += new
-                    both[t, rows] = h
-            s = A @ both
-            np.tanh(s, out=s)
+                    np.subtract(h, new, out=d)
+                    d *= 0.5
+                    z *= d
+                    d += z
+                    np.add(d, new, out=h)
+            s = np.tanh(seen[:, :ATTEND])
             e = p["v"] @ s
             e -= e.max(axis=0)
             np.exp(e, out=e)
-            out[lo : lo + n] = _sigmoid((e * (p["o"] @ both)).sum(axis=0) / e.sum(axis=0) + p["q"][0])
+            out[lo : lo + n] = _sigmoid((e * seen[:, ATTEND]).sum(axis=0) / e.sum(axis=0) + p["q"][0])
         return out
 
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -252,12 +269,20 @@ def _pack(starts: list[tuple[int, int]], ids: np.ndarray) -> tuple[np.ndarray, n
     return np.where(mask, ids[np.minimum(begin + place, max(len(ids) - 1, 0))] if len(ids) else 0, 0), mask
 
 
+class Rows(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Scorer:
     """Scores texts with a trained network; remembers the inputs of words it has met."""
 
     def __init__(self, net: Network):
         self.net = net
-        self.row: dict[bytes, int] = {}
+        self.row = Rows()
         self.known = {d: np.zeros((0, 3 * HIDDEN), np.float32) for d in "fb"}
         self.used = 0
 
@@ -265,17 +290,15 @@ class Scorer:
         if len(self.row) > REMEMBERED:
             self.row.clear()
             self.used = 0
-        row = self.row
-        new = [w for w in dict.fromkeys(tokens) if w not in row]
-        if new:
-            at = self.used
-            row.update(zip(new, range(at, at + len(new))))
-            self.used += len(new)
-            for d, x in self.net.project(self.net.inputs(new)).items():
+        at = self.used
+        ids = np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.row) > at:
+            self.used = len(self.row)
+            for d, x in self.net.project(self.net.inputs(list(islice(self.row, at, None)))).items():
                 if len(self.known[d]) < self.used:
                     self.known[d] = np.concatenate([self.known[d][:at], np.empty((max(self.used, 2 * at) - at, 3 * HIDDEN), np.float32)])
                 self.known[d][at : self.used] = x
-        return np.fromiter(map(row.__getitem__, tokens), np.int64, len(tokens))
+        return ids
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The greatest window score of each text."""
