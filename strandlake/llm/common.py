@@ -48,6 +48,47 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage is cut, and columns can be left unread."""
+    df.write.parquet(at := work_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is whole: Spark adds _SUCCESS when the last task has committed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def fresh(name: str, *taken) -> str:
+    """A column name that none of the given lists of names holds."""
+    used = {c.lower() for t in taken for c in t}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+#: Keys that hold more than one in so many of all rows are hot; there are fewer of them than this.
+HOT_KEYS = 10_000
+#: Rows of one key that any task may read.
+HOT_ROWS = 64
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
+    """Inner join with ``side``, which has one row a key and in ``n`` the number of ``rows`` with that key.
+
+    Rows of a key above one part in HOT_KEYS of all are joined where they lie, with the broadcast rows
+    of such keys (fewer than HOT_KEYS, whatever the data); all others meet by a shuffle, in which no
+    key is large.  ``side`` is read several times and should be materialised; it loses ``n``.
+    """
+    on = [key] if isinstance(key, str) else key
+    total = side.agg(F.sum(n)).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS + 1)
+    hot = F.broadcast(side.where(F.col(n) > least).drop(n))
+    few = rows.join(hot.select(*on), on, "left_anti").join(side.where(F.col(n) <= least).drop(n), on)
+    return few.unionByName(rows.join(hot, on))
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
@@ -117,7 +158,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Alternates large-star and small-star steps (Kiveris et al. 2014, "Connected Components in
     MapReduce and Beyond").  A step joins each vertex with the smallest vertex of its
     neighbourhood, found by a partially aggregated ``min``, so no neighbourhood is ever gathered
-    in one task and a hub is only a skewed join key, which adaptive execution can split.  Each
+    in one task, and hubs are joined where their edges lie (``join_hot``).  Each
     round is cut by a reliable checkpoint.  At most ``SMALL_EDGES`` edges, which are counted first,
     are joined by one task instead, with the same result.  Only vertices that have an edge to
     another vertex appear; null ends and self-loops are ignored; repeated edges count once.
@@ -134,8 +175,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     def step(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        joined = join_hot(both, least, "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:

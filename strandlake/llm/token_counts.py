@@ -2,18 +2,25 @@
 
 The state is a table of signed deltas of documents and tokens by source, language and tokenizer
 version, aggregated per batch.  Totals are their sums, so inserts, deletes and revised counts
-are all additions.  A batch commits by creating its manifest, which names the folder that holds
-its deltas, exclusively: a batch applied again, or by two writers at once, counts once, and a
-writer that dies before leaves only a folder that no manifest names.  ``compact`` folds many
-batches into one state without changing any total or forgetting any batch id.
+are all additions.
+
+A batch is committed by its manifest, which names the folder of its deltas.  A manifest is written
+elsewhere and then renamed into place, under a name that only the batch id fixes: no reader sees half
+of one, a writer that dies leaves nothing that counts, and two writers of one batch leave one
+manifest, so the batch counts once however often it is applied.  ``compact`` adds the next numbered
+state, a folder of summed deltas and the list of batches in it, and removes nothing.  What holds is
+the highest state and all batches that it does not list, so a batch committed during a compaction stays,
+a compactor that dies changes nothing, and of two at once either's state is right.
 
 Defined results: null sources and languages are groups of their own; null texts have no tokens;
-null counts add nothing; an empty batch commits and changes nothing; a group whose documents and
-tokens have all gone is not listed; only the named columns are read.
+null counts add nothing; an empty batch commits and changes nothing; any string is a batch id; a
+group whose documents and tokens have all gone is not listed; only the named columns are read, and
+``count_tokens`` replaces a column that bears the name of its result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -37,66 +44,79 @@ class Rollup:
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self.fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self._path(f"{self.path}/commits"))
+        for d in ("commits", "pending"):
+            self.fs.mkdirs(self._path(f"{self.path}/{d}"))
+
+    def _live(self) -> tuple[dict | None, dict[str, str]]:
+        """The highest state and, of the batches that it does not list, the folders; one small job."""
+        read = [json.loads(r[0]) for r in self.spark.read.schema("value string").text(f"{self.path}/commits", wholetext=True).collect()]
+        state = max((m for m in read if "state" in m), key=lambda m: m["state"], default=None)
+        within = set(state["batches"]) if state else set()
+        return state, {m["batch"]: m["folder"] for m in read if "batch" in m and m["batch"] not in within}
 
-    def committed(self) -> dict[str, dict]:
-        """Batch ids and what their manifests say; bounded by the number of batches since a compaction."""
-        out = {}
-        for s in self.fs.listStatus(self._path(f"{self.path}/commits")):
-            m = json.loads("".join(r[0] for r in self.spark.read.text(s.getPath().toString()).collect()))
-            out |= {b: m for b in m["batches"]}
-        return out
+    def committed(self) -> set[str]:
+        """The ids of all batches that count."""
+        state, batches = self._live()
+        return {*(state["batches"] if state else ()), *batches}
 
     def _manifest(self, name: str, content: dict) -> bool:
-        at = self._path(f"{self.path}/commits/{name}")
-        try:
-            stream = self.fs.create(at, False)
-        except Exception:  # it exists: someone else has committed this batch
-            if self.fs.exists(at):
-                return False
-            raise
+        """Puts a whole manifest in place by a rename; False if there is one already."""
+        pending, at = self._path(f"{self.path}/pending/{uuid.uuid4().hex}"), self._path(f"{self.path}/commits/{name}")
+        stream = self.fs.create(pending, False)
         stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
-        return True
+        if not self.fs.exists(at) and self.fs.rename(pending, at):
+            return True
+        self.fs.delete(pending, False)
+        if not self.fs.exists(at):
+            raise OSError(f"{name} could not be put in place")
+        return False
+
+    def _folder(self) -> str:
+        return f"{self.path}/deltas/{uuid.uuid4().hex}"
 
     def apply(self, batch: str, deltas: DataFrame) -> bool:
         """Adds signed ``deltas`` (KEYS, docs, tokens) under the id ``batch``; False if it was there."""
         if batch in self.committed():
             return False
-        folder = f"{self.path}/deltas/{uuid.uuid4().hex}"
+        folder = self._folder()
         deltas.groupBy(*KEYS).agg(F.sum(F.coalesce("docs", F.lit(0))).alias("docs"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens")).where("docs <> 0 or tokens <> 0").write.parquet(folder)
-        return self._manifest(f"{batch}.json", {"batches": [batch], "folder": folder})
+        return self._manifest(f"batch-{hashlib.sha256(batch.encode()).hexdigest()}", {"batch": batch, "folder": folder})
 
-    def totals(self) -> DataFrame:
-        folders = sorted({m["folder"] for m in self.committed().values()})
+    def _sum(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*folders).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
-    def compact(self) -> None:
-        """Folds all committed batches into one folder (one compactor at a time)."""
-        known = self.committed()
-        if len({m["folder"] for m in known.values()}) < 2:
-            return
-        folder = f"{self.path}/deltas/{uuid.uuid4().hex}"
-        self.totals().write.parquet(folder)
-        old = [s.getPath() for s in self.fs.listStatus(self._path(f"{self.path}/commits"))]
-        # Readers see either the new manifest alone or the old ones: the folder is swapped by one rename.
-        new = f"{self.path}/commits-{uuid.uuid4().hex}"
-        self.fs.mkdirs(self._path(new))
-        stream = self.fs.create(self._path(f"{new}/compacted-{uuid.uuid4().hex}.json"), False)
-        stream.write(bytearray(json.dumps({"batches": sorted(known), "folder": folder}).encode()))
-        stream.close()
-        gone = self._path(f"{self.path}/gone-{uuid.uuid4().hex}")
-        assert len(old)
-        self.fs.rename(self._path(f"{self.path}/commits"), gone)
-        self.fs.rename(self._path(new), self._path(f"{self.path}/commits"))
-
+    def totals(self) -> DataFrame:
+        state, batches = self._live()
+        return self._sum(sorted({*([state["folder"]] if state else ()), *batches.values()}))
 
-def count_tokens(docs: DataFrame, tokenizers: dict[str, str] = TOKENIZERS, text: str = "text") -> DataFrame:
-    """``docs`` with a column of counts, a struct with one field per tokenizer version."""
+    def compact(self) -> bool:
+        """Folds what holds now into the next state; False if there was nothing to fold or another was first."""
+        state, batches = self._live()
+        if not batches:
+            return False
+        folder, number = self._folder(), state["state"] + 1 if state else 0
+        self._sum(sorted({*([state["folder"]] if state else ()), *batches.values()})).write.parquet(folder)
+        return self._manifest(f"state-{number:020d}", {"state": number, "batches": sorted({*(state["batches"] if state else ()), *batches}), "folder": folder})
+
+    def vacuum(self) -> None:
+        """Deletes manifests and folders that no longer hold; only while nobody writes, compacts or reads totals."""
+        state, batches = self._live()
+        keep = {*([state["folder"]] if state else ()), *batches.values()}
+        names = {f"batch-{hashlib.sha256(b.encode()).hexdigest()}" for b in batches} | ({f"state-{state['state']:020d}"} if state else set())
+        for d, wanted in (("commits", names), ("pending", set()), ("deltas", {f.rsplit("/", 1)[1] for f in keep})):
+            at = self._path(f"{self.path}/{d}")
+            for s in self.fs.listStatus(at) if self.fs.exists(at) else ():
+                if s.getPath().getName() not in wanted:
+                    self.fs.delete(s.getPath(), True)
+
+
+def count_tokens(docs: DataFrame, tokenizers: dict[str, str] = TOKENIZERS, text: str = "text", out: str = "counts") -> DataFrame:
+    """``docs`` with a column ``out`` of counts, a struct with one field per tokenizer version."""
     count = lambda p: F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({p})"), F.lit(1))).cast("long")
-    return docs.withColumn("counts", F.struct(*[count(p).alias(v) for v, p in tokenizers.items()]))
+    return docs.withColumn(out, F.struct(*[count(p).alias(v) for v, p in tokenizers.items()]))
 
 
 def deltas(counted: DataFrame, tokenizer: str, sign: int = 1, tokens=None) -> DataFrame:
