@@ -15,11 +15,13 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "url_aliases": url_filter.url_aliases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_token_rollup": token_counts.ORACLE,
     "op2_url_filter": url_filter.ORACLE,
+    "url_aliases": url_filter.ALIASES,
     "op4_hyperminhash": checks.GROUPS,
     "op5_licence_scan": licences.oracle(),
     "op6_cross_polytope": checks.LINKS,
