@@ -1,10 +1,15 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 The alphabet is words, a block is two words, the test strings are windows of ten consecutive item
-words (an item of fewer words, but not none, is one window).  For each window length a table
-gives the shift of a block: how far the search may jump because no window can end earlier.  A
-block with shift zero selects the bucket of windows that end in it, and each of those is
-compared directly.  Words outside the benchmark's vocabulary have the greatest shift of all.
+words (an item of fewer words, but not none, is one window).  For each window length a table, in
+which blocks of one hash share the smaller value, gives the shift of a block: how far the search may
+jump because no window can end earlier.  A block with shift zero selects, by the hash of the words
+that end here, a bucket of windows, and their words are compared directly.  Words outside the
+benchmark's vocabulary have the greatest shift of all.
+
+The tables are arrays.  A benchmark is searched in blocks whose built size is counted as they are
+filled (``BLOCK_BYTES``); of several blocks each is one pass over the rows, written out before the
+next, so one block is held at a time.
 
 Defined results: a null text has no words; items of no words match nothing; equal windows of
 several items count for each; repeated item_ids count once per item_id; null item_ids mark words
@@ -16,18 +21,26 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, LOWER_ALNUM, map_arrow, slices, strings, table
+from .common import LOWER_ALNUM, cut, map_arrow, slices, stored, strings, table
 
 #: Words in a window.
 WINDOW = 10
 
-#: Benchmark bytes that are broadcast at once; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 16_000_000
+#: Built size of the tables that are broadcast at once; a larger benchmark is searched in several blocks.
+BLOCK_BYTES = 128_000_000
+#: What a word of the vocabulary, and a place in an item, take of that (the driver's build included).
+WORD_BYTES, PLACE_BYTES = 160, 48
+#: log2 of the most entries of a shift table (a byte each).
+TABLE_BITS = 24
+
+_MASK = (1 << 64) - 1
+_P = 0x9E3779B97F4A7C15
 
 
 def words(text: str) -> list[bytes]:
@@ -38,11 +51,39 @@ def words(text: str) -> list[bytes]:
 class Group:
     """Wu-Manber tables for windows of one length."""
 
-    def __init__(self, length: int):
-        self.length = length
-        self.block = min(2, length)
-        self.shift: dict[int, int] = {}
-        self.bucket: dict[int, list[tuple[tuple[int, ...], frozenset]]] = {}
+    def __init__(self, places: np.ndarray, starts: np.ndarray, owners: np.ndarray, length: int):
+        self.length, self.block = length, min(2, length)
+        self.bits = int(np.clip(np.ceil(np.log2(8.0 * length * len(starts))), 8, TABLE_BITS))
+        shift = np.full(1 << self.bits, length - self.block + 1, np.uint8)
+        value = np.zeros(len(starts), np.uint64)
+        for k in range(length):
+            value = value * np.uint64(_P) + places[starts + k].astype(np.uint64) + np.uint64(1)
+        for end in range(self.block - 1, length):  # later ends have smaller shifts and are written over
+            here = places[starts + end].astype(np.uint64)
+            if self.block == 2:
+                here = here + places[starts + end - 1].astype(np.uint64) * np.uint64(_P)
+            shift[here * np.uint64(_P) >> np.uint64(64 - self.bits)] = length - 1 - end
+        self.shift = shift.tobytes()
+        order = np.lexsort((owners, value))
+        value, starts, owners = value[order], starts[order], owners[order]
+        first = np.concatenate(([True], value[1:] != value[:-1]))
+        for at in range(1, len(starts), 100_000):  # equal hashes are equal windows unless their words differ
+            x, y = starts[at : at + 100_000], starts[at - 1 : at - 1 + 100_000][: len(starts[at : at + 100_000])]
+            first[at : at + len(x)] |= (places[x[:, None] + np.arange(length)] != places[y[:, None] + np.arange(length)]).any(axis=1)
+        first = np.flatnonzero(first)
+        self.hash, self.start, self.owners, self.edges = value[first], starts[first], owners, np.append(first, len(starts))
+
+    def find(self, places: np.ndarray, here: list[int]) -> int:
+        """The number of the window with these words, or -1."""
+        h = 0
+        for w in here:
+            h = (h * _P + w + 1) & _MASK
+        k = int(self.hash.searchsorted(np.uint64(h)))
+        while k < len(self.hash) and int(self.hash[k]) == h:
+            if places[self.start[k] : self.start[k] + self.length].tolist() == here:
+                return k
+            k += 1
+        return -1
 
 
 class Matcher:
@@ -50,32 +91,27 @@ class Matcher:
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text or "")]
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[i : i + window]), set()).add(item)
-        self.size = len(self.vocabulary)
-        groups: dict[int, Group] = {}
-        for w, owners in found.items():
-            g = groups.setdefault(len(w), Group(len(w)))
-            for end in range(g.block - 1, g.length):
-                k = self._block(w, end, g.block)
-                s = g.length - 1 - end
-                g.shift[k] = min(g.shift.get(k, s), s)
-            g.bucket.setdefault(self._block(w, g.length - 1, g.block), []).append((w, frozenset(owners)))
-        self.groups = [groups[n] for n in sorted(groups)]
-
-    def _block(self, w, end: int, block: int) -> int:
-        return w[end] if block == 1 else w[end - 1] * self.size + w[end]
+        places, groups, at = [], {}, 0
+        for k, (_, text) in enumerate(items):
+            own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text or "")], np.int32)
+            if len(own):
+                n = min(window, len(own))
+                starts = np.arange(at, at + len(own) - n + 1)
+                groups.setdefault(n, []).append((starts, np.full(len(starts), k)))
+                places.append(own)
+                at += len(own)
+        self.items = [item for item, _ in items]
+        self.places = np.concatenate([*places, np.empty(0, np.int32)])
+        self.groups = [Group(self.places, *(np.concatenate(x).astype(np.int32) for x in zip(*groups[n])), n) for n in sorted(groups)]
 
     def search(self, ids: list[int | None]) -> tuple[list[tuple[int, int]], set]:
         """Ranges of hit words, ordered by window length and place, and the items that occur."""
-        ranges, items, n, size = [], set(), len(ids), self.size
+        ranges, items, n = [], set(), len(ids)
         for g in self.groups:
-            m, pairs, shift = g.length, g.block == 2, g.shift.get
+            m, pairs, shift, down = g.length, g.block == 2, g.shift, 64 - g.bits
             most = m - g.block + 1
             end = m - 1
+            found: dict[int, None] = {}
             while end < n:
                 b = ids[end]
                 if b is None:  # no window holds this word, so none can end before it has passed
@@ -86,18 +122,19 @@ class Matcher:
                     if a is None:
                         end += most
                         continue
-                    b += a * size
-                s = shift(b, most)
+                    b += a * _P
+                s = shift[(b * _P & _MASK) >> down]
                 if s:
                     end += s
                     continue
-                start = end - m + 1
-                here = tuple(ids[start : end + 1])
-                for w, owners in g.bucket[b]:
-                    if w == here:
-                        ranges.append((start, end + 1))
-                        items |= owners
+                here = ids[end - m + 1 : end + 1]
+                k = g.find(self.places, here) if None not in here else -1
+                if k >= 0:
+                    ranges.append((end - m + 1, end + 1))
+                    found[k] = None
                 end += 1
+            for k in found:
+                items.update(self.items[x] for x in g.owners[g.edges[k] : g.edges[k + 1]].tolist())
         return ranges, items
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set]:
@@ -117,31 +154,48 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def benchmark_blocks(bench: DataFrame, item: str, text: str, limit: int = BLOCK_BYTES):
-    """The stated query set as driver-side blocks of at most ``limit`` bytes (one item at least)."""
+    """The stated query set as driver-side blocks whose tables take at most ``limit`` bytes (one item at least)."""
     src = bench.select(bench[item].alias("item"), bench[text].alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= limit:
-        yield [tuple(r) for r in src.collect()]
-        return
-    block, held = [], 0
-    for r in cut(src).toLocalIterator():
-        size = len((r[1] or "").encode())
+    rows = src.collect() if total <= limit // 16 else cut(src).toLocalIterator()
+    block, held, known = [], 0, set()
+    for r in rows:
+        own = words(r[1] or "")
+        fresh_words = {w for w in own if w not in known}
+        size = PLACE_BYTES * len(own) + WORD_BYTES * len(fresh_words)
         if block and held + size > limit:
             yield block
-            block, held = [], 0
+            block, held, known = [], 0, set()
+            fresh_words = set(own)
+            size = PLACE_BYTES * len(own) + WORD_BYTES * len(fresh_words)
         block.append(tuple(r))
         held += size
+        known |= fresh_words
     yield block
 
 
+def passes(docs: DataFrame, bench: DataFrame, item: str, item_text: str, window: int, limit: int, step, schema) -> DataFrame:
+    """One pass of ``step(matcher, last)`` for each block; what a pass yields is written before the next begins."""
+    spark = docs.sparkSession
+    blocks = benchmark_blocks(bench, item, item_text, limit)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        shared = spark.sparkContext.broadcast(Matcher(block, window))
+        docs = map_arrow(docs, step(shared, after is None), schema)
+        if after is not None:
+            docs = stored(docs, "benchmark-pass")
+            shared.destroy()
+        block = after
+    return docs
+
+
 def find_leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds to ``docs``: n_words, hits (merged word ranges) and items (sorted strings that occur).
+    """One row a document: ``key``, n_words, hits (merged word ranges) and items (sorted strings that occur).
 
-    Each row is judged by itself, so nothing is shuffled.  The benchmark is a stated query set:
-    its blocks are bounded by ``block_bytes``; each further block is one more pass over the rows in
-    the same stage, which adds its ranges and items to those of the passes before.
+    Each row is judged by itself, so nothing is shuffled; of several blocks each adds its ranges and
+    items to those of the passes before.
     """
-    spark = docs.sparkSession
     hit = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("hits", hit), T.StructField("items", T.ArrayType(T.StringType()))])
     arrow_hit = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -163,11 +217,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str
 
         return run
 
-    out = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    shared = [spark.sparkContext.broadcast(Matcher(b, window)) for b in benchmark_blocks(bench, item, item_text, block_bytes)]
-    for k, s in enumerate(shared):
-        out = map_arrow(out, step(s, k == len(shared) - 1), schema)
-    return out.drop("text").withColumnRenamed("key", key)
+    src = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    return passes(src, bench, item, item_text, window, block_bytes, step, schema).drop("text").withColumnRenamed("key", key)
 
 
 def leak_report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
@@ -182,7 +233,7 @@ def keep_uncontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", i
     """The rows of ``docs`` that hold no window of the benchmark, unchanged; one pass per block."""
     at = docs.schema.names.index(text)
 
-    def step(shared):
+    def step(shared, last: bool):
         def run(batches):
             matcher = shared.value
             for whole in batches:
@@ -191,10 +242,7 @@ def keep_uncontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", i
 
         return run
 
-    out = docs
-    for block in benchmark_blocks(bench, item, item_text, block_bytes):
-        out = map_arrow(out, step(docs.sparkSession.sparkContext.broadcast(Matcher(block, window))), docs.schema)
-    return out
+    return passes(docs, bench, item, item_text, window, block_bytes, step, docs.schema)
 
 
 def brute_force(docs, items, window: int = WINDOW):
