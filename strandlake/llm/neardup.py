@@ -16,7 +16,7 @@ At a similarity of 0.75 a pair shares no band with probability (1 - 0.75^4)^32 <
 Defined results: null and empty texts, and texts of white space, have no shingles and link with
 nothing; rows that repeat a doc_id give a row each, and are documents of their own if their texts
 differ; a null doc_id names a component only if no other is reachable; an empty table gives an
-empty result; only the named columns are read.
+empty result; other columns are not read and ``keep_one`` hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import minhash as M
-from .common import checkpoint_dir, components, cut, map_arrow, slices, table
+from .common import checkpoint_dir, components, cut, fresh, join_hot, map_arrow, slices, stored, table
 
 ROWS = 4
 #: The threshold as a fraction: links need LEAST[1] * intersection >= LEAST[0] * union.
@@ -164,16 +164,21 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, set_key, n_shingles, component_id and kept of each row; classes are named by their set_key."""
+    """key, set_key, n_shingles, component_id and kept of each row; classes are named by their set_key.
+
+    No join meets a hot key: a class, a bucket or a component with a large share of the rows is joined
+    where those lie, and rows without shingles take no part.
+    """
     checkpoint_dir(docs.sparkSession)
-    sig = cut(signatures(docs, key, text))
-    classes = cut(sig.where("set_key is not null").groupBy(F.col("set_key").alias("cls")).agg(F.min("key").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    sig = stored(signatures(docs, key, text), "signatures")
+    classes = stored(sig.where("set_key is not null").groupBy(F.col("set_key").alias("cls")).agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     rows = classes.select("cls", "n_shingles", F.explode("bands").alias("bucket"))
     bucket = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("cls").alias("first"), F.sum("n_shingles").alias("total"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sign"))
     # Buckets of the same members are one bucket.
-    bucket = bucket.where("members > 1").groupBy("members", "first", "total", "sign").agg(F.min("bucket").alias("bucket")).drop("sign")
-    bucket = bucket.withColumn("chunks", F.greatest(F.ceil(F.col("members") / CHUNK_ROWS), F.ceil(F.col("total") / CHUNK_HASHES)).cast("int"))
-    members = cut(rows.join(bucket.select("bucket", "chunks"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")).select("cls", "bucket", "chunk", "chunks"))
+    bucket = bucket.where("members > 1").groupBy("members", "first", "total", "sign").agg(F.min("bucket").alias("bucket"))
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK_ROWS), F.ceil(F.col("total") / CHUNK_HASHES)).cast("int")
+    bucket = cut(bucket.select("bucket", chunks.alias("chunks"), F.col("members").alias("n")))
+    members = cut(join_hot(rows, bucket, "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")).select("cls", "bucket", "chunk", "chunks"))
     wanted = cut(classes.select("cls", "least").join(members.select("cls").distinct(), "cls", "left_semi").select("least").distinct())
     small = wanted.count() <= BROADCAST_IDS
     src = docs.select(docs[key].alias("least"), docs[text].cast("string").alias("text")).join((F.broadcast(wanted) if small else wanted).withColumnRenamed("least", "w"), F.col("least").eqNullSafe(F.col("w")), "left_semi")
@@ -195,38 +200,45 @@ def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
         more = _judged(pairs, sets, ["bucket", "p", "q"])
         comp = cut(components(edges.unionByName(more)))
     # Only classes with a link need the smallest key of their component.
-    linked = comp.withColumnRenamed("id", "cls").join(classes.select("cls", "least"), "cls")
-    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = linked.select("cls", "component").join(smallest, "component").select("cls", "component_id")
-    merged = classes.select("cls", "least").join(linked, "cls", "left").select(F.col("cls").alias("set_key"), F.coalesce("component_id", "least").alias("component_id"))
-    out = sig.select("key", "n_shingles", "set_key").join(merged, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+    linked = cut(comp.withColumnRenamed("id", "cls").join(classes.select("cls", "least", "copies"), "cls"))
+    smallest = cut(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    linked = join_hot(linked.select("cls", "copies", "component"), smallest, "component").select("cls", "copies", "component_id")
+    alone = classes.select("cls", "copies", F.col("least").alias("component_id")).join(comp.select(F.col("id").alias("cls")), "cls", "left_anti")
+    merged = cut(linked.unionByName(alone).select(F.col("cls").alias("set_key"), F.col("copies").alias("n"), "component_id"))
+    slim = sig.select("key", "n_shingles", "set_key")
+    out = join_hot(slim.where("set_key is not null"), merged, "set_key").unionByName(slim.where("set_key is null").withColumn("component_id", F.col("key")))
     return out.select("key", "set_key", "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, the one with the smallest key.
 
-    Rows of one key are told apart by their sets, but only where a key occurs more than once.
+    Rows without shingles all stay.  Rows of one key (null is a key too) are told apart by their sets,
+    but only where a key occurs more than once; rows of one key and one set are one document.
     """
     groups = cut(_groups(docs, key, text))
-    again = cut(groups.where("n_shingles > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias(key)))
-    gone = groups.where("not kept").select(F.col("key").alias(key))
+    again = cut(groups.where("n_shingles > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("__again")))
+    gone = groups.where("not kept").select(F.col("key").alias("__gone"))
     small = gone.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    at = docs.schema.names.index(text)
+    own, name = fresh("own", docs.columns), fresh("shingles", docs.columns)
+    held = docs.withColumn(own, docs[key])
+    none = lambda other, c, how: held.join(F.broadcast(other) if small else other, F.col(own).eqNullSafe(F.col(c)), how)
+    out = none(gone, "__gone", "left_anti")
     if not again.isEmpty():
-        at = docs.schema.names.index(text)
 
         def run(batches):
-            for batch in batches:
-                names = list(map(_set_key, M.shingle_sets(batch.column(at).to_pylist())))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], names=[*batch.schema.names, "__set"])
-
-        some = docs.join(again, key, "left_semi").select(*docs.columns)
-        some = map_arrow(some, run, some.withColumn("__set", F.lit(None).cast("binary")).schema)
-        kept = groups.where("kept").select(F.col("key").alias("__key"), F.col("set_key").alias("__s")).distinct()
-        stay = some.where("__set is null").unionByName(some.where("__set is not null").dropDuplicates([key, "__set"]).join(kept, (F.col(key).eqNullSafe(F.col("__key"))) & (F.col("__set") == F.col("__s")), "left_semi"))
-        out = out.join(again, key, "left_anti").unionByName(stay.drop("__set"))
-    return out.select(*docs.columns)
+            for whole in batches:
+                for batch in slices(whole, text, 2_000_000):
+                    names = list(map(_set_key, M.shingle_sets(batch.column(at).to_pylist())))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], names=[*batch.schema.names, name])
+
+        some = held.join(again, F.col(own).eqNullSafe(F.col("__again")), "left_semi")
+        some = map_arrow(some, run, some.withColumn(name, F.lit(None).cast("binary")).schema)
+        kept = groups.where("kept").select(F.col("key").alias("__key"), F.col("set_key").alias("__set")).distinct()
+        one = some.where(F.col(name).isNotNull()).dropDuplicates([own, name]).join(kept, F.col(own).eqNullSafe(F.col("__key")) & (F.col(name) == F.col("__set")), "left_semi")
+        out = out.join(again, F.col(own).eqNullSafe(F.col("__again")), "left_anti").unionByName(some.where(F.col(name).isNull()).unionByName(one).drop(name))
+    return out.drop(own)
 
 
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
