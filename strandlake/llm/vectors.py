@@ -8,8 +8,9 @@ meet in a bucket are compared exactly, in double precision, in chunks of bounded
 Equal vectors of a label are one class with a multiplicity, so copies make no pairs.  A bucket's
 comparison emits one row per member (its number of links and the smallest member that it is
 linked to through others), never pairs; a pair that meets in several buckets is counted in the one
-with the smallest code.  Buckets above ``CHUNK`` members are dealt into chunks, and all pairs of
-chunks are compared, so nothing is lost.
+with the smallest code.  Buckets of the same members are handled once.  Buckets above ``CHUNK``
+members are dealt into chunks, and all pairs of chunks are compared, so nothing is lost.  Joins
+on hot buckets, classes and components are made where their rows lie.
 
 Defined results: null labels, null or zero vectors, and vectors with null or non-finite
 components link with nothing; vectors of different lengths never link; rows that repeat a vector
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_arrow, table
+from .common import components, cut, join_hot, map_arrow, stored, table
 from .minhash import mix
 from .neardup import forest
 
@@ -113,6 +114,25 @@ def hashed(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return map_arrow(vectors.select(vectors[key].alias("key"), vectors[vector].alias("v"), vectors[label].alias("l")), run, f"key {kind}, label string, vkey binary, vec binary, codes array<long>")
 
 
+def met_before(codes: pa.ChunkedArray, some: np.ndarray, code: int) -> np.ndarray:
+    """Which pairs of the rows marked in ``some`` also meet in a bucket of a smaller code."""
+    lists = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    size = np.diff(lists.offsets.to_numpy())
+    owner, value = np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy()
+    use = (value < code) & some[owner]
+    owner, value = owner[use], value[use]
+    order = np.lexsort((owner, value))
+    owner, value = owner[order], value[order]
+    out = np.zeros((len(size), len(size)), bool)
+    edge = np.flatnonzero(np.diff(value, prepend=value[:1] - 1, append=value[-1:] + 1)) if len(value) else np.empty(0, np.int64)
+    done = set()
+    for a, b in zip(edge.tolist(), edge[1:].tolist()):
+        if b - a > 1 and (who := owner[a:b].tobytes()) not in done:  # most codes of a tight group have the same rows
+            done.add(who)
+            out[np.ix_(owner[a:b], owner[a:b])] = True
+    return out
+
+
 def judge(group: pa.Table, least: float) -> pa.Table:
     """For each member of one chunk (or pair of chunks): links counted here, and where they lead."""
     cls = group.column("cls")
@@ -131,21 +151,9 @@ def judge(group: pa.Table, least: float) -> pa.Table:
     if p != q:
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
-    own = np.array(group.column("codes").to_pylist(), np.int64)
-    a, b = np.nonzero(np.triu(linked))
-    counts = np.zeros(len(vec), np.int64)
-    for s in range(0, len(a), 100_000):
-        i, j = a[s : s + 100_000], b[s : s + 100_000]
-        before = np.zeros(len(i), bool)  # do they also meet in a bucket of smaller code?
-        for k in range(own.shape[1]):
-            mine = own[i, k]
-            near = (mine < code) & ~before
-            before[near] = (own[j[near]] == mine[near, None]).any(axis=1)
-        i, j = i[~before], j[~before]
-        np.add.at(counts, i, weight[j])
-        np.add.at(counts, j, weight[i])
-    root = forest(linked)
     some = linked.any(axis=1)
+    root = forest(linked)
+    counts = (linked & ~met_before(group.column("codes"), some, code)) @ weight
     take = pa.array(np.flatnonzero(some))
     return pa.table({"a": cls.take(take), "b": cls.take(pa.array(root[some])), "links": pa.array(counts[some])})
 
@@ -153,25 +161,29 @@ def judge(group: pa.Table, least: float) -> pa.Table:
 def find_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST_COSINE) -> DataFrame:
     """Returns key, n_links, component_id and kept of each row of ``vectors``."""
     kind = vectors.schema[key].dataType.simpleString()
-    rows = cut(hashed(vectors, key, vector, label))
-    classes = cut(rows.where("vkey is not null").groupBy("vkey").agg(F.min("key").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("codes").alias("codes")).withColumn("cls", F.col("vkey")))
+    rows = stored(hashed(vectors, key, vector, label), "hashed")
+    classes = stored(rows.where("vkey is not null").groupBy(F.col("vkey").alias("cls")).agg(F.min("key").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("codes").alias("codes")), "vectors")
     meets = classes.select("cls", "label", F.explode(F.array_distinct("codes")).alias("code"))
-    bucket = meets.groupBy("label", "code").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    members = meets.join(bucket, ["label", "code"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    bucket = meets.groupBy("label", "code").agg(F.count("*").alias("n"), F.min("cls").alias("first"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sign"))
+    # Of buckets with the same members the one of the smallest code does for all.
+    bucket = bucket.where("n > 1").groupBy("label", "n", "first", "sign").agg(F.min("code").alias("code"))
+    bucket = cut(bucket.select("label", "code", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), "n"))
+    members = join_hot(meets, bucket, ["label", "code"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("cls", "label", "code", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
     full = dealt.join(classes.select("cls", "weight", "vec", "codes"), "cls")
     found = cut(full.groupBy("label", "code", "p", "q").applyInArrow(lambda t: judge(t, least), "a binary, b binary, links long"))
-    counted = found.groupBy(F.col("a").alias("vkey")).agg(F.sum("links").alias("links"))
-    # Components are named by numbers: classes by their least key where keys are numbers.
-    named = classes.select("vkey", F.col("least"))
-    edges = found.where("a <> b").select("a", "b").distinct()
-    comp = components(edges)
-    at = named.join(comp.withColumnRenamed("id", "vkey"), "vkey", "left").withColumn("component", F.coalesce("component", "vkey"))
-    smallest = at.groupBy("component").agg(F.min("least").alias("component_id"))
-    per = at.join(smallest, "component").join(counted, "vkey", "left").join(classes.select("vkey", "weight"), "vkey")
-    per = per.select("vkey", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = rows.select("key", "vkey").join(per, "vkey", "left").select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "key").cast(kind).alias("component_id"))
+    counted = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    comp = components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "cls")
+    at = classes.select("cls", "least", "weight").join(comp, "cls", "left").join(counted, "cls", "left")
+    at = cut(at.select("cls", "least", "weight", "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    linked, alone = at.where("component is not null"), at.where("component is null")
+    smallest = cut(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    per = join_hot(linked, smallest, "component").drop("component", "least").unionByName(alone.withColumnRenamed("least", "component_id").drop("component"))
+    per = cut(per.select(F.col("cls").alias("vkey"), F.col("weight").alias("n"), "component_id", "n_links"))
+    slim = rows.select("key", "vkey")
+    out = join_hot(slim.where("vkey is not null"), per, "vkey").unionByName(slim.where("vkey is null").select("key", "vkey", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    out = out.select("key", F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast(kind).alias("component_id"))
     return out.select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
