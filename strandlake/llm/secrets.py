@@ -8,7 +8,7 @@ needs who knows these kinds.  A value in a credential context that costs at leas
 Context values are those of the base assignments and, whole, those of ``CONTEXT``.  Base
 spans always stay.  Words are those of passwords, then of the public tokenizer's vocabulary by rank.
 A repeat may have a unit of any length, and repeats and walks any part of their run; the runs of
-repeats are found in about n log n steps, and only within a run is a step's work the run's length.
+repeats are found in about n log n steps, and a step looks only at beginnings that may still win.
 
 Defined results: null counts as empty, without spans; positions are code points, end exclusive;
 whole texts are scanned at any length; repeated rows are scanned each; empty tables give empty
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from math import log2
 
@@ -81,12 +82,6 @@ def dictionary() -> Words:
     return out
 
 
-def __getattr__(name: str):
-    if name == "_RANK":
-        return dictionary()
-    raise AttributeError(name)
-
-
 _PLAIN = str.maketrans("@4301$5!7", "aaeoissit")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _NEXT = {(a, b): r for r, row in enumerate(KEYBOARD) for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
@@ -102,98 +97,168 @@ def _char_bits(c: str) -> float:
     return log2(33) if c.isascii() else log2(200)
 
 
+class Extent:
+    """How far two places of a value read alike: character by character, then by halving over prefix hashes."""
+
+    _M, _B = (1 << 61) - 1, 0x1F3D5B79A2C4E68
+
+    def __init__(self, value: str):
+        self.value, self.n, self.total = value, len(value), None
+
+    def _alike(self, x: int, y: int, size: int) -> bool:
+        if self.total is None:
+            self.total, self.power = [0], [1]
+            for c in self.value:
+                self.total.append((self.total[-1] * self._B + ord(c) + 1) % self._M)
+                self.power.append(self.power[-1] * self._B % self._M)
+        t, p = self.total, self.power[size]
+        return (t[x + size] - t[x] * p - t[y + size] + t[y] * p) % self._M == 0
+
+    def ahead(self, x: int, y: int) -> int:
+        """Characters alike from x and y on (x < y)."""
+        v, most = self.value, self.n - y
+        for k in range(min(most, 64)):
+            if v[x + k] != v[y + k]:
+                return k
+        low, high = min(most, 64), most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self._alike(x, y, middle) else (low, middle - 1)
+        return low
+
+    def back(self, x: int, y: int) -> int:
+        """Characters alike that end before x and y (x < y)."""
+        v, most = self.value, x
+        for k in range(min(most, 64)):
+            if v[x - 1 - k] != v[y - 1 - k]:
+                return k
+        low, high = min(most, 64), most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self._alike(x - middle, y - middle, middle) else (low, middle - 1)
+        return low
+
+
 def repeats(value: str) -> list[tuple[int, int, int]]:
     """(start, end, unit) of every longest run that says a shortest unit at least twice."""
-    n, out = len(value), []
+    n, out, extent = len(value), [], Extent(value)
     codes = np.array([ord(c) for c in value], np.uint32)
+    found: dict[int, tuple[list[int], list[int]]] = {}  # starts and ends of the runs of each unit, ascending
+
+    def within(k: int, end: int, unit: int) -> int:
+        """The end of a run of a part of the unit that holds k to end; 0 if there is none."""
+        for u, (starts, ends) in found.items():
+            if unit % u == 0 and (at := bisect_right(starts, k) - 1) >= 0 and ends[at] >= end:
+                return ends[at]
+        return 0
+
     for unit in range(1, n // 2 + 1):
-        done = 0
+        done, own = 0, ([], [])
         # A run's positions that equal those a unit later are at least ``unit`` on end: one is a multiple of it.
-        for k in (np.flatnonzero(codes[: n - unit : unit] == codes[unit::unit]) * unit).tolist():
-            if k < done:
-                continue
-            a = k
-            while a and value[a - 1] == value[a - 1 + unit]:
-                a -= 1
-            z = k + 1
-            while z < n - unit and value[z] == value[z + unit]:
-                z += 1
-                if z - k == 64:
-                    differ = codes[z : n - unit] != codes[z + unit :]
-                    z = z + int(differ.argmax()) if differ.any() else n - unit
-                    break
-            done = z
-            if z - a >= unit and not any(unit % u == 0 and x <= a and z + unit <= y for x, y, u in out):
-                out.append((a, z + unit, unit))
+        at, last = np.flatnonzero(codes[: n - unit : unit] == codes[unit::unit]) * unit, 0
+        while last < len(at):
+            k = int(at[last])
+            if known := within(k, k + unit + 1, unit):  # a shorter unit's run, which ends where this one would
+                done = known - unit
+            else:
+                a, z = k - extent.back(k, k + unit), k + extent.ahead(k, k + unit)
+                done = z
+                if z - a >= unit and not within(a, z + unit, unit):
+                    out.append((a, z + unit, unit))
+                    own[0].append(a)
+                    own[1].append(z + unit)
+            last = int(at.searchsorted(max(done, k + 1)))
+        if own[0]:
+            found[unit] = own
     return out
 
 
-def guess_bits(value: str, rank: Words | None = None) -> tuple[float, list[tuple[str, int, int]]]:
-    """The cheapest segmentation: its bits, and its (kind, start, end) parts."""
-    rank = dictionary() if rank is None else rank
-    n = len(value)
-    low = value.lower() if len(value.lower()) == n else value
-    plain = low.translate(_PLAIN)
-    inf = float("inf")
-    best, back = np.full(n + 1, inf), [("", 0)] * (n + 1)
-    best[0] = 0.0
-    brute, brute_from = [inf] * (n + 1), [0] * (n + 1)
-    times = np.log2(np.arange(n + 2).clip(1))
+class Run:
+    """A stretch of which any part of at least ``least`` steps may be a segment; its price grows with log2 of the steps.
+
+    Of two places where a part may begin, the farther one gains on the nearer with every step, so a
+    place that is no better than a farther one is dropped for good.
+    """
+
+    def __init__(self, kind: str, start: int, end: int, step: int, least: int, bits: float):
+        self.kind, self.start, self.end, self.step, self.least, self.bits = kind, start, end, step, least, bits
+        self.begins: dict[int, list[int]] = {}
+
+    def cheapest(self, i: int, best: list[float]) -> tuple[float, int]:
+        """The least cost of what ends at i by a part of the run, without SEGMENT, and where the part begins."""
+        new = i - self.least * self.step
+        if new < self.start:
+            return float("inf"), -1
+        kept, low, at = [], float("inf"), -1
+        for f in (*self.begins.get(new % self.step, ()), new):
+            cost = best[f] + log2((i - f) // self.step)
+            if cost < low:
+                low, at = cost, f
+                kept.append(f)
+        self.begins[new % self.step] = kept
+        return low + self.bits, at
 
-    # Runs of which any part may be a segment: (end, step, least steps, bits without the count's) by start.
-    runs: dict[int, list[tuple[str, int, int, int, int, float]]] = {}
+
+def runs(value: str, low: str) -> dict[int, list[Run]]:
+    """The repeats and keyboard walks of a value by their start."""
+    out: dict[int, list[Run]] = {}
     for a, z, unit in repeats(value):
         least = 3 if unit == 1 else 2
         if z - a >= least * unit:
-            runs.setdefault(a, []).append(("repeat", a, z, unit, least, sum(map(_char_bits, value[a : a + unit]))))
-    a = 0
+            out.setdefault(a, []).append(Run("repeat", a, z, unit, least, sum(map(_char_bits, value[a : a + unit]))))
+    a, n = 0, len(low)
     while a < n:
         z = a + 1
         while z < n and (low[z - 1], low[z]) in _NEXT:
             z += 1
         if z - a >= 3:
-            runs.setdefault(a, []).append(("walk", a, z, 1, 3, log2(sum(map(len, KEYBOARD))) + 1))
+            out.setdefault(a, []).append(Run("walk", a, z, 1, 3, log2(sum(map(len, KEYBOARD))) + 1))
         a = z
+    return out
 
-    def offer(i: int, j: int, kind: str, bits: float) -> None:
-        if best[i] + bits + SEGMENT < best[j]:
-            best[j], back[j] = best[i] + bits + SEGMENT, (kind, i)
 
-    open_runs: list[tuple[str, int, int, int, int, float]] = []
+def guess_bits(value: str, rank: Words | None = None) -> tuple[float, list[tuple[str, int, int]]]:
+    """The cheapest segmentation: its bits, and its (kind, start, end) parts."""
+    rank = dictionary() if rank is None else rank
+    n = len(value)
+    low = value.lower() if len(value.lower()) == n else value
+    plain = low.translate(_PLAIN)
+    forms = ((low, 0.0), (plain, 2.0)) if plain != low else ((low, 0.0),)
+    inf = float("inf")
+    best, back = [inf] * (n + 1), [("", 0)] * (n + 1)
+    best[0] = 0.0
+    brute, brute_from = [inf] * (n + 1), [0] * (n + 1)
+    starts, live = runs(value, low), []
     for i in range(n + 1):
-        open_runs = [r for r in open_runs if i <= r[2]]
-        for kind, a, _, step, least, bits in open_runs:
-            count = (i - a) // step  # the longest part that ends here says the unit so often
-            if count >= least:
-                first = i - count * step
-                cost = best[first : i - least * step + 1 : step] + times[least : count + 1][::-1]
-                k = int(cost.argmin())
-                if cost[k] + bits + SEGMENT < best[i]:
-                    best[i], back[i] = cost[k] + bits + SEGMENT, (kind, first + k * step)
-        open_runs += runs.get(i, ())
+        live = [r for r in live if i <= r.end]
+        for r in live:
+            cost, at = r.cheapest(i, best)
+            if cost + SEGMENT < best[i]:
+                best[i], back[i] = cost + SEGMENT, (r.kind, at)
+        live += starts.get(i, ())
         if brute[i] < best[i]:
             best[i], back[i] = brute[i], ("brute", brute_from[i])
         if i == n:
             break
         # Brute force: a new segment here, or the one that reaches here by one more character.
-        c = _char_bits(value[i])
-        if best[i] + SEGMENT <= brute[i]:
-            brute[i + 1], brute_from[i + 1] = float(best[i]) + SEGMENT + c, i
+        c, here = _char_bits(value[i]), best[i] + SEGMENT
+        if here <= brute[i]:
+            brute[i + 1], brute_from[i + 1] = here + c, i
         else:
             brute[i + 1], brute_from[i + 1] = brute[i] + c, brute_from[i]
         for j in range(i + 2, min(n, i + rank.longest) + 1):
-            for form, extra in ((low, 0.0), (plain, 2.0)):
+            for form, extra in forms:
                 r = rank.get(form[i:j])
-                if r is not None:
-                    offer(i, j, "word", r + extra + (value[i:j] != low[i:j]) * 1.0)
-        if m := _DATE.match(value, i):
-            offer(i, m.end(), "date", log2(36525))
+                if r is not None and (cost := here + r + extra + (value[i:j] != low[i:j])) < best[j]:
+                    best[j], back[j] = cost, ("word", i)
+        if (m := _DATE.match(value, i)) and (cost := here + log2(36525)) < best[m.end()]:
+            best[m.end()], back[m.end()] = cost, ("date", i)
     parts, j = [], n
     while j:
         kind, i = back[j]
         parts.append((kind, i, j))
         j = i
-    return float(best[n]), parts[::-1]
+    return best[n], parts[::-1]
 
 
 def spans(text: str, least_bits: float = LEAST_BITS, rank: Words | None = None) -> list[tuple[str, int, int]]:

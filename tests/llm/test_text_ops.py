@@ -97,38 +97,57 @@ def test_base_spans_against_the_patterns():
 
 
 def exhaustive_bits(value):
-    """The cheapest segmentation by trying every cut, from the same segment costs."""
+    """The cheapest segmentation by trying every cut and every kind, from the prices alone."""
     from functools import lru_cache
     from math import log2
 
-    n, low, plain = len(value), value.lower(), value.lower().translate(secrets._PLAIN)
+    n, low, plain, rank = len(value), value.lower(), value.lower().translate(secrets._PLAIN), secrets.dictionary()
 
-    def kinds(i, j):
+    def prices(i, j):
         s, out = value[i:j], [sum(map(secrets._char_bits, value[i:j]))]
         for form, extra in ((low, 0.0), (plain, 2.0)):
-            if j - i >= 2 and form[i:j] in secrets._RANK:
-                out.append(secrets._RANK[form[i:j]] + extra + (s != low[i:j]))
+            if j - i >= 2 and form[i:j] in rank:
+                out.append(rank[form[i:j]] + extra + (s != low[i:j]))
         if (m := secrets._DATE.match(value, i)) and m.end() == j:
             out.append(log2(36525))
+        for unit in range(1, (j - i) // 2 + 1):
+            times = (j - i) // unit
+            if times * unit == j - i and s[:unit] * times == s and times >= (3 if unit == 1 else 2):
+                out.append(sum(map(secrets._char_bits, s[:unit])) + log2(times))
+        if j - i >= 3 and all(any(a + b in row or b + a in row for row in secrets.KEYBOARD) for a, b in zip(low[i:j], low[i + 1 : j])):
+            out.append(log2(sum(map(len, secrets.KEYBOARD))) + 1 + log2(j - i))
         return out
 
     @lru_cache(None)
     def best(j):
-        return 0.0 if not j else min(best(i) + secrets.SEGMENT + min(kinds(i, j)) for i in range(j))
+        return 0.0 if not j else min(best(i) + secrets.SEGMENT + min(prices(i, j)) for i in range(j))
 
     return best(n)
 
 
 def test_guess_cost_is_the_minimum():
     g = random.Random(5)
-    parts = ["pass", "word", "P@ssw0rd", "dragon", "1999", "2024-05-06", "xK", "Q", "7", "zp", "love"]
-    for _ in range(200):
+    parts = ["pass", "word", "P@ssw0rd", "dragon", "1999", "2024-05-06", "xK", "Q", "7", "zp", "love", "ddd", "qwe", "4321", "abab", "xKxK", "aaaa", "ytr"]
+    kinds = set()
+    for _ in range(400):
         v = "".join(g.choice(parts) for _ in range(g.randint(1, 4)))
+        if g.random() < 0.3:
+            v = "".join(g.choice("ab1Q") for _ in range(g.randint(1, 14)))
         bits, cut = secrets.guess_bits(v)
         assert cut[0][1] == 0 and cut[-1][2] == len(v) and all(a[2] == b[1] for a, b in zip(cut, cut[1:]))
-        assert bits <= exhaustive_bits(v) + 1e-9
-        if not any(k in ("walk", "repeat") for k, *_ in cut):
-            assert bits == pytest.approx(exhaustive_bits(v))
+        assert bits == pytest.approx(exhaustive_bits(v)), v
+        kinds |= {k for k, *_ in cut}
+    assert kinds == {"word", "date", "repeat", "walk", "brute"}
+    assert secrets.guess_bits("passwordddd")[0] == pytest.approx(exhaustive_bits("passwordddd"))
+
+
+def test_long_values_and_gaps_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("password" + " " * 1_000_000, "bearer" + " " * 1_000_000, "token is " * 100_000, "secret=" + "x" * 300_000, "token=" + "ab" * 150_000, "secret=" + "7" * 99_999 + "8" + "7" * 100_000):
+        secrets.spans(text)
+    assert time.time() - began < 60
 
 
 def test_weak_and_strong_values():
