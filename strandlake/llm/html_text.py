@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, slices, strings, table
+from .common import fresh, map_arrow, slices, strings, table
 
 #: Elements that do not end a block (fixed values of the public standard).
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -40,14 +40,17 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 ENDS |= {h: {"p", "h1", "h2", "h3", "h4", "h5", "h6"} for h in ("h1", "h2", "h3", "h4", "h5", "h6")}
 ENDS |= {t: {"p"} for t in "div article section main nav aside header footer ul ol dl table form blockquote pre fieldset figure address hr".split()}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A tag without quotes, and one whose quotes are closed.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*)>""")
+QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"\w+")
 
 PATH_ROWS, WORD_ROWS = 4096, 2048
 PATH_DIM, WORD_DIM, EXTRA, HIDDEN = 16, 8, 6, 12
 INPUT = PATH_DIM + WORD_DIM + EXTRA
-PAGES, STEPS, BATCH = 600, 160, 24
+PAGES, STEPS, BATCH = 1000, 320, 24
 
 
 class Block:
@@ -70,6 +73,50 @@ def _element(name: str, attributes: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def tags(html: str, foreign=lambda: False):
+    """(text before, is it an end tag, name, attributes) of each tag, in time linear in the page.
+
+    Comments, declarations and what stands in RAW elements come as no tag and no text.  A quote
+    may hold a ``>`` as long as all quotes of a page close; from a tag whose quotes do not, every tag
+    ends at the next ``>``.  Where ``foreign`` says so, a RAW element may end with its start tag.
+    """
+    at, n, close, sound, said = 0, len(html), -1, True, 0
+    while (i := html.find("<", at)) >= 0:
+        kind = html[i + 1 : i + 2]
+        if kind == "!" and html.startswith("<!--", i):
+            yield html[said:i], False, "", ""
+            at = html.find("-->", i + 4)
+            said = at = n if at < 0 else at + 3
+            continue
+        if close < i:
+            close = html.find(">", i)
+            if close < 0:
+                break
+        if kind in ("!", "?"):
+            yield html[said:i], False, "", ""
+            said = at = close + 1
+            continue
+        m = TAG.match(html, i)
+        if not m and (m := NAME.match(html, i)):
+            quoted = QUOTED.match(html, i) if sound else None
+            sound, m = sound and quoted is not None, quoted or m
+        if not m:
+            at = i + 1
+            continue
+        name, attributes = m[2].lower(), m[3] if m.re is not NAME else html[m.end() : close]
+        yield html[said:i], bool(m[1]), name, attributes
+        said = at = close + 1 if m.re is NAME else m.end()
+        if name in RAW and not m[1] and not (attributes.endswith("/") and foreign()):
+            low = _RAW_END[name].search(html, at)
+            end = html.find(">", low.end()) if low else -1
+            yield "", False, "", ""
+            said = at = n if end < 0 else end + 1
+    yield html[said:], False, "", ""
+
+
+_RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
+
+
 def blocks(html: str | None) -> list[Block]:
     """The blocks of a page in page order, white space folded and references decoded."""
     if not html:
@@ -80,6 +127,16 @@ def blocks(html: str | None) -> list[Block]:
     path: list[tuple[int, ...]] = [()]
     links, linked = 0, 0
     drop = -1  # where on the stack the outermost dropped element is
+    opened: dict[str, int] = {}
+
+    def push(name: str, rows: tuple[int, ...] = ()) -> None:
+        stack.append((name, rows))
+        opened[name] = opened.get(name, 0) + 1
+
+    def pop(k: int) -> None:
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
 
     def flush() -> None:
         nonlocal linked
@@ -100,51 +157,40 @@ def blocks(html: str | None) -> list[Block]:
             if links:
                 linked += len(text)
 
-    at, n = 0, len(html)
-    while at < n:
-        m = TAG.search(html, at)
-        if not m:
-            say(html[at:])
-            break
-        say(html[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+    for raw, ends, name, attributes in tags(html, lambda: drop >= 0):
+        say(raw)
         if not name:
             continue
-        name = name.lower()
-        if not (m[1] or m[4]):
-            attributes = m[3] or m[6] or ""
-            if name in RAW and not (drop >= 0 and attributes.endswith("/")):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+        if not ends:
+            if name in RAW:
                 continue
             if name in DROPPED or drop >= 0:
                 if name not in VOID and not attributes.endswith("/"):
                     if drop < 0:
                         drop = len(stack)
-                    stack.append((name, ()))
+                    push(name)
                 continue
             if name in INLINE:
                 if name == "br":
                     say(" ")
                 elif name == "a":
                     links += 1
-                    stack.append((name, ()))
+                    push(name)
                 elif name not in VOID:
-                    stack.append((name, ()))
+                    push(name)
                 continue
             flush()
             links = 0
             for k in range(len(stack) - 1, -1, -1):  # what this start tag ends
                 if stack[k][0] in ENDS.get(name, ()):
-                    del stack[k:]
+                    pop(k)
                 elif stack[k][0] not in INLINE:
                     break
             if name not in VOID:
-                stack.append((name, _element(name, attributes.rstrip("/"))))
+                push(name, _element(name, attributes.rstrip("/")))
         else:
             ended = -1
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
                 if stack[k][0] == name:
                     ended = k
                     break
@@ -152,7 +198,7 @@ def blocks(html: str | None) -> list[Block]:
                     break  # a stray inline end tag does not close blocks
             if drop >= 0 and not 0 <= ended < drop:  # within a dropped element, or its end
                 if ended >= 0:
-                    del stack[ended:]
+                    pop(ended)
                     drop = drop if ended > drop else -1
                 continue
             if name not in INLINE and name not in DROPPED:
@@ -161,7 +207,7 @@ def blocks(html: str | None) -> list[Block]:
             if ended >= 0:
                 if name == "a":
                     links = max(0, links - 1)
-                del stack[ended:]
+                pop(ended)
                 drop = -1
     flush()
     return out
@@ -296,12 +342,18 @@ def _stack(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: How pages hold their main text: (open, close).
 _MAIN = [("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>")]
-_MAIN += [(f'<{t} {k}="{c}">', f"</{t}>") for t in ("div", "section", "article") for k in ("class", "id") for c in ("content", "post", "entry-content", "article-body", "story", "main-content", "post-body", "text", "page-content", "body-text")]
+#: Class and id words of main text, alone or joined in pairs.
+_BODY = "content post entry article body story text main page blog news detail".split()
 _SHORT = [("<nav><ul>", "<li><a href='/x'>{}</a></li>", "</ul></nav>"), ("<nav>", "<a href='/x'>{}</a> ", "</nav>"), ("<header>", "<div>{}</div>", "</header>"), ("<footer>", "{}", "</footer>"), ("<footer>", "<p>{}</p>", "</footer>"), ("<aside>", "<p>{}</p>", "</aside>"), ("<aside>", "<h3>{}</h3>", "</aside>"), ("<form>", "<label>{}</label><input>", "</form>"), ("<form>", "<p>{}</p><button>{}</button>", "</form>")]
 #: Class and id words of parts that are not main text.
 _BESIDE = """menu nav navbar navigation header footer sidebar side ad ads advert advertisement banner promo sponsor sponsored cookie cookies consent
 notice notification alert popup modal newsletter subscribe share social related recommended comments comment reply replies discussion respond
-breadcrumb breadcrumbs pagination toolbar topbar widget login search copyright legal disclaimer masthead""".split()
+breadcrumb breadcrumbs pagination toolbar topbar widget login search copyright legal disclaimer masthead responses thread reviews
+feedback subnav submenu byline meta tags authorbox sharing adsense sponsorship""".split()
+#: Those of readers' comments, whose text is most like an article's.
+_READERS = "comments comment reply replies discussion respond responses".split()
+#: Names of elements that hold whole pages or columns; they say nothing of what is in them.
+_SITE = "wrapper wrap container page site outer layout row col column grid inner app root".split()
 _SAID = """home about contact login subscribe newsletter cookies accept copyright privacy terms share comments reply search menu next previous
 advertisement sponsored rights reserved sign up follow us related""".split()
 _SYLLABLES = "an be ci da en fo ga he in ju ka lo me no or pa qu re st ti un ve wo xi yo zu er ion ing".split()
@@ -315,6 +367,9 @@ def compose(g: np.random.Generator) -> tuple[str, list[bool]]:
     def prose(lo: int, hi: int, stop: float = 0.9) -> str:
         return " ".join(word() for _ in range(int(g.integers(lo, hi)))).capitalize() + ("." if g.random() < stop else "")
 
+    def named(words: list[str]) -> str:
+        return any_of(words) if g.random() < 0.5 else any_of(["{}-{}", "{}_{}", "{} {}", "{}__{}"]).format(any_of(words), any_of(words))
+
     out, want = ["<!DOCTYPE html><html><head>"], []
 
     def put(html: str, main: bool) -> None:
@@ -329,44 +384,77 @@ def compose(g: np.random.Generator) -> tuple[str, list[bool]]:
     def beside() -> None:
         say = lambda: " ".join([prose(1, 5, 0.2), *([any_of(_SAID)] if g.random() < 0.5 else [])])
         notice = lambda: " ".join(f"{prose(6, 25, 0.5)} {any_of(_SAID)}" for _ in range(int(g.integers(5, 16))))
-        if g.random() < 0.5:
+        if g.random() < 0.45:
             a, each, z = any_of(_SHORT)
         else:
-            tag = any_of(["div", "div", "section", "aside", "ul"])
-            kind = any_of(_BESIDE) + (any_of(["", "", "-box", "-wrap", " block"]))
-            each = "<li>{}</li>" if tag == "ul" else any_of(["{} ", "<p>{}</p>", "<p>{}</p>", "<a href='/y'>{}</a> ", "<div>{}</div>", "<h3>{}</h3>", "<p><b>{}</b></p>"])
+            tag = any_of(["div", "div", "section", "aside", "ul", "table"])
+            kind = any_of(_BESIDE if g.random() < 0.75 else _READERS)
+            if g.random() < 0.5:  # a part is what its class says last, whatever it is a part of
+                kind = any_of(["{}-{}", "{}-{}", "{}_{}", "{}__{}"]).format(any_of(_BODY if g.random() < 0.7 else _SITE), kind)
+            kind += any_of(["", "", "-box", "-wrap", " block", "-list", "-section"])
+            each = {"ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}.get(tag) or any_of(["{} ", "<p>{}</p>", "<p>{}</p>", "<a href='/y'>{}</a> ", "<div>{}</div>", "<h3>{}</h3>", "<p><b>{}</b></p>", "<ul><li>{}</li></ul>", "<div class='item'><p>{}</p></div>", "<article><p>{}</p></article>"])
             a, z = f'<{tag} {any_of(["class", "class", "id"])}="{kind}">', f"</{tag}>"
         long, lengthy = g.random() < 0.4, g.random() < 0.1
         rows = int(g.integers(1, 8)) if not long else int(g.integers(1, 5))
         put(a + "".join(each.format(*([notice() if lengthy else prose(5, 40) if long else say()] * 2)) for _ in range(rows)) + z, False)
 
+    around = [f'<div {any_of(["class", "id"])}="{any_of(_SITE)}{any_of(["", "", "-inner"])}">' for _ in range(int(g.integers(0, 3)))] if g.random() < 0.4 else []
+    out += around
     for _ in range(int(g.integers(0, 5))):
         beside()
-    a, z = any_of(_MAIN) if g.random() < 0.6 else _MAIN[0]
+    if g.random() < 0.5:
+        a, z = any_of(_MAIN) if g.random() < 0.6 else _MAIN[0]
+    else:
+        tag = any_of(["div", "div", "section", "article"])
+        a, z = f'<{tag} {any_of(["class", "class", "id"])}="{named(_BODY)}">', f"</{tag}>"
+    if g.random() < 0.2:
+        a, z = a + f'<div class="{any_of([*_SITE, *_BODY])}">', "</div>" + z
     out.append(a)
     if g.random() < 0.85:
         put(f"<h1>{prose(1, 12, 0.5)}</h1>", True)
+    cell = lambda: str(int(g.integers(0, 5000))) if g.random() < 0.4 else prose(1, 4, 0.1)
+    plain = g.random() < 0.12  # pages whose paragraphs are div elements
     for _ in range(int(g.integers(1, 16)) if g.random() < 0.95 else int(g.integers(30, 80))):
         kind = g.random()
         text = prose(60, 300) if g.random() < 0.1 else prose(1, 60) if g.random() < 0.8 else prose(1, 4)
-        if kind < 0.7:
-            put(f"<p>{text}</p>" if g.random() < 0.8 else f"<p>{text}", True)
-        elif kind < 0.8:
+        if kind < 0.56:
+            put(f"<div>{text}</div>" if plain else f"<p>{text}</p>" if g.random() < 0.8 else f"<p>{text}", True)
+        elif kind < 0.64:
             put(f"<p><b>{text}<br>", True)
+        elif kind < 0.70:
+            put(f"<{(h := any_of(['h2', 'h2', 'h3', 'h4']))}>{prose(1, 6, 0.2)}</{h}>", True)
+        elif kind < 0.78:
+            tag = any_of(["ul", "ol"])
+            put(f"<{tag}>" + "".join(f"<li>{prose(2, 40 if g.random() < 0.3 else 12)}</li>" for _ in range(int(g.integers(1, 7)))) + f"</{tag}>", True)
+        elif kind < 0.82:
+            put(f"<blockquote>{text}</blockquote>" if g.random() < 0.6 else f"<blockquote><p>{text}</p></blockquote>", True)
         elif kind < 0.86:
-            put(f"<h2>{prose(1, 6, 0.2)}</h2>", True)
-        elif kind < 0.92:
-            put("<ul>" + "".join(f"<li>{prose(2, 12)}</li>" for _ in range(int(g.integers(1, 5)))) + "</ul>", True)
-        elif kind < 0.96:
-            put(f"<blockquote>{text}</blockquote>", True)
-        else:
             put(f"<p>{prose(1, 8, 0)} <a href='/z'>{prose(1, 3, 0)}</a> {text}</p>", True)
+        elif kind < 0.91:
+            wide = int(g.integers(1, 5))
+            head = "<tr>" + "".join(f"<th>{prose(1, 3, 0)}</th>" for _ in range(wide)) + "</tr>" if g.random() < 0.6 else ""
+            put("<table>" + head + "".join("<tr>" + "".join(f"<td>{cell()}</td>" for _ in range(wide)) + "</tr>" for _ in range(int(g.integers(1, 6)))) + "</table>", True)
+        elif kind < 0.95:
+            a_div = any_of(["", "", f' class="{any_of(["row", "col", "paragraph", "section", "inner", "lead", "intro", "note"])}"'])
+            put(f"<div{a_div}>{text}</div>" if g.random() < 0.5 else f"<div{a_div}><p>{text}</p><p>{prose(1, 40)}</p></div>", True)
+        elif kind < 0.97:
+            put("<dl>" + "".join(f"<dt>{prose(1, 3, 0)}</dt><dd>{prose(1, 15)}</dd>" for _ in range(int(g.integers(1, 5)))) + "</dl>", True)
+        elif kind < 0.985:
+            put(f"<pre>{text}</pre>", True)
+        else:
+            put(f"<figure><img src='/i'><figcaption>{prose(2, 12)}</figcaption></figure>", True)
         if g.random() < 0.04:
             out.append("<!-- -->")
             beside()
+    if g.random() < 0.2:  # readers' comments and the like at the end of the article itself, or next to it
+        if z.startswith("</article></"):
+            out.append("</article>")
+            z = z.removeprefix("</article>")
+        beside()
     out.append(z)
     for _ in range(int(g.integers(0, 5))):
         beside()
+    out += ["</div>"] * len(around)
     if g.random() < 0.8:
         out.append("</body></html>")
     html = "".join(out)
@@ -417,13 +505,14 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", labeller: L
     """``pages`` without ``html`` but with ``out``, the main text; rows stand alone, no shuffle."""
     shared = pages.sparkSession.sparkContext.broadcast(labeller or trained())
     rest = [c for c in pages.columns if c not in (html, out)]
-    src = pages.select(*[pages[c] for c in rest], pages[html].alias("__html"))
+    raw = fresh("html", rest)
+    src = pages.select(*[pages[c] for c in rest], pages[html].alias(raw))
     schema = src.select(*rest).schema.add(out, "string")
 
     def run(batches):
         net = shared.value
         for whole in batches:
-            for batch in slices(whole, "__html", 4_000_000):
+            for batch in slices(whole, raw, 4_000_000):
                 cut = [blocks(h) for h in strings(batch.column(len(rest)))]
                 text = [main_text(p, m) for p, m in zip(cut, net.label(cut))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.array(text, pa.string())], names=[*rest, out])
