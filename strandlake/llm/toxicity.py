@@ -17,7 +17,8 @@ score is 0; an empty table gives an empty result; only the named columns are rea
 
 from __future__ import annotations
 
-from itertools import islice
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -269,27 +270,20 @@ def _pack(starts: list[tuple[int, int]], ids: np.ndarray) -> tuple[np.ndarray, n
     return np.where(mask, ids[np.minimum(begin + place, max(len(ids) - 1, 0))] if len(ids) else 0, 0), mask
 
 
-class Rows(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Scorer:
     """Scores texts with a trained network; remembers the inputs of words it has met."""
 
     def __init__(self, net: Network):
         self.net = net
-        self.row = Rows()
+        self._forget()
         self.known = {d: np.zeros((0, 3 * HIDDEN), np.float32) for d in "fb"}
-        self.used = 0
+
+    def _forget(self) -> None:
+        self.row, self.used = defaultdict(count().__next__), 0  # numbers words in the order in which they are first asked for
 
     def _rows(self, tokens: list[bytes]) -> np.ndarray:
         if len(self.row) > REMEMBERED:
-            self.row.clear()
-            self.used = 0
+            self._forget()
         at = self.used
         ids = np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))
         if len(self.row) > at:
