@@ -37,6 +37,9 @@ REMEMBERED = 300_000
 #: The contractions that the public pattern lists (fixed values).
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
+#: The pattern that ``pretokens`` cuts by (a fixed value); another one is refused.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -234,6 +237,11 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
+    """The codec of a rank file; the public package must cut texts by the pattern that is built in here."""
+    import public_tokenizers
+
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the public tokenizers' pattern is not the one that this codec cuts by")
     return Codec(read_ranks(path), character_classes())
 
 
