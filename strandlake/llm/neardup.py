@@ -34,9 +34,11 @@ from .common import checkpoint_dir, components, cut, fresh, join_hot, map_arrow,
 ROWS = 4
 #: The threshold as a fraction: links need LEAST[1] * intersection >= LEAST[0] * union.
 LEAST = (75, 100)
-#: Most members and shingle hashes that one task compares at once.
-CHUNK_ROWS = 1024
-CHUNK_HASHES = 1_500_000
+#: Most members and shingle hashes that are compared at once with a bucket's anchors.
+CHUNK_ROWS = 256
+CHUNK_HASHES = 375_000
+#: Chunks that are put together where pairs of them are compared, so that members are copied less often.
+COARSE = 4
 #: Smallest members of a large bucket that join every chunk of it.
 ANCHORS = 16
 #: Ids that may be broadcast (about 16 bytes each); more are joined by a shuffle.
@@ -194,8 +196,11 @@ def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     comp = cut(components(edges))
     if not large.isEmpty():
         named = large.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        several = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        each = named.join(several, "bucket", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
+        several = cut(named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket"))
+        coarse = F.ceil(F.col("chunks") / COARSE).cast("int")
+        each = named.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "bucket", "left_semi").withColumn("chunks", coarse).withColumn("chunk", F.col("chunk") % F.col("chunks"))
+        # Within a coarse chunk, too: its parts have met the anchors only.
+        each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk or chunks = 1")
         pairs = each.select("bucket", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "cls", "comp")
         more = _judged(pairs, sets, ["bucket", "p", "q"])
         comp = cut(components(edges.unionByName(more)))
