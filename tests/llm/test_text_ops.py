@@ -200,12 +200,13 @@ def test_redaction_and_rows(spark):
 
 def test_licences_against_brute_force(spark):
     g = random.Random(6)
-    texts = [t for group in licences.TEMPLATES.values() for t in group]
+    texts = [t for group in licences.NOTICES.values() for t in group] + [t for whole in licences.TEXTS.values() for t in (whole, *whole.split("\n\n"))]
     rows = []
     for i in range(120):
         w = g.choice(texts).split()
         for _ in range(g.choice([0, 0, 1, 2, 4])):
             w[g.randrange(len(w))] = g.choice(["foo", "THE", "license"])
+        w = [x + g.choice(["", "", "", "\n", "\n\n"]) if i % 3 == 0 and g.random() < 0.2 else x for x in w]
         rows.append((i, "Intro text. " * g.randint(0, 2) + " ".join(w) + g.choice(["", "\nmore\n", " End of it. Licensed under CC BY 4.0."])))
     rows += [(200, None), (201, ""), (202, "a"), (203, "of the of the of the"), (203, "MIT\t\nLicense" * 3)]
     got = licences.find_licences(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, name string"), out="m").collect()
@@ -215,6 +216,26 @@ def test_licences_against_brute_force(spark):
     assert sum(len(r.m) > 0 for r in got) > 60
 
 
+def test_wrapped_notices_and_whole_licences_match(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation\nfiles."
+    texts = ["Read this.\n\n" + grant, "Copyright 2024 Ann\n\n" + licences.TEXTS["mit"], licences.TEXTS["bsd-3-clause"].replace("\n\n", "\r\n\r\n"), "Intro.\n" * 300 + licences.TEXTS["isc"]]
+    got = {r.k: {x.name for x in r.m} for r in licences.find_licences(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), out="m").collect()}
+    assert got[0] == {"mit"} and "mit" in got[1] and "bsd-3-clause" in got[2] and "isc" in got[3]
+    plan = licences.find_licences(spark.createDataFrame([(1, "a")], "k long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_clues_lose_no_match():
+    """A unit that shares as few bigrams of a template as LEAST allows still holds a clue."""
+    import re
+
+    clues, pattern = set(licences.clues()), re.compile(licences.clue_pattern().replace("++", "+"))
+    for _, grams in licences.templates():
+        least = -(-len(grams) * 2 // 3)
+        assert len(clues & set(grams)) > len(grams) - least
+    assert pattern.search("x mit -- license") and not pattern.search("emit license") and not pattern.search("a mit licenses")
+
+
 def test_long_units_of_few_bigrams_match(spark):
     texts = ["Released under the MIT License, " * 40, "Released under the MIT License, " * 4000, " ".join(f"w{i}" for i in range(5000)), "of the " * 900]
     got = licences.find_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), out="m").collect()
