@@ -39,6 +39,29 @@ def test_one_of_each_group_stays(spark):
     assert neardup.find_groups(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).columns == df.columns
 
 
+def test_copies_under_null_ids_go(spark):
+    t = "one two three four five six seven"
+    rows = [(1, t, "o"), (None, t, "o"), (None, t, "o"), (2, t, "o"), (None, None, "o"), (None, "another text of its own here", "o"), (3, "", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own string").withColumnRenamed("own", "shingles").withColumn("own", neardup.F.lit(1))
+    got = sorted(((r.doc_id, r.text) for r in neardup.keep_one(df).collect()), key=repr)
+    assert got == sorted([(1, t), (None, None), (None, "another text of its own here"), (3, "")], key=repr)
+    assert neardup.keep_one(df).columns == df.columns
+    alone = spark.createDataFrame([(None, t), (None, t)], "doc_id long, text string")
+    assert neardup.keep_one(alone).count() == 1
+    monkey = [(r.doc_id, r.kept) for r in neardup.find_groups(df).where("n_shingles = 3").collect()]
+    assert sorted(monkey, key=repr) == [(1, True), (2, False), (None, False), (None, False)]
+
+
+def test_hot_keys_are_joined_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    rows = [(k, "hot") for k in range(40)] + [(100 + k, f"k{k // 2}") for k in range(20)] + [(200, "lost")]
+    df = spark.createDataFrame(rows, "id long, key string")
+    side = df.where("key <> 'lost'").groupBy("key").agg(common.F.count("*").alias("n"), common.F.min("id").alias("least"))
+    got = common.join_hot(df, side, "key")
+    assert sorted((r.id, r.least) for r in got.collect()) == sorted((i, min(j for j, b in rows if b == a)) for i, a in rows if a != "lost")
+
+
 def test_shingle_hashes_do_not_depend_on_their_surroundings(monkeypatch):
     g = random.Random(1)
     texts = [" ".join(g.choice("abcdé") * g.randint(1, 4) for _ in range(g.randint(0, 40))) for _ in range(30)] + ["w" * 500 + " a b c d " + "v" * 300]
@@ -226,6 +249,41 @@ def test_labeller_on_unseen_pages():
     assert wrong / total < 0.02
 
 
+PARAGRAPH = "The river rose again in the night and the lower fields were under water by morning."
+SECOND = "Farmers had moved their animals to higher ground the day before, on advice from the council."
+READERS = "<p>I think that the council did well here.</p><p>Not at all, they were late again.</p>"
+#: Pages written by hand, and the text that must come out.
+PAGES = {
+    "cells": (f"<html><body><nav><a href=/>Home</a></nav><article><h1>Flood</h1><p>{PARAGRAPH}</p><table><tr><th>Place</th><th>Depth</th></tr><tr><td>Mill Lane</td><td>0.4 m</td></tr></table><p>{SECOND}</p></article><footer>Copyright</footer></body></html>", f"Flood\n{PARAGRAPH}\nPlace\nDepth\nMill Lane\n0.4 m\n{SECOND}"),
+    "div": (f'<html><body><div class="header"><a href=/>Home</a></div><div class="content"><h1>Flood</h1><div>{PARAGRAPH}</div><ul><li>Sandbags are at the fire station.</li><li>Roads are closed.</li></ul><p>{SECOND}</p></div><div class="footer">About us</div></body></html>', f"Flood\n{PARAGRAPH}\nSandbags are at the fire station.\nRoads are closed.\n{SECOND}"),
+    "compound": (f'<html><body><main><article><h1>Flood</h1><p>{PARAGRAPH}</p><p>{SECOND}</p></article><div class="article-comments">{READERS}</div></main></body></html>', f"Flood\n{PARAGRAPH}\n{SECOND}"),
+    "inner comments": (f'<html><body><article><h1>Flood</h1><p>{PARAGRAPH}</p><section id="comments"><h3>Comments</h3><div class="comment">{READERS}</div></section></article></body></html>', f"Flood\n{PARAGRAPH}"),
+    "definitions": (f'<html><body><div id="wrapper"><div class="menu"><ul><li>News</li><li>Sport</li></ul></div><div id="main-content"><h1>Flood</h1><p>{PARAGRAPH}</p><dl><dt>Depth</dt><dd>Forty centimetres at the mill.</dd></dl></div><div class="sidebar"><p>Most read this week</p></div></div></body></html>', f"Flood\n{PARAGRAPH}\nDepth\nForty centimetres at the mill."),
+    "drawings": (f'<body><article><p>{PARAGRAPH}</p><svg width="1"/><p>After svg.</p><math><mi>x</mi></math><p>{SECOND}</p></article></body>', f"{PARAGRAPH}\nAfter svg.\n{SECOND}"),
+    "notice": (f'<body><div class="cookie-notice"><p>We use cookies to give you the best experience on our site and to show you adverts.</p><button>Accept</button></div><div class="post"><h2>Flood</h2><p>{PARAGRAPH}</p><blockquote>{SECOND}</blockquote><form><label>Email</label><input></form></div><div id="related-posts"><h3>Related</h3><ul><li><a href=/a>Another flood</a></li></ul></div></body>', f"Flood\n{PARAGRAPH}\n{SECOND}"),
+    "nested": (f'<body><div class="page"><div class="row"><div class="col"><div class="entry-content"><div class="paragraph"><p>{PARAGRAPH}</p></div><div class="paragraph">{SECOND}</div></div></div><aside class="col"><p>Newsletter: sign up</p></aside></div></div></body>', f"{PARAGRAPH}\n{SECOND}"),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_written_by_hand(name):
+    html, want = PAGES[name]
+    page = html_text.blocks(html)
+    assert html_text.main_text(page, html_text.trained().label([page])[0]) == want
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    for piece in ('<a "', '<a "> ', "<a '" + '">', "<!", "</script ", "<script>x</script ", "<a ", "</x>", "<b ", "<!--", "<", "<p"):
+        text = piece * (4_000_000 // len(piece))
+        assert sum(len(t) for t, *_ in html_text.tags(text)) <= len(text)
+        list(html_text.tags(text + ">"))
+    assert time.time() - began < 40
+    assert [b.text for b in html_text.blocks('<p title="a > b">x</p><p \'>y</p><p>z')] == ["x", "y", "z"]
+
+
 def test_extraction_rows(spark):
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Head line</h1><p>First words of it.</p><p>Second &eacute;.</p></article><div class='comments'><p>I agree with this.</p></div><footer>&copy; x</footer></body></html>"
     df = spark.createDataFrame([(1, "u", page, "old"), (2, None, None, None), (3, "v", "", "o"), (3, "v", page, "o")], "page_id long, url string, html string, text string")

@@ -27,10 +27,74 @@ def test_batches_add_once(spark, rollup):
     assert {tuple(r) for r in rollup.totals().collect()} == want
 
 
-def test_a_writer_that_died_leaves_nothing(spark, rollup):
-    rows(spark, ("a", "en", "t1", 1, 10)).write.parquet(f"{rollup.path}/deltas/orphan")
-    assert rollup.totals().count() == 0
-    assert rollup._manifest("x.json", {"batches": ["x"], "folder": "none"}) and not rollup._manifest("x.json", {"batches": ["x"], "folder": "other"})
+class Killed(Exception):
+    """Stands for the end of a process."""
+
+
+def test_a_writer_that_died_leaves_nothing(spark, rollup, monkeypatch):
+    one = rows(spark, ("a", "en", "t1", 1, 10))
+    one.write.parquet(f"{rollup.path}/deltas/orphan")
+    whole = rollup.fs
+
+    class Dying:
+        """The file system, up to the call that the process does not live to make."""
+
+        def __init__(self, at):
+            self.at = at
+
+        def __getattr__(self, name):
+            if name == self.at:
+                raise Killed
+            return getattr(whole, name)
+
+    for at in ("create", "rename"):  # before the manifest exists, and between its writing and its name
+        rollup.fs = Dying(at)
+        with pytest.raises(Killed):
+            rollup.apply("load", one)
+        rollup.fs = whole
+        assert rollup.totals().count() == 0 and rollup.committed() == set()
+    stream = whole.create(rollup._path(f"{rollup.path}/pending/half"), False)
+    stream.write(bytearray(b'{"batch": "lo'))
+    stream.close()
+    assert rollup.apply("load", one) and not rollup.apply("load", one)
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t1", 1, 10)]
+
+
+def test_a_compactor_that_died_or_was_overtaken_loses_nothing(spark, rollup, monkeypatch):
+    one = rows(spark, ("a", "en", "t1", 1, 10))
+    total = lambda: [tuple(r) for r in rollup.totals().collect()]
+    assert rollup.apply("b1", one) and rollup.apply("b2", one) and not token_counts.Rollup(spark, rollup.path).apply("b2", one)
+    put = rollup._manifest
+
+    def dies(name, content):
+        raise Killed
+
+    monkeypatch.setattr(rollup, "_manifest", dies)
+    with pytest.raises(Killed):
+        rollup.compact()
+    monkeypatch.setattr(rollup, "_manifest", put)
+    assert total() == [("a", "en", "t1", 2, 20)]
+
+    other = token_counts.Rollup(spark, rollup.path)
+
+    def late(name, content):  # another writer commits, and another compactor finishes, before this one's manifest
+        assert other.apply("b3", one) and other.compact()
+        return put(name, content)
+
+    monkeypatch.setattr(rollup, "_manifest", late)
+    assert not rollup.compact()
+    monkeypatch.setattr(rollup, "_manifest", put)
+    assert total() == [("a", "en", "t1", 3, 30)] and rollup.committed() == {"b1", "b2", "b3"}
+    assert not rollup.compact() and rollup.apply("b4", one) and rollup.compact() and total() == [("a", "en", "t1", 4, 40)]
+    rollup.vacuum()
+    assert total() == [("a", "en", "t1", 4, 40)] and not any(rollup.apply(f"b{k}", one) for k in range(1, 5))
+
+
+def test_any_string_is_a_batch_id(spark, rollup):
+    ids = ["_hidden", ".dot", "a/b", "", "é \n", "x" * 5000]
+    assert all(rollup.apply(b, rows(spark, ("a", "en", "t1", 1, 1))) for b in ids)
+    assert not any(rollup.apply(b, rows(spark, ("a", "en", "t1", 1, 1))) for b in ids)
+    assert rollup.committed() == set(ids) and rollup.totals().first().docs == len(ids)
 
 
 def test_counts(spark):
@@ -96,3 +160,42 @@ def test_edges_from_elsewhere_and_empty_tables(spark):
     edges = spark.createDataFrame([("Q.info", "/x", "m.com", "/en/"), ("q.info", "/x", None, None)], "host string, path string, to_host string, to_path string")
     assert url_filter.judge_urls(df, edges, html=None).first().verdict == "block"
     assert url_filter.judge_urls(df.limit(0), edges, html=None).count() == 0
+
+
+def test_targets_are_resolved(spark):
+    from pyspark.sql import functions as F
+
+    base = "https://Site.org/a/b/c.html?q=1#f"
+    cases = {
+        "http://x.com/en/1": "x.com/en/1", "//y.com/p": "y.com/p", "/r/s": "site.org/r/s", "d.html": "site.org/a/b/d.html", "./d": "site.org/a/b/d", "../d": "site.org/a/d", "../../../d": "site.org/d",
+        "?x=2": "site.org/a/b/c.html", "#top": "site.org/a/b/c.html", "..": "site.org/a/", "e/./f/../g": "site.org/a/b/e/g", "mailto:a@b.c": None, "javascript:x": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("full", url_filter.resolve(F.lit(base), F.col("t")))
+    got = {r.t: None if r.full is None else r.h + r.p for r in df.select("t", "full", url_filter.host(F.col("full")).alias("h"), url_filter.path(F.col("full")).alias("p")).collect()}
+    assert got == cases
+
+
+def test_pages_state_aliases_in_their_head_only(spark):
+    pages = [
+        (1, "http://a.info/d/x", "<base href='http://m.com/'><link rel='canonical' href='en/1'>", "block"),  # against the base
+        (2, "http://b.info/x", "<!-- <link rel=canonical href='http://m.com/en/1'> --><p>canonical", "allow"),
+        (3, "http://c.info/x", "<script>var s='<link rel=canonical href=http://m.com/en/1>'</script>", "allow"),
+        (4, "http://d.info/x", "<link rel='alternate stylesheet' href='http://m.com/en/1'><p>canonical</p>", "allow"),
+        (5, "http://e.info/x", "<link href='http://m.com/en/1?a=1&amp;b=2' rel=\"prev canonical\">", "block"),
+        (6, "http://f.info/x", "<meta http-equiv=Refresh content='5;URL=http://m.com/en/1'>", "block"),
+        (7, "http://g.info/x", "<!-- canonical <link rel=canonical href=http://m.com/en/1>", "allow"),
+        (8, "http://h.info/x/", "<link rel=canonical href='../../en/5'><base href='//m.com/u/v/w'>", "block"),
+        (9, "http://i.info/x", "<link rel=canonical href='mailto:x@m.com'>", "allow"),
+    ]
+    df = spark.createDataFrame([(*p[:3], "own", True) for p in pages], "page_id long, url string, html string, own string, alias boolean")
+    out = url_filter.judge_urls(df)
+    assert {r.page_id: r.verdict for r in out.collect()} == {p[0]: p[3] for p in pages}
+    assert out.columns == ["page_id", "url", "own", "alias", "host", "path", "rule", "verdict"] and out.first().own == "own"
+
+
+def test_aliases_decide_in_the_query(spark, tmp_path):
+    urls = ["http://a.info/1", "http://b.org/es/2", "http://c.info/3", "http://d.info/4", "http://e.info/5", "http://f.com/en/6", "http://example.com/en/7", None, "http://g.info/9"]
+    spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_aliases(spark, str(tmp_path)).collect()}
+    assert [got[k][1] for k in range(9)] == ["block", "block", "block", "block", "allow", "block", "allow", "allow", "allow"]
+    assert got[0][0] is None and got[4][0] is None and got[6][0] == "example.com/en/7"
