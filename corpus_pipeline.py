@@ -2,7 +2,13 @@
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents.  Run one after another, each stage is written as Parquet in the shared
-folder and read again, so a lost executor repeats one stage's tasks at most.
+folder and read again, so a lost executor repeats one stage's tasks at most.  A run that is given a folder
+goes on after the last stage that it holds whole.
+
+Defined results of all stages: documents with null or empty texts are kept (they are neither toxic nor
+copies, hold no window and no secret, and encode to no tokens); null ids are kept as they are, and
+equal texts under null ids are copies like others; repeated rows are one document to the second
+stage; empty tables give empty results; other columns are handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,26 +17,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, decontaminate, neardup, secrets, toxicity
-from strandlake.llm.common import table, work_path
+from strandlake.llm.common import finished, table, work_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents of the corpus and drops those that score as toxic."""
+    """Learns from the labelled documents of the corpus and drops those that score as toxic.
+
+    Without labels of both kinds nothing is learnt and everything stays.
+    """
     return toxicity.keep_clean(docs, toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest id; texts without words all stay."""
     return neardup.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go; an empty benchmark takes none."""
     return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced, and n_chars follows."""
+    """Every document stays; its secrets are replaced, and n_chars follows (null for a null text)."""
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -46,9 +55,19 @@ STAGES = [("toxicity", drop_toxic), ("near_copies", drop_copies), ("decontaminat
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; the result reads what is kept below ``work`` (a new folder by default)."""
+    work = work or work_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(at := work_path(spark, f"pipeline-{name}"))
+        at = f"{work}/{name}"
+        if not finished(spark, at):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at)
         docs = spark.read.parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def clear(spark: SparkSession, work: str) -> None:
+    """Deletes what a run keeps below ``work``, once its result is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(work)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
