@@ -71,6 +71,10 @@ def harmonic(a: Column, b: Column) -> Column:
     return F.when(F.greatest(a, b) > 0, 2 * a * b / (a + b)).otherwise(0.0)
 
 
+def in_limits(length: Column, least: int, most: int) -> Column:
+    return length.between(least, most)
+
+
 def same_molecule(a: Column, b: Column) -> Column:
     return a == b
 

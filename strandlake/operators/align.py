@@ -1,58 +1,121 @@
-"""Pair alignment over Arrow batches: the one operator that needs Python on the executors."""
+"""Pair alignment over Arrow batches: the one operator that needs Python on the executors.
+
+A block of queries of a checked size is broadcast and every reference is aligned with it where it is
+read, so neither side's coordinates pass through a shuffle and no row holds a pair.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..kernels.search import Chain, align_pair
+from ..kernels.search import Chain, align_pair, similarity
 from ..model import HITS
 from ..options import SearchOptions
 
-#: Pairs of like cost go to one partition; the cost of a pair is the product of its lengths.
-COST_PER_TASK = 40_000_000
+#: Bytes of query structures that are broadcast at once; a larger query set is searched in several blocks.
+BROADCAST_BYTES = 64_000_000
+#: What a position of a structure takes: three coordinates, a residue and a secondary structure.
+POSITION_BYTES = 26
+SIDE = ("struct_id", "length", "mol_type", "seq", "ss", "x", "y", "z")
+
+
+@dataclass
+class Block:
+    """Query structures by molecule type, ascending by length, so that those of like length are a slice."""
+
+    rows: dict[str, list[tuple[int, int, Chain]]] = field(default_factory=dict)
+    size: int = 0
+
+    def add(self, r: Row) -> None:
+        self.rows.setdefault(r.mol_type, []).append((r.length, r.struct_id, chain(r.seq, r.mol_type, r.x, r.y, r.z, r.ss)))
+        self.size += POSITION_BYTES * r.length
+
+    def ready(self) -> Block:
+        for own in self.rows.values():
+            own.sort(key=lambda t: t[:2])
+        return self
+
+    def like(self, mol: str, length: int, coverage: float) -> list[tuple[int, int, Chain]]:
+        """Queries of the type whose length and ``length`` cover each other by at least ``coverage`` (0: all)."""
+        own = self.rows.get(mol, [])
+        if not coverage:
+            return own
+        low = bisect_left(own, True, key=lambda t: t[0] >= length * coverage)
+        return own[low : bisect_left(own, True, key=lambda t: t[0] * coverage > length)]
 
 
 def chain(seq: str, mol: str, x, y, z, ss: str | None) -> Chain:
     return Chain(np.column_stack([x, y, z]), seq, mol, ss)
 
 
-def deal(pairs: DataFrame, cost: int = COST_PER_TASK) -> DataFrame:
-    """Spreads pairs so that tasks cost about the same, by counting the cost once.
+def within(structures: DataFrame, options: SearchOptions) -> DataFrame:
+    """The structures that the length limits let through, with the columns that a search reads."""
+    return structures.where(F.col("length").between(options.min_length, options.max_length)).select(*SIDE)
 
-    A round-robin deal ignores keys, so one query or one reference with most pairs is no hot task.
-    """
-    total = pairs.agg(F.sum(F.col("q_len").cast("long") * F.col("r_len"))).first()[0] or 0
-    return pairs.repartition(max(1, min(100_000, int(total // cost) + 1), pairs.sparkSession.sparkContext.defaultParallelism))
+
+def blocks(queries: DataFrame, limit: int | None = None) -> Iterator[Block]:
+    """The stated query set in blocks of at most ``limit`` bytes (one structure at least); one at a time on the driver."""
+    limit = limit or BROADCAST_BYTES
+    block = Block()
+    for r in queries.toLocalIterator():
+        if block.size and block.size + POSITION_BYTES * r.length > limit:
+            yield block.ready()
+            block = Block()
+        block.add(r)
+    if block.size:
+        yield block.ready()
 
 
-def align_pairs(pairs: DataFrame, options: SearchOptions) -> DataFrame:
-    """Hits of pairs (q_id, r_id and, for each side, seq, mol, ss, x, y, z).
+def align_against(refs: DataFrame, block: Block, options: SearchOptions, coverage: float = 0.0, each_once: bool = False) -> DataFrame:
+    """Hits of every reference with the queries of a block.
 
-    A pair is one row and one result at most; a pair that fails the score screen gives none.
+    A pair gives one row at most: none if types differ, lengths do not cover each other, or a screen by
+    sequence or score ends it.  With ``each_once`` only pairs whose query has the smaller id are aligned.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    schema = to_arrow_schema(_parse_datatype_string(HITS))
+    shared = refs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        queries = shared.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows, own = [], None
+                for _, q_id, q in queries.like(r["mol_type"], r["length"], coverage):
+                    if each_once and q_id >= r["struct_id"] or options.pre_similarity and similarity(q.seq, r["seq"]) < options.pre_similarity:
+                        continue
+                    own = own or chain(r["seq"], r["mol_type"], r["x"], r["y"], r["z"], r["ss"])
+                    hit = align_pair(q, own, options)
+                    if hit:
+                        rows.append({"query_id": q_id, "ref_id": r["struct_id"], **hit})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return refs.mapInArrow(run, HITS)
+
+
+def align_rows(pairs: DataFrame, options: SearchOptions) -> DataFrame:
+    """Hits of pairs that are known beforehand, a row each (q_id, r_id and, for each side, mol, seq, ss, x, y, z)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
     schema = to_arrow_schema(_parse_datatype_string(HITS))
 
     def run(batches):
-        memo: dict = {}
         for batch in batches:
             rows = []
             for p in batch.to_pylist():
-                sides = []
-                for s in "qr":
-                    k = (s, p[f"{s}_id"])
-                    if k not in memo:
-                        if len(memo) > 256:
-                            memo.clear()
-                        memo[k] = chain(p[f"{s}_seq"], p[f"{s}_mol"], p[f"{s}_x"], p[f"{s}_y"], p[f"{s}_z"], p.get(f"{s}_ss"))
-                    sides.append(memo[k])
-                hit = align_pair(*sides, options)
-                if hit:
+                q, r = (chain(p[f"{s}_seq"], p[f"{s}_mol"], p[f"{s}_x"], p[f"{s}_y"], p[f"{s}_z"], p[f"{s}_ss"]) for s in "qr")
+                if hit := align_pair(q, r, options):
                     rows.append({"query_id": p["q_id"], "ref_id": p["r_id"], **hit})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, by ``spark.checkpoint.dir`` (tests: below the warehouse)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints").rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster shares (tests: below the warehouse)."""
+    """Cuts the lineage by a reliable checkpoint."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again."""
+    df.write.parquet(at := f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
     """(id, component) of vertices with an edge; a component is named by its smallest id.
 

@@ -50,7 +50,7 @@ class SearchOptions:
     detailed: bool = True
     convergence: int = 18
     gap_cost: float = 0.6
-    seed_rule: int = 0
+    seed_rule: int = 64
     window: int = 256
     min_length: int = 20
     max_length: int = 4000

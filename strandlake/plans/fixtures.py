@@ -42,8 +42,29 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("sid", "i", run("a").alias("x"), run("b").alias("y"), run("c").alias("z"), F.when(nucleic, "NA").otherwise("Protein").alias("mol"), F.count("*").over(Window.partitionBy("sid")).cast("int").alias("len"), F.when(nucleic, letter(NUCLEIC)).otherwise(letter(PROTEIN)).alias("res"))
 
 
-def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same chains as rows of the structures table."""
-    row = F.struct("i", "x", "y", "z", "res")
-    g = positions(spark, sf_dir).groupBy("sid").agg(F.first("mol").alias("mol_type"), F.first("len").alias("length"), F.array_sort(F.collect_list(row)).alias("p"))  # at most 84 positions
-    return g.select(F.col("sid").cast("long").alias("struct_id"), F.concat(F.lit("chain"), F.col("sid").cast("string")).alias("description"), "mol_type", "length", F.array_join(F.col("p")["res"], "").alias("seq"), F.lit(None).cast("string").alias("ss"), F.col("p")["x"].alias("x"), F.col("p")["y"].alias("y"), F.col("p")["z"].alias("z"))
+def structures(spark: SparkSession, sf_dir: str, ss: bool = False) -> DataFrame:
+    """The same chains as rows of the structures table; with ``ss`` proteins have their secondary structure."""
+    from ..operators.secstr import protein_structure
+
+    p = positions(spark, sf_dir)
+    p = protein_structure(p) if ss else p.withColumn("ss", F.lit(None).cast("string"))
+    g = p.groupBy("sid").agg(F.first("mol").alias("mol_type"), F.first("len").alias("length"), F.array_sort(F.collect_list(F.struct("i", "x", "y", "z", "res", "ss"))).alias("p"))  # at most 84 positions
+    whole = F.when(F.col("mol_type") == "Protein", F.array_join(F.col("p")["ss"], "")) if ss else F.lit(None).cast("string")
+    return g.select(F.col("sid").cast("long").alias("struct_id"), F.concat(F.lit("chain"), F.col("sid").cast("string")).alias("description"), "mol_type", "length", F.array_join(F.col("p")["res"], "").alias("seq"), whole.alias("ss"), F.col("p")["x"].alias("x"), F.col("p")["y"].alias("y"), F.col("p")["z"].alias("z"))
+
+
+#: A turn and a shift, and how many residues a copy lacks in the middle.
+TURN, SHIFT, MISSING = (0.36, 0.48, -0.8, -0.8, 0.6, 0.0, 0.48, 0.64, 0.6), (1.0, 2.0, -3.0), 10
+#: Ids of copies start here.
+COPY = 1_000_000_000
+
+
+def copies(structures: DataFrame) -> DataFrame:
+    """Each structure turned, shifted and without MISSING residues after its middle."""
+    cut = F.floor(F.col("length") / 2).cast("int")
+    without = lambda c: F.concat(F.slice(c, F.lit(1), cut), F.slice(c, cut + MISSING + 1, F.col("length") - cut - MISSING))
+    row = lambda r: lambda t: TURN[3 * r] * t["x"] + TURN[3 * r + 1] * t["y"] + TURN[3 * r + 2] * t["z"] + SHIFT[r]
+    moved = [F.transform(F.arrays_zip("x", "y", "z"), row(r)).alias(c) for r, c in enumerate("xyz")]
+    whole = structures.select((F.col("struct_id") + COPY).alias("struct_id"), F.regexp_replace("description", "^chain", "copy").alias("description"), "mol_type", "length", "seq", F.lit(None).cast("string").alias("ss"), *moved)
+    seq = F.concat(F.substring(F.col("seq"), F.lit(1), cut), F.substring(F.col("seq"), cut + MISSING + 1, F.col("length")))
+    return whole.select("struct_id", "description", "mol_type", (F.col("length") - MISSING).alias("length"), seq.alias("seq"), "ss", *[without(c).alias(c) for c in "xyz"])

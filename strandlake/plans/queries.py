@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.residues import LETTER, letter, substitution
-from ..functions.text import identifier, output_name, wrapped
+from ..functions.text import identifier, middle_mark, output_name, wrapped
 from ..operators import aggregates as A
+from ..operators import pairs as P
 from ..operators import secstr
-from ..operators.cluster import cluster_rows
-from ..operators.filters import diagonal_scores
-from ..operators.graph import connected_components
-from ..options import ClusterOptions, SearchOptions
-from ..sources.reports import cluster_sequences, json_lines, plain_lines
-from .fixtures import POSITIONS_SQL, positions, structures
-from .search import cluster, search
+from ..operators.cluster import cluster_rows, clusters, distance
+from ..operators.filters import diagonal_scores, longest_first, reportable, scored, sort_key, top_hits
+from ..options import ClusterOptions, ReadOptions, SearchOptions
+from ..sources import files, reports
+from .checks import copied_hits, recomputed
+from .fixtures import POSITIONS_SQL, copies, positions, structures
+from .search import all_pairs, candidate_pairs, cluster, search
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -89,11 +91,11 @@ select * from ranked where rank <= 2000"""
 def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the query set against all at equal places, above a threshold, ranked per query."""
     p = _sides(positions(spark, sf_dir))
-    score = lambda side: F.sum(1 / (1 + d2() / F.pow(S.d0(F.col(f"{side}len"), F.col(f"{side}mol")), 2))) / F.col(f"{side}len")
-    t = p.groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id"), "qlen", "rlen").agg(score("q").alias("tq"), score("r").alias("tr"))
-    t = t.where(F.greatest("tq", "tr") >= 0.05).select("query_id", "ref_id", F.round("tq", 6).alias("tmscore_query"), F.round("tr", 6).alias("tmscore_refn"), F.round(F.greatest("tq", "tr"), 6).alias("greater"), F.round(S.harmonic(F.col("tq"), F.col("tr")), 6).alias("harmonic"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("greater"), "ref_id")
-    return t.withColumn("rank", F.row_number().over(w)).where("rank <= 2000")
+    score = lambda side: S.normalised(A.tm_sum(d2(), S.d0(F.col(f"{side}len"), F.col(f"{side}mol"))), F.col(f"{side}len"))
+    t = p.groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id"), "qlen", "rlen").agg(score("q").alias("tmscore_query"), score("r").alias("tmscore_refn"), F.count("*").alias("n_aligned"))
+    both = (F.col("tmscore_query"), F.col("tmscore_refn"))
+    t = reportable(t, 0.05).select("query_id", "ref_id", F.round(S.harmonic(*both), 6).alias("harmonic"), *[F.round(c, 6).alias(n) for c, n in zip(both, ("tmscore_query", "tmscore_refn"))])
+    return top_hits(t, "tm_greater", 2000).select("query_id", "ref_id", *("tmscore_query", "tmscore_refn"), S.greater(*both).alias("greater"), "harmonic", "rank")
 
 
 @query(POSITIONS_SQL + "select sid, i, x, y, z, mol, len, res from pos")
@@ -111,7 +113,7 @@ def structure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = positions(spark, sf_dir)
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "res"))), lambda t: t["res"]), "")
     g = p.groupBy("sid").agg(A.molecule_vote(F.when(F.col("mol") == "NA", 1).otherwise(-1)).alias("mol_type"), F.count("*").alias("length"), seq.alias("seq"))
-    return g.select("sid", "mol_type", "length", "seq", F.round(S.d0(F.col("length"), F.col("mol_type")), 6).alias("d0"), F.col("length").between(48, 84).alias("in_limits"))
+    return g.select("sid", "mol_type", "length", "seq", F.round(S.d0(F.col("length"), F.col("mol_type")), 6).alias("d0"), S.in_limits(F.col("length"), 48, 84).alias("in_limits"))
 
 
 @query(POSITIONS_SQL + ", one as (select sid, max(len) as n from pos group by sid) select cast(count(*) as bigint) as structures, cast(sum(n) as bigint) as residues, cast(sum(case when sid % 100 = 0 then n else 0 end) * sum(n) as bigint) as search_space from one")
@@ -194,18 +196,10 @@ def sequence_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(POSITIONS_SQL + ", one as (select distinct sid, len, mol from pos) select a.mol, a.len as len_a, b.len as len_b, cast(count(*) as bigint) as pairs from one a join one b on a.mol = b.mol and a.sid < b.sid and greatest(a.len, b.len) * 0.7 <= least(a.len, b.len) group by a.mol, a.len, b.len")
 def coverage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that the length-coverage filter of clustering lets through, by type and lengths.
-
-    A pair is counted at its structure of smaller id, by running counts of the lengths that follow, so
-    structures are never joined with each other.
-    """
-    one = positions(spark, sf_dir).where("i = 1").select("sid", "len", "mol")
-    w = Window.partitionBy("mol").orderBy(F.col("sid").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    lens = [84, 72, 60, 48, 36]
-    later = one.select("mol", "len", *[F.coalesce(F.sum(F.when(F.col("len") == k, 1).otherwise(0)).over(w), F.lit(0)).alias(f"n{k}") for k in lens])
-    flat = later.select("mol", F.col("len").alias("len_a"), F.explode(F.array(*[F.struct(F.lit(k).alias("len_b"), F.col(f"n{k}").alias("n")) for k in lens])).alias("t"))
-    g = flat.groupBy("mol", "len_a", F.col("t")["len_b"].alias("len_b")).agg(F.sum(F.col("t")["n"]).alias("pairs"))
-    return g.where((F.col("pairs") > 0) & (F.greatest("len_a", "len_b") * 0.7 <= F.least("len_a", "len_b")))
+    """Pairs that the length-coverage filter of clustering lets through, by type and lengths (of the smaller id first)."""
+    one = positions(spark, sf_dir).where("i = 1").select(F.col("sid").alias("struct_id"), F.col("mol").alias("mol_type"), F.col("len").alias("length"))
+    g = all_pairs(one, ClusterOptions(coverage=0.7), SearchOptions()).groupBy(F.col("q_mol").alias("mol"), F.col("q_len").alias("len_a"), F.col("r_len").alias("len_b"))
+    return g.agg(F.count("*").alias("pairs"))
 
 
 _COV = ", ".join([f"round(sum(q.{a} * r.{b}), 6) as s_{a}{b}" for a in "xyz" for b in "xyz"] + [f"round(sum({s}.{a}), 6) as {s}_{a}" for s in "qr" for a in "xyz"] + ["cast(count(*) as bigint) as n"] + [f"round(sum({s}.{a} * {s}.{a}), 6) as {s}{s}_{a}" for s in "qr" for a in "xyz"])
@@ -231,23 +225,23 @@ _KEYS = {"tm_greater": "greatest(tq, tr)", "tm_refn": "tr", "tm_query": "tq", "t
     POSITIONS_SQL
     + ","
     + _SS
-    + f""", t as (
+    + f""", typed as (select * replace (case when mol = 'NA' then '.' else ss end as ss) from sspos),
+t as (
   select q.sid as query_id, r.sid as ref_id, sum(1 / (1 + {_D2} / power({_D0.format(m="q.mol", n="q.len")}, 2))) / q.len as tq, sum(1 / (1 + {_D2} / power({_D0.format(m="r.mol", n="r.len")}, 2))) / r.len as tr,
     sum({_T2.format(d=_D2, n=_D0.format(m="q.mol", n="q.len"))}) / q.len as sq, sum({_T2.format(d=_D2, n=_D0.format(m="r.mol", n="r.len"))}) / r.len as sr, sqrt(avg({_D2})) as rmsd
-  from sspos q join sspos r on q.mol = r.mol and q.i = r.i where {_SET} and q.mol = 'Protein' group by q.sid, r.sid, q.len, r.len)
+  from typed q join typed r on q.mol = r.mol and q.i = r.i where {_SET} group by q.sid, r.sid, q.len, r.len)
 select query_id, ref_id, """
     + ", ".join(f"cast(row_number() over (partition by query_id order by round({v}, 6) desc, ref_id) as int) as {k}" for k, v in _KEYS.items())
     + " from t"
 )
 def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank of each hit under all nine sort keys, second scores without unmatched helices."""
-    p = _sides(secstr.protein_structure(positions(spark, sf_dir).where("mol = 'Protein'")), ("ss",))
-    one = lambda side: 1 / (1 + d2() / F.pow(S.d0(F.col(f"{side}len"), F.col(f"{side}mol")), 2))
+    ss = secstr.protein_structure(positions(spark, sf_dir))
+    p = _sides(ss.withColumn("ss", F.when(F.col("mol") == "NA", ".").otherwise(F.col("ss"))), ("ss",))
+    one = lambda side: S.pair_score(d2(), S.d0(F.col(f"{side}len"), F.col(f"{side}mol")))
     odd = (F.col("qss") == "h") != (F.col("rss") == "h")
     second = lambda side: F.when(odd, 0.0).otherwise(one(side))
     t = p.groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id"), "qlen", "rlen").agg((F.sum(one("q")) / F.col("qlen")).alias("tmscore_query"), (F.sum(one("r")) / F.col("rlen")).alias("tmscore_refn"), (F.sum(second("q")) / F.col("qlen")).alias("tm2score_query"), (F.sum(second("r")) / F.col("rlen")).alias("tm2score_refn"), F.sqrt(F.avg(d2())).alias("rmsd"))
-    from ..operators.filters import sort_key
-
     rank = lambda k: F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(sort_key(k), 6).desc(), "ref_id")).alias(k)
     return t.select("query_id", "ref_id", *[rank(k) for k in _KEYS])
 
@@ -256,26 +250,20 @@ def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     POSITIONS_SQL
     + f""", o as (
   select q.sid as query_id, r.sid as ref_id, q.i - r.i as off, round(sum(1 / (1 + {_D2} / power({_D0.format(m="q.mol", n="least(q.len, r.len)")}, 2))), 6) as score
-  from pos q join pos r on q.mol = r.mol and q.i - r.i between -10 and 10 where {_SET} group by q.sid, r.sid, q.i - r.i)
+  from pos q join pos r on q.mol = r.mol where {_SET} group by q.sid, r.sid, q.i - r.i, q.len, r.len having count(*) >= greatest(5, least(q.len, r.len) // 2))
 select query_id, ref_id, max(score) as score, cast(max((score, -off))[2] * -1 as int) as off from o group by query_id, ref_id"""
 )
 def best_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of 21 gapless alignments of each pair, by an equi-join on the shifted place."""
-    p = positions(spark, sf_dir)
-    cols = ("sid", "i", "x", "y", "z", "mol", "len")
-    q = p.where(F.col("sid") % 100 == 0).select(*[F.col(c).alias(f"q{c}") for c in cols]).withColumn("off", F.explode(F.sequence(F.lit(-10), F.lit(10)))).withColumn("ri", F.col("qi") - F.col("off"))
-    r = p.select(*[F.col(c).alias(f"r{c}") for c in cols])
-    j = r.join(_broadcast(q), (F.col("qmol") == F.col("rmol")) & (q["ri"] == r["ri"]))
-    score = F.sum(1 / (1 + d2() / F.pow(S.d0(F.least("qlen", "rlen"), F.col("qmol")), 2)))
-    o = j.groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id"), "off").agg(F.round(score, 6).alias("score"))
-    return o.groupBy("query_id", "ref_id").agg(F.max("score").alias("score"), A.best(F.col("off"), F.struct("score", (-F.col("off")).alias("n"))).alias("off"))
+    """The best gapless alignment of each pair, of all that overlap enough; a pair is one row."""
+    s = structures(spark, sf_dir)
+    return P.best_diagonals(P.block_pairs(_queries(s), s)).select(F.col("q_id").alias("query_id"), F.col("r_id").alias("ref_id"), "diagonal.score", "diagonal.off")
 
 
 @query(POSITIONS_SQL + f"select q.sid as query_id, r.sid as ref_id, cast(sum(case when q.res = r.res then 1 else 0 end) as bigint) as n_identities, cast(sum(case when {_D2} <= 25 then 1 else 0 end) as bigint) as n_matched, string_agg(case when q.res = r.res and {_D2} <= 25 then upper(q.res) when q.res = r.res then lower(q.res) when {_D2} <= 25 then '+' else ' ' end, '' order by q.i) as middle from pos q join pos r on q.mol = r.mol and q.i = r.i where {_SET} group by q.sid, r.sid")
 def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities, matches within 5 A and the middle line of each pair."""
     same, near = F.col("qres") == F.col("rres"), d2() <= 25
-    mark = F.when(same & near, F.upper("qres")).when(same, F.lower("qres")).when(near, "+").otherwise(" ")
+    mark = middle_mark(F.col("qres"), F.col("rres"), near)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("qi", mark.alias("m")))), lambda t: t["m"]), "")
     return _sides(positions(spark, sf_dir)).groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id")).agg(F.sum(same.cast("long")).alias("n_identities"), F.sum(near.cast("long")).alias("n_matched"), text.alias("middle"))
 
@@ -289,10 +277,7 @@ select user_id, round(greatest(0, max(s - m)), 4) as best_run from low group by
 def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best run of a signed series: running sums and running minima."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", (F.col("value") - 50).alias("v"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    run = e.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    low = run.withColumn("m", F.least(F.lit(0.0), F.coalesce(F.min("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
-    return low.groupBy("user_id").agg(F.round(F.greatest(F.lit(0.0), F.max(F.col("s") - F.col("m"))), 4).alias("best_run"))
+    return A.best_run(e, ["user_id"], ["ts", "event_id"], "v").select("user_id", F.round("best_run", 4).alias("best_run"))
 
 
 @query(
@@ -302,11 +287,8 @@ select user_id, cast(segment as bigint) as segment, cast(count(*) as bigint) as
 )
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmentation at each change of kind: a flag and its running sum, as chains are cut."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    cut = F.when(F.col("event_type") != F.lag("event_type").over(w), 1).otherwise(0)
-    s = e.select("user_id", "ts", "event_id", cut.alias("cut")).withColumn("segment", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("user_id", "segment").agg(F.count("*").alias("n"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    return A.segmented(e, ["user_id"], ["ts", "event_id"], "event_type").groupBy("user_id", "segment").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -341,18 +323,17 @@ def residue_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(POSITIONS_SQL + f", d as (select q.sid as query_id, r.sid as ref_id, q.i, min((round({_D2}, 6), r.i)) as m from pos q join pos r on q.mol = r.mol where {_SET} group by q.sid, r.sid, q.i) select query_id, ref_id, i, m[2] as nearest, m[1] as d2 from d")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each position of the query set the nearest one of every reference, exactly.
+    """For each position of the query set the nearest one of every reference, exactly; a pair is one row until its positions are listed."""
+    s = structures(spark, sf_dir)
+    return P.nearest_positions(P.block_pairs(_queries(s), s))
 
-    Distance (in millionths) and place are packed into one long, so the minimum is a hash aggregate
-    that keeps one candidate a group before the shuffle, without a sort.
-    """
-    p = positions(spark, sf_dir)
-    cols = ("sid", "i", "x", "y", "z", "mol")
-    q = p.where(F.col("sid") % 100 == 0).select(*[F.col(c).alias(f"q{c}") for c in cols])
-    r = p.select(*[F.col(c).alias(f"r{c}") for c in cols])
-    near = F.min(F.round(d2() * 1e6).cast("long") * 100_000 + F.col("ri"))
-    g = r.join(_broadcast(q), F.col("qmol") == F.col("rmol")).groupBy(F.col("qsid").alias("query_id"), F.col("rsid").alias("ref_id"), F.col("qi").alias("i")).agg(near.alias("m"))
-    return g.select("query_id", "ref_id", "i", (F.col("m") % 100_000).cast("int").alias("nearest"), (F.expr("m div 100000") / 1e6).alias("d2"))
+
+@query(POSITIONS_SQL + "," + _SS + f""", d as (select q.sid as query_id, r.sid as ref_id, q.i, min((round({_D2}, 6), r.i)) as m from sspos q join sspos r on q.mol = r.mol and q.ss = r.ss
+  where {_SET} and q.mol = 'Protein' and round({_D2}, 6) <= 64 group by q.sid, r.sid, q.i) select query_id, ref_id, i, m[2] as nearest, m[1] as d2 from d""")
+def nearest_of_same_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``nearest_neighbours`` among positions of the same secondary structure within 8 A; proteins, whose structure is h, e, t or none."""
+    s = structures(spark, sf_dir, ss=True).where("mol_type = 'Protein'")
+    return P.nearest_positions(P.block_pairs(_queries(s), s), same_structure=True)
 
 
 @query(POSITIONS_SQL + "select sid, i, round(0.36 * x + 0.48 * y - 0.8 * z + 1, 6) as tx, round(-0.8 * x + 0.6 * y + 2, 6) as ty, round(0.48 * x + 0.64 * y + 0.6 * z - 3, 6) as tz, round(x, 6) as bx, round(y, 6) as by, round(z, 6) as bz from pos")
@@ -365,28 +346,86 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("sid", "i", *[F.round(c, 6).alias(n) for c, n in zip((*there, *back), ("tx", "ty", "tz", "bx", "by", "bz"))])
 
 
-_LINK = 0.2
-
-
-@query(
+#: Gapless hits of all pairs within coverage, and their single linkage at a TM-score of 0.07, as SQL.
+_LINKED = (
     POSITIONS_SQL
-    + f""", e as (
-  select q.sid as a, r.sid as b, round(greatest(sum(1 / (1 + {_D2} / power({_D0.format(m="q.mol", n="q.len")}, 2))) / q.len, sum(1 / (1 + {_D2} / power({_D0.format(m="r.mol", n="r.len")}, 2))) / r.len), 6) as tm
+    + f""", one as (select sid, any_value(len) as len, any_value(mol) as mol, string_agg(res, '' order by i) as seq from pos group by sid),
+e as (
+  select q.sid as a, r.sid as b, sum(1 / (1 + {_D2} / power({_D0.format(m="q.mol", n="q.len")}, 2))) / q.len as tq, sum(1 / (1 + {_D2} / power({_D0.format(m="r.mol", n="r.len")}, 2))) / r.len as tr,
+    sqrt(avg({_D2})) as rmsd, count(*) as n, q.len as ql, r.len as rl
   from pos q join pos r on q.mol = r.mol and q.i = r.i and q.sid < r.sid and greatest(q.len, r.len) * 0.7 <= least(q.len, r.len) group by q.sid, r.sid, q.len, r.len),
-l as (select a, b from e where tm >= {_LINK} union select b, a from e where tm >= {_LINK}),
-reach as (select distinct sid as a, sid as b from pos union select r.a, l.b from reach r join l on r.b = l.a)
-select a as sid, min(b) as cluster_id from reach group by a"""
+far as (select *, case when n < 0.7 * ql or n < 0.7 * rl then 1.0 else greatest(0, 1 - greatest(tq, tr)) end as dist from e),
+near as (select a, b, dist from far where dist <= 1 - 0.07),
+l as (select a, b from near union select b, a from near),
+reach as (select distinct sid as a, sid as b from pos union select r.a, l.b from reach r join l on r.b = l.a),
+named as (select a as struct_id, min(b) as cluster_id from reach group by a),
+low as (select id, min(dist) as h from (select a as id, dist from near union all select b, dist from near) group by id),
+rep as (select cluster_id, min((coalesce(h, 1e9), struct_id))[2] as rep_id, count(*) as n_members from named left join low on id = struct_id group by cluster_id),
+assigned as (select struct_id, cluster_id, rep_id, n_members from named join rep using (cluster_id))
+"""
 )
+
+
+def gapless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of all pairs within coverage, aligned place by place."""
+    s = structures(spark, sf_dir)
+    return P.gapless_hits(P.block_pairs(s, s, 0.7, each_once=True))
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(structures(spark, sf_dir), gapless(spark, sf_dir), ClusterOptions(threshold=0.07, linkage="single"))
+
+
+@query(_LINKED + "select struct_id, cluster_id, rep_id, n_members from assigned")
 def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single linkage at a fixed cut: components of the pairs that are near enough."""
-    p = positions(spark, sf_dir)
-    cols = ("sid", "i", "x", "y", "z", "mol", "len")
-    q, r = (p.select(*[F.col(c).alias(f"{s}{c}") for c in cols]) for s in "qr")
-    j = q.join(r, (F.col("qmol") == F.col("rmol")) & (F.col("qi") == F.col("ri")) & (F.col("qsid") < F.col("rsid")) & (F.greatest("qlen", "rlen") * 0.7 <= F.least("qlen", "rlen")))
-    score = lambda s: F.sum(1 / (1 + d2() / F.pow(S.d0(F.col(f"{s}len"), F.col(f"{s}mol")), 2))) / F.col(f"{s}len")
-    e = j.groupBy(F.col("qsid").alias("a"), F.col("rsid").alias("b"), "qlen", "rlen").agg(F.round(F.greatest(score("q"), score("r")), 6).alias("tm")).where(F.col("tm") >= _LINK)
-    comp = connected_components(e, "a", "b")
-    return p.where("i = 1").select("sid").join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("cluster_id"))
+    """Single linkage at a fixed cut: components of the pairs that are near enough, with representatives and sizes."""
+    return linked(spark, sf_dir)
+
+
+@query(_LINKED + "select cast(rep_id as varchar) || coalesce(' ' || string_agg(cast(struct_id as varchar), ' ' order by struct_id) filter (struct_id <> rep_id), '') as value from assigned group by cluster_id, rep_id")
+def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster list: a line each, the representative first, large clusters first."""
+    return reports.cluster_list(cluster_rows(linked(spark, sf_dir)))
+
+
+@query(
+    _LINKED
+    + """, placed as (select cluster_id, row_number() over (partition by cluster_id order by struct_id <> rep_id, struct_id) as "order", struct_id, seq from assigned join one on sid = struct_id)
+select cluster_id, "order", 0 as line_no, '>chain' || struct_id as line from placed
+union all select cluster_id, "order", cast(k + 1 as int), substr(seq, cast(k * 80 + 1 as int), 80) from placed, range(0, 2) t(k) where k * 80 < length(seq)"""
+)
+def linked_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of the same clusters, the representative first."""
+    return reports.cluster_sequences(linked(spark, sf_dir), structures(spark, sf_dir))
+
+
+@query(
+    _LINKED
+    + """select a as query_id, b as ref_id, round(case when n < 0.7 * ql or n < 0.7 * rl then 1.0 else greatest(0, 1 - greatest(tq, tr)) end, 6) as greater, round(case when n < 0.7 * ql and n < 0.7 * rl then 1.0 else 1 - tr end, 6) as refn,
+  round(case when n < 0.7 * ql or n < 0.7 * rl then 1.0 else 1 - tq end, 6) as query, round(case when n < 0.7 * ql or n < 0.7 * rl then 1.0 else 1 - 2 * tq * tr / (tq + tr) end, 6) as harmonic, round(case when n < 0.7 * ql or n < 0.7 * rl then 100.0 else rmsd end, 6) as rmsd from e"""
+)
+def cluster_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of each pair under every measure; what is aligned too little is far."""
+    of = lambda measure, name, **more: F.round(distance(ClusterOptions(threshold=0.2, measure=measure, **more)), 6).alias(name)
+    return gapless(spark, sf_dir).select("query_id", "ref_id", of("tm_greater", "greater"), of("tm_refn", "refn", one_sided=True), of("tm_query", "query"), of("tm_harmonic", "harmonic"), of("rmsd", "rmsd"))
+
+
+_SEARCH_D0 = "((case when {n} > 19 then 1.24 * cbrt({n} - 15) - 1.8 else 0.168 end) + 0.8)"
+
+
+@query(POSITIONS_SQL + f""", t as (select q.sid as q_id, r.sid as r_id, sum(1 / (1 + {_D2} / power({_SEARCH_D0.format(n="least(q.len, r.len)")}, 2))) as score, least(any_value(q.len), any_value(r.len)) as n
+  from pos q join pos r on q.mol = r.mol and q.i = r.i where {_SET} group by q.sid, r.sid) select q_id, r_id, round(score, 6) as score from t where score >= 0.1 * n""")
+def score_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that the screen by provisional score lets through."""
+    s = structures(spark, sf_dir)
+    return scored(P.total_scores(P.block_pairs(_queries(s), s)), 0.1).select("q_id", "r_id", F.round("score", 6).alias("score"))
+
+
+@query(POSITIONS_SQL + ", one as (select sid as struct_id, max(len) as length, sid // 50 as chunk from pos group by sid) select struct_id, length, chunk, cast(row_number() over (partition by chunk order by length desc, struct_id) as int) as place from one")
+def length_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures of each chunk of 50, the longest first."""
+    one = positions(spark, sf_dir).where("i = 1").select(F.col("sid").alias("struct_id"), F.col("len").alias("length"), F.floor(F.col("sid") / 50).alias("chunk"))
+    return longest_first(one, "chunk")
 
 
 @query(POSITIONS_SQL + ", s as (select sid, string_agg(res, '' order by i) as seq from pos group by sid) select sid, cast(k as int) as line_no, substr(seq, cast(k * 40 + 1 as int), 40) as line from s, range(0, 3) t(k) where k * 40 < length(seq)")
@@ -401,10 +440,17 @@ select page_id, regexp_extract(path, '[^/]*$') as name, case when regexp_matches
 )
 def input_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, formats by extension, suffix test and depth of paths."""
+    from pyspark.sql.functions import pandas_udf
+
+    from ..sources.parse import file_format, is_tar
+
+    @pandas_udf("string")
+    def kind(path: pd.Series) -> pd.Series:
+        return path.map(lambda p: "tar" if is_tar(p) else file_format(p, ReadOptions()))
+
     path = F.regexp_replace(F.coalesce("url", F.lit("")), "[?#].*$", "")
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", path.alias("path"))
-    kind = F.when(F.lower("path").rlike(r"\.(cif|mmcif)(\.gz)?$"), "cif").when(F.lower("path").rlike(r"\.(tar(\.gz)?|tgz)$"), "tar").otherwise("pdb")
-    return p.select("page_id", F.element_at(F.split("path", "/"), -1).alias("name"), kind.alias("format"), F.col("path").endswith(".html").alias("has_suffix"), (F.size(F.split("path", "/")) - 1).alias("depth"))
+    return p.select("page_id", F.element_at(F.split("path", "/"), -1).alias("name"), kind("path").alias("format"), F.col("path").endswith(".html").alias("has_suffix"), (F.size(F.split("path", "/")) - 1).alias("depth"))
 
 
 def _queries(s: DataFrame) -> DataFrame:
@@ -421,10 +467,84 @@ def aligned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_queries(s), s, _OPTIONS)
 
 
+#: Every stage of the search: the deepest grid, seeds by secondary structure, all branches, the fullest refinement.
+_DEEPEST = SearchOptions(score_threshold=0.0, pre_score=0.0, second_tm=True, refinement="full", seed_rule=0).at_speed(0)
+_COPY_D0 = lambda n: _D0.format(m="mol", n=n)
+
+
+@query(
+    POSITIONS_SQL
+    + f""", one as (select sid, any_value(len) as len, any_value(mol) as mol, string_agg(res, '' order by i) as seq from pos group by sid)
+select sid as query_id, 1000000000 + sid as ref_id, len as query_length, len - 10 as ref_length, len - 10 as n_aligned, len - 10 as n_identities, len - 10 as n_matched, 10 as n_gaps, 1 as query_from, len as query_to, 1 as refn_from,
+  len - 10 as refn_to, 1.0::double as tmscore_refn, round((len - 10) / len, 4) as tmscore_query, 0.0::double as rmsd, round({_COPY_D0("len")}, 6) as d0_query, round({_COPY_D0("(len - 10)")}, 6) as d0_refn, seq as query_aln,
+  substr(seq, 1, len // 2) || '----------' || substr(seq, len // 2 + 11) as refn_aln, '0.3600,0.4800,-0.8000,-0.8000,0.6000,0.0000,0.4800,0.6400,0.6000' as rotation, '1.0000,2.0000,-3.0000' as translation from one"""
+)
+def aligned_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every structure aligned with a moved copy of itself that lacks ten residues, by all stages of the search.
+
+    What must come out is known: each residue on itself, one gap of ten, and the transform that was applied.
+    """
+    s = structures(spark, sf_dir)
+    h = copied_hits(s, copies(s), _DEEPEST)
+    r = lambda c, n: F.round(c, n).alias(c)
+    flat = lambda c: F.array_join(F.transform(c, lambda v: F.format_string("%.4f", F.round(v, 4) + 0.0)), ",").alias(c)
+    keep = ("query_id", "ref_id", "query_length", "ref_length", "n_aligned", "n_identities", "n_matched", "n_gaps", "query_from", "query_to", "refn_from", "refn_to", "query_aln", "refn_aln")
+    return h.select(*keep, r("tmscore_refn", 4), r("tmscore_query", 4), r("rmsd", 4), r("d0_query", 6), r("d0_refn", 6), flat("rotation"), flat("translation"))
+
+
+@query(POSITIONS_SQL + "select distinct sid as query_id, 0 as wrong_scores, 0 as wrong_rmsd, 0 as wrong_counts, 1.0::double as own_score, len as own_aligned from pos where sid % 100 = 0")
+def alignment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reported alignments of the query set, worked out again from their drawings and transforms alone.
+
+    For each query the number of hits whose scores, RMSD or counts differ from what positions, drawn
+    rows, rotation and translation give; and the score and size of its alignment with itself.
+    """
+    s = structures(spark, sf_dir)
+    h = search(_queries(s), s, _OPTIONS)
+    return recomputed(h, s)
+
+
 @query()
 def alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain report of the same search as rows of text."""
-    return plain_lines(aligned_hits(spark, sf_dir).drop("rank"), n_hits=_OPTIONS.hits, n_alignments=_OPTIONS.alignments)
+    s = structures(spark, sf_dir)
+    hits = reports.described(aligned_hits(spark, sf_dir).drop("rank"), s)
+    return reports.plain_lines(hits, n_hits=_OPTIONS.hits, n_alignments=_OPTIONS.alignments, queries=_queries(s), searched=reports.Searched.of(s, ("embeddings",), threshold=_OPTIONS.score_threshold, screened=True))
+
+
+@query(
+    POSITIONS_SQL
+    + """, one as (select sid, any_value(len) as len, any_value(mol) as mol from pos group by sid), total as (select count(*) as n, sum(len - 10) as residues from one),
+heads as (select sid, unnest(['strandlake 2', '', printf(' Query (%d residues):', len), 'chain' || sid, '', ' Searched:', 'copies', '             ' || n || ' structure(s)', '             ' || residues || ' total residues']) as line,
+  unnest(range(0, 9)) as line_no from one, total)
+select sid as query_id, 0 as section, 0 as rank, cast(line_no as int) as line_no, line from heads
+union all select sid, 1, 1, 0, printf('%6d %-38s %6.4f %6.4f %5.2f %5d %9s %9s %8d', 1, 'copy' || sid, 1.0::double, (len - 10) / len, 0.0::double, len - 10, '1-' || len, '1-' || (len - 10), len - 10) from one
+union all select sid, 3, 0, k, case k when 0 then '' when 1 then 'Query length: ' || len when 2 then 'Total length of reference structures: ' || residues else 'Search space: ' || (len * residues) end from one, total, unnest([0, 1, 2, 3]) t(k)"""
+)
+def report_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head, hit table and summary of the plain reports of all structures against their copies."""
+    s = structures(spark, sf_dir)
+    c = copies(s)
+    named = s.select("struct_id", "description").unionByName(c.select("struct_id", "description"))
+    hits = reports.described(copied_hits(s, c, SearchOptions(score_threshold=0.0, pre_score=0.0).at_speed(13)), named)
+    lines = reports.plain_lines(hits, queries=s, searched=reports.Searched.of(c, ("copies",)))
+    return lines.where("section in (1, 3) or section = 0 and line_no < 9").select("query_id", "section", "rank", "line_no", "line")
+
+
+@query(POSITIONS_SQL + "select sid, any_value(mol) as mol_type, cast(count(*) as int) as length, string_agg(res, '' order by i) as seq, round(sum(x), 3) as x, round(sum(y), 3) as y, round(sum(z), 3) as z, case when sid % 2 = 0 then 'cif' else 'pdb' end as kind from pos group by sid")
+def structure_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every structure written as a file, PDB lines or a compressed mmCIF loop, and read again with the reader of files."""
+    root = files.write_structures(structures(spark, sf_dir))
+    back = files.read_structures(spark, f"{root}/pdb,{root}/pdb", least=3).unionByName(files.read_structures(spark, f"{root}/cif", ReadOptions(infmt="cif"), least=3))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda t, v: t + v), 3).alias(c)
+    return back.select(F.regexp_extract("source_path", r"sid=(\d+)", 1).cast("long").alias("sid"), "mol_type", "length", "seq", total("x"), total("y"), total("z"), F.regexp_extract("source_path", r"/(pdb|cif)/sid=", 1).alias("kind"))
+
+
+@query(ORACLE["sequence_prescreen"].removeprefix("with recursive ").replace("select q.sid as q_id, r.sid as r_id, round(greatest(0, coalesce(v, 0)), 6) as similarity", "select q.sid as q_id, r.sid as r_id, q.len as q_len, r.len as r_len") + " and greatest(0, coalesce(v, 0)) >= 10 and least(q.len, r.len) >= 40")
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the query set and all that type, length limits and the sequence pre-screen let through."""
+    s = structures(spark, sf_dir)
+    return candidate_pairs(_queries(s), s, SearchOptions(pre_similarity=10.0, min_length=40)).select("q_id", "r_id", "q_len", "r_len")
 
 
 @query()
@@ -436,12 +556,14 @@ def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON report of the same search, a document per hit."""
-    return json_lines(aligned_hits(spark, sf_dir).drop("rank"), "tm_harmonic", _OPTIONS.hits, second=True)
+    """The JSON report of the same search, as lines that are one document a query."""
+    s = structures(spark, sf_dir)
+    hits = reports.described(aligned_hits(spark, sf_dir).drop("rank"), s)
+    return reports.json_report(hits, queries=_queries(s), searched=reports.Searched.of(s, ("embeddings",), threshold=_OPTIONS.score_threshold, screened=True), which="tm_harmonic", limit=_OPTIONS.hits, second=True)
 
 
 @query()
 def cluster_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of all chains by single-linkage cluster, the representative first."""
     s = structures(spark, sf_dir)
-    return cluster_sequences(cluster(s, ClusterOptions(threshold=0.3, linkage="single"), SearchOptions(pre_score=0.1).at_speed(13)), s)
+    return reports.cluster_sequences(cluster(s, ClusterOptions(threshold=0.3, linkage="single"), SearchOptions(pre_score=0.1).at_speed(13)), s)

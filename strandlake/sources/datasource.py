@@ -1,55 +1,88 @@
-"""A Python data source: spark.read.format("structures").load(path)."""
+"""A Python data source: spark.read.format("structures").load(path).
+
+Files are listed by the driver through any file system that Arrow reaches; the members of a tar are
+found by its headers and read one by one where they lie, so an archive of any size is many partitions' work.
+"""
 
 from __future__ import annotations
 
 import os
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..options import ReadOptions
-from .parse import members, structures
+from .files import DEPTH
+from .parse import inflate, is_tar, members, structures, tar_members
 
-SCHEMA = "source_path string, member string, model string, chain string, mol_type string, length int, seq string, x array<double>, y array<double>, z array<double>, res_num array<int>, ins_code string, chain_ord array<int>"
+SCHEMA = "source_path string, member string, model string, chain string, mol_type string, length int, seq string, x array<double>, y array<double>, z array<double>, res_num array<int>, ins_code string, chain_ord array<int>, error string"
 FIELDS = [f.strip().split(" ")[0] for f in SCHEMA.split(", ")]
 
 
 class Part(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """(path, member or None, offset, size) of each piece."""
+
+    def __init__(self, pieces: list[tuple[str, str | None, int, int]]):
+        self.pieces = pieces
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
 class StructureReader(DataSourceReader):
-    """Deals files to partitions of about equal bytes, the largest first."""
+    """Deals files and tar members to partitions of about equal bytes, the largest first."""
 
-    def __init__(self, path: str, options: ReadOptions, parts: int):
-        self.path, self.options, self.parts = path, options, parts
+    def __init__(self, path: str, options: ReadOptions, parts: int, drop: bool):
+        self.path, self.options, self.parts, self.drop = path, options, parts, drop
 
     def partitions(self):
-        found = [self.path] if os.path.isfile(self.path) else [os.path.join(d, f) for d, _, fs in os.walk(self.path) for f in fs if not f.startswith(".")]
-        found = [f for f in found if not self.options.suffixes or f.endswith(self.options.suffixes)]
+        store, root = store_of(self.path)
+        if store.get_file_info(root).type == fs.FileType.File:
+            found = [store.get_file_info(root)]
+        else:
+            found = store.get_file_info(fs.FileSelector(root, recursive=True))
+        pieces: list[tuple[str, str | None, int, int]] = []
+        for f in found:
+            below = f.path[len(root) :].strip("/").split("/")
+            if f.type != fs.FileType.File or len(below) > DEPTH or any(x.startswith(".") for x in below):
+                continue
+            if self.options.suffixes and not f.path.endswith(self.options.suffixes):
+                continue
+            if f.path.lower().endswith(".tar"):
+                with store.open_input_file(f.path) as file:
+                    pieces += [(f.path, *m) for m in tar_members(file)]
+            else:
+                pieces.append((f.path, None, 0, f.size))
         parts, weight = [[] for _ in range(max(1, self.parts))], [0] * max(1, self.parts)
-        for f in sorted(found, key=lambda f: (-os.path.getsize(f), f)):
+        for piece in sorted(pieces, key=lambda p: (-p[3], p[0], p[1] or "")):
             k = weight.index(min(weight))
-            parts[k].append(f)
-            weight[k] += os.path.getsize(f)
+            parts[k].append(piece)
+            weight[k] += piece[3]
         return [Part(p) for p in parts if p] or [Part([])]
 
     def read(self, partition: Part):
-        for path in partition.paths:
-            with open(path, "rb") as f:
-                content = f.read()
-            for member, data in members(path, content):
-                try:
-                    own = structures(member or path, data, self.options)
-                except (ValueError, IndexError, KeyError):
-                    continue  # a malformed file is left out
-                for s in own:
-                    s.member = member
-                    row = s.row(self.options)
-                    yield tuple(path if c == "source_path" else row[c] for c in FIELDS)
+        store, _ = store_of(self.path)
+        for path, member, offset, size in partition.pieces:
+            with store.open_input_file(path) as f:
+                content = f.read_at(size, offset)
+            try:
+                own = [(member, inflate(content))] if member is not None else members(path, content) if is_tar(path) else [("", inflate(content))]
+                for name, data in own:
+                    for s in structures(name or path, data, self.options):
+                        s.member = name
+                        row = s.row(self.options) | {"source_path": path, "error": None}
+                        yield tuple(row[c] for c in FIELDS)
+            except (OSError, EOFError, ValueError, IndexError, KeyError) as e:
+                if not self.drop:
+                    row = {"source_path": path, "member": member or "", "error": f"{type(e).__name__}: {e}"}
+                    yield tuple(row.get(c) for c in FIELDS)
 
 
 class StructureSource(DataSource):
+    """Options: path, ter, split, hetatm, infmt, suffixes, partitions, and mode, which is ``permissive``
+    (a piece that cannot be read is a row with ``error`` set) or ``dropmalformed``."""
+
     @classmethod
     def name(cls) -> str:
         return "structures"
@@ -59,4 +92,5 @@ class StructureSource(DataSource):
 
     def reader(self, schema) -> StructureReader:
         o = self.options
-        return StructureReader(o["path"], ReadOptions(ter=int(o.get("ter", 3)), split=int(o.get("split", 0)), hetatm=o.get("hetatm", "false") == "true", infmt=o.get("infmt"), suffixes=tuple(x for x in o.get("suffixes", "").split(",") if x)), int(o.get("partitions", 8)))
+        read = ReadOptions(ter=int(o.get("ter", 3)), split=int(o.get("split", 0)), hetatm=o.get("hetatm", "false") == "true", infmt=o.get("infmt"), suffixes=tuple(x for x in o.get("suffixes", "").split(",") if x))
+        return StructureReader(o["path"], read, int(o.get("partitions", 8)), o.get("mode", "permissive").lower() == "dropmalformed")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import io
 import re
-import shlex
 import tarfile
 from dataclasses import dataclass, field
 
@@ -47,9 +46,19 @@ class Structure:
         }
 
 
+def is_tar(path: str) -> bool:
+    return re.search(r"\.tar(\.gz)?$|\.tgz$", path, re.I) is not None
+
+
+def tar_members(file) -> list[tuple[str, int, int]]:
+    """(name, offset, size) of the regular files of an uncompressed tar, by its headers alone."""
+    with tarfile.open(fileobj=file, mode="r:") as tar:
+        return [(m.name, m.offset_data, m.size) for m in tar if m.isreg() and SMALLEST_MEMBER <= m.size <= LARGEST_MEMBER]
+
+
 def members(path: str, content: bytes):
     """(member, bytes) of a file: the regular files of a tar, and gzip undone at either level."""
-    if re.search(r"\.tar(\.gz)?$|\.tgz$", path, re.I):
+    if is_tar(path):
         with tarfile.open(fileobj=io.BytesIO(inflate(content))) as tar:
             for m in tar:
                 if m.isreg() and SMALLEST_MEMBER <= m.size <= LARGEST_MEMBER:
@@ -86,35 +95,47 @@ def pdb_events(text: str, options: ReadOptions):
             yield "atom", Atom(model, line[21:22], line[17:20], int(line[22:26]), line[26:27].strip(), (float(line[30:38]), float(line[38:46]), float(line[46:54])), nucleic)
 
 
+#: A value of an mmCIF loop: quoted up to a quote before white space, or bare.
+_VALUE = re.compile(r"""'((?:[^'\n]|'(?=\S))*)'(?=\s|$)|"((?:[^"\n]|"(?=\S))*)"(?=\s|$)|(\S+)""")
+_NEEDED = (("group_PDB",), ("label_atom_id",), ("label_comp_id",), ("auth_asym_id", "label_asym_id"), ("auth_seq_id", "label_seq_id"), ("Cartn_x",), ("Cartn_y",), ("Cartn_z",))
+
+
 def cif_events(text: str, options: ReadOptions):
-    """As ``pdb_events`` for the _atom_site loop."""
+    """As ``pdb_events`` for the _atom_site loop, whose rows may be broken over lines.
+
+    Author's chains and residue numbers come first, residue names are those of the label; an alternative
+    location must be ``.`` or begin with A.
+    """
     columns: dict[str, int] = {}
-    inside, model = False, None
+    inside, model, held = False, None, []
     wanted = ("ATOM", "HETATM") if options.hetatm else ("ATOM",)
     names = (options.aatom.strip(), options.natom.strip())
     for line in text.splitlines():
         s = line.strip()
         if s == "loop_":
-            inside, columns = False, {}
+            inside, columns, held = False, {}, []
         elif s.startswith("_atom_site."):
             columns[s.split(".", 1)[1].split()[0]] = len(columns)
             inside = True
-        elif inside and s and not s.startswith(("#", "_")):
-            v = shlex.split(s) if s.count('"') >= 2 else s.split()
-            pick = lambda *keys: next((v[columns[k]] for k in keys if k in columns), "")  # noqa: E731, B023
-            if len(v) < len(columns) or pick("group_PDB") not in wanted or pick("label_alt_id") not in (".", "?", "A", "") or pick("label_atom_id") not in names:
-                continue
-            own = pick("pdbx_PDB_model_num")
-            if model not in (None, own):
-                yield "end", None
-            model = own
-            res = pick("auth_comp_id", "label_comp_id")
-            ins = pick("pdbx_PDB_ins_code")
-            xyz = tuple(float(pick(f"Cartn_{a}")) for a in "xyz")
-            nucleic = len(res) == 1 or len(res) == 2 and res[0] == "D"
-            yield "atom", Atom(own, pick("auth_asym_id", "label_asym_id"), res.rjust(3), int(pick("auth_seq_id", "label_seq_id")), "" if ins in (".", "?") else ins, xyz, nucleic)
-        elif inside and s.startswith(("#", "_")):
-            inside = False
+        elif inside and s and not s.startswith(("#", "_", "data_")):
+            if not held and len(columns) and (missing := [k for k in _NEEDED if not any(c in columns for c in k)]):
+                raise ValueError(f"_atom_site has no {missing[0][0]}")
+            held += [a or b or c for a, b, c in _VALUE.findall(s)]
+            while len(held) >= len(columns):
+                v, held = held[: len(columns)], held[len(columns) :]
+                pick = lambda *keys: next((v[columns[k]] for k in keys if k in columns), "")  # noqa: E731, B023
+                if pick("group_PDB") not in wanted or pick("label_atom_id") not in names or "label_alt_id" in columns and pick("label_alt_id")[:1] not in (".", "A"):
+                    continue
+                own = pick("pdbx_PDB_model_num")
+                if model not in (None, own):
+                    yield "end", None
+                model = own
+                res, ins, name = pick("label_comp_id"), pick("pdbx_PDB_ins_code"), pick("auth_asym_id", "label_asym_id")
+                xyz = tuple(float(pick(f"Cartn_{a}")) for a in "xyz")
+                nucleic = len(res) == 1 or len(res) == 2 and res[0] == "D"
+                yield "atom", Atom(own, " " if name == "." else name, res.rjust(3), int(pick("auth_seq_id", "label_seq_id")), "" if ins in (".", "?") else ins, xyz, nucleic)
+        elif inside and s.startswith(("#", "_", "data_")):
+            inside, held = False, []
 
 
 def structures(name: str, content: bytes, options: ReadOptions) -> list[Structure]:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.align import align_pairs, deal
 from ..operators.filters import reportable
 from ..options import ReadOptions, SearchOptions
-from ..plans.search import candidate_pairs
+from ..plans.search import aligned
 from ..sources.files import finish, parse_files
 
 
@@ -26,7 +25,6 @@ def search_arrivals(arrivals: DataFrame, queries: DataFrame, out: str, checkpoin
     options = options or SearchOptions()
 
     def batch(new: DataFrame, number: int) -> None:
-        hits = align_pairs(deal(candidate_pairs(queries, new, options)), options)
-        reportable(hits, options.score_threshold).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        reportable(aligned(queries, new, options), options.score_threshold).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -146,7 +146,7 @@ def test_a_deletion_is_one_gap_and_no_deletions_hides_it():
 
 def test_mirror_types_screen_reference_and_symmetry():
     a, s = walk(50), letters(50)
-    m = S.align_pair(S.Chain(a, s, "Protein"), S.Chain(a * [1, 1, -1], s, "Protein"), SearchOptions(pre_score=0))
+    m = S.align_pair(S.Chain(a, s, "Protein"), S.Chain(a * [1, 1, -1], s, "Protein"), SearchOptions(pre_score=0, score_threshold=0))
     assert m["tmscore_refn"] < 0.99 and np.linalg.det(np.array(m["rotation"]).reshape(3, 3)) == pytest.approx(1)
     assert S.align_pair(S.Chain(a, s, "Protein"), S.Chain(a, s, "NA"), SearchOptions()) is None
     assert S.align_pair(S.Chain(a, s, "Protein"), S.Chain(walk(45), letters(45), "Protein"), SearchOptions(pre_score=0.9)) is None
@@ -169,3 +169,100 @@ def test_options_are_checked():
     assert ClusterOptions(threshold=2, measure="rmsd").cut == 2 and ClusterOptions(threshold=0.75).cut == pytest.approx(0.25)
     with pytest.raises(ValueError):
         ReadOptions(ter=3, split=2)
+
+
+def exhaustive_score(pair):
+    """The best score over superpositions of all equally long fragments of three places and more, each aligned and improved."""
+    best = 0.0
+    q, r = pair.q, pair.r
+    for size in range(3, pair.n + 1):
+        for a in range(q.n - size + 1):
+            for b in range(r.n - size + 1):
+                rot, shift = G.superpose(q.xyz[a : a + size], r.xyz[b : b + size])
+                for _ in range(4):
+                    i, j, _ = dp.align(pair.scores_at(rot, shift), 0.0)
+                    if len(i) < 3:
+                        break
+                    best = max(best, pair.value(i, j, rot, shift)[0])
+                    v, rot, shift = pair.refine(i, j)
+                    best = max(best, v)
+    return best
+
+
+def test_search_is_near_the_exhaustive_best_on_short_chains():
+    g = np.random.default_rng(12)
+    options = SearchOptions(pre_score=0, score_threshold=0, refinement="full").at_speed(0)
+    for k in range(8):
+        a = walk(int(g.integers(8, 13)), g)
+        b = turned(a, g)[1:] + g.normal(0, 0.7, (len(a) - 1, 3)) if k % 2 else walk(int(g.integers(8, 13)), g)
+        pair = S.Pair(S.Chain(a, "A" * len(a), "Protein"), S.Chain(b, "A" * len(b), "Protein"), options)
+        assert pair.search()[0] >= 0.97 * exhaustive_score(pair)
+
+
+def test_refinement_levels_only_gain():
+    g = np.random.default_rng(13)
+    for _ in range(4):
+        a = walk(60, g)
+        b = turned(a, g) + g.normal(0, 2.5, a.shape)
+        got = [S.Pair(S.Chain(a, "A" * 60, "Protein"), S.Chain(b, "A" * 60, "Protein"), SearchOptions(pre_score=0, score_threshold=0, refinement=level)).search()[0] for level in ("one", "few", "full")]
+        assert got[0] <= got[1] + 1e-12 and got[1] <= got[2] + 1e-12
+
+
+def helices(n, g):
+    """Ideal helices with loops between them, so that secondary structure says something."""
+    t = np.arange(n)
+    x = np.column_stack([2.3 * np.cos(np.radians(100) * t), 2.3 * np.sin(np.radians(100) * t), 1.5 * t])
+    for cut in range(15, n, 20):
+        turn = np.linalg.qr(g.normal(size=(3, 3)))[0]
+        x[cut:] = (x[cut:] - x[cut]) @ turn.T + x[cut - 1] + np.array([3.8, 0, 0])
+    return x
+
+
+@pytest.mark.parametrize("rule", [0, 64, 128])
+def test_seed_rules_trigger_and_sections(rule):
+    g = np.random.default_rng(14)
+    a = helices(90, g)
+    b = turned(np.concatenate([a[:40], a[55:]]), g)
+    chains = S.Chain(a, "A" * 90, "Protein"), S.Chain(b, "A" * 75, "Protein")
+    for depth in ("deep", "high", "shallow"):
+        options = SearchOptions(pre_score=0, score_threshold=0, seed_rule=rule, depth=depth, trigger=20)
+        pair = S.Pair(*chains, options)
+        places = pair.seed_frames()
+        assert places and all(p[0] % S.rules.step_size(90, depth) == 0 and p[1] % S.rules.step_size(75, depth) == 0 for p in places)
+        assert len(S.Pair(*chains, SearchOptions(seed_rule=rule, depth=depth, trigger=100)).seed_frames()) <= len(places)
+        assert S.rules.sections(depth) == {"deep": 3, "high": 2, "shallow": 1}[depth]
+        seeds = pair.seeds()
+        assert 0 < len(seeds) <= 3 * options.nbranches and max(t[0] for t in seeds) > 0.3
+    assert S.Pair(S.Chain(a, "A" * 90, "NA", "." * 90), S.Chain(b, "A" * 75, "NA", "." * 75), SearchOptions(seed_rule=rule)).frame() == (128 if rule else 0)
+
+
+def test_index_alignment_either_way_and_in_a_window():
+    g = np.random.default_rng(15)
+    a = walk(70, g)
+    for x, y in ((a, a[10:50]), (a[10:50], a)):
+        q, r = S.Chain(x, "A" * len(x), "Protein"), S.Chain(turned(y, g), "A" * len(y), "Protein")
+        pair = S.Pair(q, r, SearchOptions())
+        i, j = (np.arange(10, 20), np.arange(10)) if len(x) > len(y) else (np.arange(10), np.arange(10, 20))
+        rot, shift = G.superpose(q.xyz[i], r.xyz[j])
+        v, i, j, *_ = pair.index_score(rot, shift, int(i[0]), int(j[0]))
+        assert v == pytest.approx(1.0) and len(i) == 40 and (i - j == i[0] - j[0]).all()
+    long = walk(600, g)
+    q, r = S.Chain(long, "A" * 600, "Protein"), S.Chain(turned(long, g), "A" * 600, "Protein")
+    rot, shift = G.superpose(q.xyz, r.xyz)
+    for window in (256, 512):
+        v, i, *_ = S.Pair(q, r, SearchOptions(window=window)).index_score(rot, shift, 300, 300)
+        assert len(i) == window and i[0] == 300 - window // 2
+
+
+def test_rules_are_those_of_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import scalar
+    from strandlake.kernels import rules
+
+    n = F.col("id").cast("int")
+    cols = [scalar.step_size(n, d) for d in ("deep", "high", "medium", "shallow")] + [scalar.seed_length(n, F.lit(500), w) for w in (0, 1)] + [scalar.seed_length(n, F.lit(500), 1, f) for f in (64, 128)] + [scalar.fragment_length(n, level) for level in range(1, 6)]
+    for r in spark.range(3, 400, 7).select("id", *[c.alias(f"c{k}") for k, c in enumerate(cols)]).collect():
+        want = [rules.step_size(r.id, d) for d in ("deep", "high", "medium", "shallow")] + [rules.seed_length(r.id, w) for w in (0, 1)] + [rules.seed_length(r.id, 1, f) for f in (64, 128)] + [rules.fragment_length(r.id, level) for level in range(1, 6)]
+        assert list(r[1:]) == want, r.id
+    assert S.similarity("ACDE" * 10, "ACDE" * 10) > 0

@@ -94,7 +94,49 @@ def test_input_list():
 def test_data_source(spark, folder):
     spark.dataSource.register(StructureSource)
     df = spark.read.format("structures").option("suffixes", ".pdb,.cif").load(str(folder))
-    assert df.where(F.col("length") == 25).count() == 3
+    assert df.where(F.col("length") == 25).count() == 2  # the folder of depth four is too deep
+    bad = df.where("error is not null").collect()
+    assert [r.source_path.rsplit("/", 1)[1] for r in bad] == ["bad.pdb"] and "ValueError" in bad[0].error
+    assert spark.read.format("structures").option("mode", "dropmalformed").load(str(folder)).where("error is not null").count() == 0
+
+
+def test_members_of_a_tar_are_partitions(spark, folder):
+    reader = StructureSource({"path": str(folder / "four.tar"), "partitions": "2"}).reader(None)
+    parts = reader.partitions()
+    assert sorted(p[1] for part in parts for p in part.pieces) == ["m/five.pdb", "six.cif.gz"] and len(parts) == 2
+    rows = [dict(zip(StructureSource.schema(None).replace(" ", "_").split(",_"), r)) for part in parts for r in reader.read(part)]
+    assert len(rows) == 2 and {r["seq_string"] for r in rows} == {"A" * 25}
+
+
+def test_rows_of_a_loop_over_lines_and_quotes():
+    whole = structures("a.cif", cif().encode(), ReadOptions())[0].row(ReadOptions())
+    broken = cif().replace(" ALA A", " ALA\n  A").replace("ATOM 3 CA", "ATOM 3 'CA'")
+    assert structures("a.cif", broken.encode(), ReadOptions())[0].row(ReadOptions()) == whole
+    assert structures("a.cif", cif().replace("ATOM 5 CA .", "ATOM 5 CA ?").encode(), ReadOptions())[0].row(ReadOptions())["length"] == 24
+    both = cif().replace("_atom_site.auth_asym_id", "_atom_site.auth_comp_id\n_atom_site.auth_asym_id").replace(" ALA A", " ALA GLY A")
+    assert structures("a.cif", both.encode(), ReadOptions())[0].row(ReadOptions())["seq"] == "A" * 25
+    with pytest.raises(ValueError, match="Cartn_z"):
+        structures("a.cif", cif().replace("_atom_site.Cartn_z\n", "").encode(), ReadOptions())
+
+
+def test_a_file_that_several_items_name_counts_once(spark, folder):
+    paths = [r.path for r in S.catalog(spark, f"{folder},{folder}/a,{folder}/one.pdb", content=False).select("path").collect()]
+    assert len(paths) == len(set(paths)) and sum(p.endswith("one.pdb") for p in paths) == 1 and any(p.endswith("deep.pdb") for p in paths)
+    plan = S.catalog(spark, f"{folder},{folder}/a")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_cache_knows_its_files_and_parameters(spark, folder, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "one.pdb").write_text(pdb())
+    cache = str(tmp_path / "cache")
+    first = S.cached_structures(spark, str(d), cache)
+    assert first.count() == 1 and len(list((tmp_path / "cache").iterdir())) == 1
+    assert S.cached_structures(spark, str(d), cache).count() == 1 and len(list((tmp_path / "cache").iterdir())) == 1
+    assert S.cached_structures(spark, str(d), cache, least=26).count() == 0
+    (d / "two.pdb").write_text(pdb())
+    assert S.cached_structures(spark, str(d), cache).count() == 2
 
 
 def test_stream_of_files(spark, folder, tmp_path):
