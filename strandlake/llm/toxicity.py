@@ -411,7 +411,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     if not fit:
         return [], []
     few = docs.sparkSession.createDataFrame([(k,) for k in fit], few.select(key).schema)
-    rows = docs.select(docs[key].alias(key), docs[text].alias("text")).join(F.broadcast(few), key).dropDuplicates([key]).collect()
+    rows = docs.select(docs[key].alias(key), docs[text].alias("text")).join(F.broadcast(few), key).groupBy(key).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()  # the least text of a repeated key
     rows.sort(key=lambda r: rank[r[key]][1])
     return [r["text"] or "" for r in rows], [rank[r[key]][0] for r in rows]
 

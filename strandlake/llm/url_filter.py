@@ -58,21 +58,28 @@ def attribute(tag: Column, name: str) -> Column:
     return value
 
 
-def resolve(base: Column, target: Column) -> Column:
-    """The address that ``target`` means on a page at ``base``; null for mail addresses, scripts and the like."""
-    here = F.concat(F.lit("x://"), host(base))
-    folder = F.coalesce(F.nullif(F.regexp_extract(path(base), "(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+def resolved(df: DataFrame, base: str, target: str) -> DataFrame:
+    """Replaces the column ``target`` by the address that it means on a page at the column ``base``.
+
+    Mail addresses, scripts and the like become null.  Each step is a projection of its own, so that
+    what one step uses several times is worked out once.
+    """
+    t = F.col(target)
+    df = df.withColumn("__host", host(F.col(base))).withColumn("__path", path(F.col(base)))
+    here = F.concat(F.lit("x://"), "__host")
+    folder = F.coalesce(F.nullif(F.regexp_extract("__path", "(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
     full = (
-        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.startswith("/"), F.concat(here, target))
-        .when(target.rlike("^(?:[?#]|$)"), F.concat(here, path(base))).otherwise(F.concat(here, folder, target))
+        F.when(t.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(t.startswith("//"), F.concat(F.lit("x:"), t)).when(t.startswith("/"), F.concat(here, t))
+        .when(t.rlike("^(?:[?#]|$)"), F.concat(here, "__path")).otherwise(F.concat(here, folder, t))
     )
+    df = df.withColumn(target, full).withColumn("__host", host(t)).withColumn("__path", path(t))
     step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
-    names = F.split(F.regexp_replace(path(full), "^/", ""), "/")
-    ends = F.when(F.element_at(names, -1).isin(".", ".."), "/").otherwise("")
-    kept = F.aggregate(names, F.array().cast("array<string>"), step)
-    plain = F.concat(F.lit("x://"), host(full), F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, ends).otherwise(""))
-    return F.when(path(full).rlike(r"(?:^|/)\.\.?(?:/|$)"), plain).otherwise(full)
+    df = df.withColumn("__names", F.when(F.col("__path").rlike(r"(?:^|/)\.\.?(?:/|$)"), F.split(F.regexp_replace("__path", "^/", ""), "/")))
+    df = df.withColumn("__kept", F.aggregate("__names", F.array().cast("array<string>"), step))
+    ends = F.when((F.size("__kept") > 0) & F.element_at("__names", -1).isin(".", ".."), "/").otherwise("")
+    plain = F.concat(F.lit("x://"), "__host", F.lit("/"), F.array_join("__kept", "/"), ends)
+    return df.withColumn(target, F.when(F.col("__names").isNotNull(), plain).otherwise(t)).drop("__host", "__path", "__names", "__kept")
 
 
 def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -85,11 +92,11 @@ def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     some = pages.where(lower.contains("canonical") | lower.contains("refresh")).select(F.col(url).alias("url"), F.col(html).alias("html"))
     bare = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b[^>]*>|\z)|<style\b.*?(?:</style\b[^>]*>|\z)", " ")
     tags = some.select("url", F.regexp_extract_all(bare, F.lit(r"(?is)(<(?:link|meta|base)\b[^>]*>)"), F.lit(1)).alias("tags"))
-    base = F.get(F.filter(F.transform("tags", lambda t: F.when(t.rlike("(?i)^<base"), attribute(t, "href")).otherwise("")), lambda v: v != ""), F.lit(0))
-    tags = tags.select("url", F.coalesce(resolve(F.col("url"), base), F.col("url")).alias("base"), F.explode("tags").alias("tag"))
-    canonical = F.when(F.lower(attribute(F.col("tag"), "rel")).rlike(r"(?:^|\s)canonical(?:\s|$)") & F.col("tag").rlike("(?i)^<link"), attribute(F.col("tag"), "href"))
-    refresh = F.when((F.lower(attribute(F.col("tag"), "http-equiv")) == "refresh") & F.col("tag").rlike("(?i)^<meta"), F.regexp_extract(attribute(F.col("tag"), "content"), r"""(?is)\burl\s*=\s*['"]?([^"'\s]+)""", 1))
-    found = tags.select("url", "base", F.coalesce(canonical, refresh).alias("to")).where("to <> ''").select("url", resolve(F.col("base"), F.col("to")).alias("to"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: attribute(t, "href")), lambda v: v != "")
+    tags = resolved(tags.withColumn("base", F.coalesce(F.get(bases, F.lit(0)), F.lit(""))), "url", "base").select("url", F.coalesce("base", "url").alias("base"), F.explode("tags").alias("tag"))
+    tags = tags.withColumn("link", F.col("tag").rlike("(?i)^<link")).withColumn("kind", F.lower(attribute(F.col("tag"), "rel"))).withColumn("equiv", F.lower(attribute(F.col("tag"), "http-equiv")))
+    tags = tags.withColumn("said", F.when(F.col("link") & F.col("kind").rlike(r"(?:^|\s)canonical(?:\s|$)"), attribute(F.col("tag"), "href")).when(~F.col("link") & (F.col("equiv") == "refresh"), F.regexp_extract(attribute(F.col("tag"), "content"), r"""(?is)\burl\s*=\s*['"]?([^"'\s]+)""", 1)))
+    found = resolved(tags.where("said <> ''").select("url", "base", F.col("said").alias("to")), "base", "to")
     return found.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), host(F.col("to")).alias("to_host"), path(F.col("to")).alias("to_path"))
 
 

@@ -170,7 +170,7 @@ def test_targets_are_resolved(spark):
         "http://x.com/en/1": "x.com/en/1", "//y.com/p": "y.com/p", "/r/s": "site.org/r/s", "d.html": "site.org/a/b/d.html", "./d": "site.org/a/b/d", "../d": "site.org/a/d", "../../../d": "site.org/d",
         "?x=2": "site.org/a/b/c.html", "#top": "site.org/a/b/c.html", "..": "site.org/a/", "e/./f/../g": "site.org/a/b/e/g", "mailto:a@b.c": None, "javascript:x": None,
     }
-    df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("full", url_filter.resolve(F.lit(base), F.col("t")))
+    df = url_filter.resolved(spark.createDataFrame([(t, t) for t in cases], "t string, full string").withColumn("base", F.lit(base)), "base", "full")
     got = {r.t: None if r.full is None else r.h + r.p for r in df.select("t", "full", url_filter.host(F.col("full")).alias("h"), url_filter.path(F.col("full")).alias("p")).collect()}
     assert got == cases
 
