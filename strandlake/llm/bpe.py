@@ -264,22 +264,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, key: str = "doc_id", text
     if token_ids:
         fields.append(T.StructField("token_ids", T.ArrayType(T.IntegerType())))
 
+    def encoded(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, sha, back, ids_out = [], [], [], []
+        for text in strings(batch.column(1)):
+            ids = c.encode(text)
+            n.append(len(ids))
+            sha.append(hashlib.sha256(c.decimal(ids).encode()).hexdigest())
+            back.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            if token_ids:
+                ids_out.append(np.array(ids, np.int32))
+        out = {"key": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+        if token_ids:
+            out["token_ids"] = pa.array(ids_out, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_pydict(out)
+
     def run(batches):
         c = shared.value
-        for whole in batches:
-            for batch in slices(whole, "text", 2_000_000):
-                n, sha, back, ids_out = [], [], [], []
-                for text in strings(batch.column(1)):
-                    ids = c.encode(text)
-                    n.append(len(ids))
-                    sha.append(hashlib.sha256(c.decimal(ids).encode()).hexdigest())
-                    back.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                    if token_ids:
-                        ids_out.append(np.array(ids, np.int32))
-                out = {"key": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
-                if token_ids:
-                    out["token_ids"] = pa.array(ids_out, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict(out)
+        try:
+            for whole in batches:
+                for batch in slices(whole, "text", 2_000_000):
+                    yield encoded(c, batch)
+        finally:
+            c.seen = {}  # the worker keeps the codec, and other stages need the room
 
     src = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return map_arrow(src, run, T.StructType(fields)).withColumnRenamed("key", key)
