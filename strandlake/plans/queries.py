@@ -16,7 +16,7 @@ from ..operators.cluster import cluster_rows, clusters, distance
 from ..operators.filters import diagonal_scores, longest_first, reportable, scored, sort_key, top_hits
 from ..options import ClusterOptions, ReadOptions, SearchOptions
 from ..sources import files, reports
-from .checks import copied_hits, recomputed
+from .checks import copied_hits, linkage_faults, recomputed
 from .fixtures import POSITIONS_SQL, copies, positions, structures
 from .search import all_pairs, candidate_pairs, cluster, search
 
@@ -405,6 +405,12 @@ def linked_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cluster_sequences(linked(spark, sf_dir), structures(spark, sf_dir))
 
 
+@query(_LINKED + "select (select count(*) from one) as structures, (select count(*) from near) > 0 as some_together, 0::bigint as apart, 0::bigint as joinable")
+def complete_linkage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete linkage of the same hits: no far pair within a cluster, and no two clusters that could still be joined."""
+    return linkage_faults(structures(spark, sf_dir), gapless(spark, sf_dir), ClusterOptions(threshold=0.07))
+
+
 @query(
     _LINKED
     + """select a as query_id, b as ref_id, round(case when n < 0.7 * ql or n < 0.7 * rl then 1.0 else greatest(0, 1 - greatest(tq, tr)) end, 6) as greater, round(case when n < 0.7 * ql and n < 0.7 * rl then 1.0 else 1 - tr end, 6) as refn,
@@ -537,6 +543,25 @@ def report_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where("section in (1, 3) or section = 0 and line_no < 9").select("query_id", "section", "rank", "line_no", "line")
 
 
+@query(
+    POSITIONS_SQL
+    + """, one as (select sid, any_value(len) as len from pos group by sid), total as (select count(*) as n, sum(len - 10) as residues from one),
+lines as (
+  select sid, 0 as section, unnest(['{"strandlake_search": {"program": "strandlake", "version": "2",', '"query": {"length": ' || len || ', "description": "chain' || sid || '"},',
+    '"database": {"entries": ["copies"], "number_of_structures": ' || n || ', "number_of_positions": ' || residues || '},', '"message": "",', '"search_summary": [']) as line, unnest(range(0, 5)) as line_no from one, total
+  union all select sid, 2, unnest(['],', '"search_results": [']), unnest(range(0, 2)) from one
+  union all select sid, 4, unnest(['],', '"search_statistics": {"query_length": ' || len || ', "total_database_length": ' || residues || ', "search_space": ' || (len * residues) || '}}}']), unnest(range(0, 2)) from one, total)
+select sid as query_id, section, cast(line_no as int) as line_no, line from lines"""
+)
+def json_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands around the hits of the JSON reports of all structures against their copies."""
+    s = structures(spark, sf_dir)
+    c = copies(s)
+    hits = copied_hits(s, c, SearchOptions(score_threshold=0.0, pre_score=0.0).at_speed(13)).withColumn("query_description", F.concat(F.lit("chain"), F.col("query_id").cast("string")))
+    lines = reports.json_report(hits, queries=s, searched=reports.Searched.of(c, ("copies",)))
+    return lines.where("section in (0, 2, 4)").select("query_id", "section", "line_no", "line")
+
+
 @query(POSITIONS_SQL + "select sid, any_value(mol) as mol_type, cast(count(*) as int) as length, string_agg(res, '' order by i) as seq, round(sum(x), 3) as x, round(sum(y), 3) as y, round(sum(z), 3) as z, case when sid % 2 = 0 then 'cif' else 'pdb' end as kind from pos group by sid")
 def structure_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every structure written as a file, PDB lines or a compressed mmCIF loop, and read again with the reader of files."""
@@ -546,6 +571,40 @@ def structure_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.regexp_extract("source_path", r"sid=(\d+)", 1).cast("long").alias("sid"), "mol_type", "length", "seq", total("x"), total("y"), total("z"), F.regexp_extract("source_path", r"/(pdb|cif)/sid=", 1).alias("kind"))
 
 
+def _packed(sid: pd.Series, text: pd.Series) -> pd.Series:
+    """Bytes of a file: compressed, in a tar beside a member too small to count, plain, or with a broken line."""
+    import gzip
+    import io
+    import tarfile
+
+    def one(k: int, t: str) -> bytes:
+        if k % 4 == 0:
+            return gzip.compress(t.encode())
+        if k % 4 == 1:
+            out = io.BytesIO()
+            with tarfile.open(fileobj=out, mode="w") as tar:
+                for name, data in ((f"m/{k}.pdb", t.encode()), ("tiny.pdb", b"x")):
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+            return out.getvalue()
+        return t.replace("ATOM      2  ", "ATOM      2  CA  ALA A   x").encode() if k % 4 == 3 else t.encode()
+
+    return pd.Series([one(k, t) for k, t in zip(sid, text)])
+
+
+@query(POSITIONS_SQL + """select sid, case when sid % 4 = 1 then 'm/' || sid || '.pdb' else '' end as member, case when sid % 4 <> 3 then any_value(mol) end as mol_type, case when sid % 4 <> 3 then cast(count(*) as int) end as length,
+  case when sid % 4 <> 3 then string_agg(res, '' order by i) end as seq, sid % 4 = 3 as failed from pos group by sid""")
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures parsed from files of all containers; a file with a broken line is a row with its error."""
+    lines = files.file_lines(structures(spark, sf_dir)).groupBy(F.col("struct_id").alias("sid"), "kind").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))  # at most 90 lines
+    text = lines.select("sid", "kind", F.concat_ws("\n", F.col("v")["value"]).alias("text"))
+    k = F.col("sid") % 4
+    name = F.concat(F.lit("/in/"), F.col("sid").cast("string"), F.when(k == 1, ".tar").when(k == 0, F.concat(F.lit("."), "kind", F.lit(".gz"))).otherwise(F.concat(F.lit("."), "kind")))
+    parsed = files.parse_files(text.select(name.alias("path"), F.pandas_udf(_packed, "binary")("sid", "text").alias("content")))
+    return parsed.select(F.regexp_extract("source_path", r"/in/(\d+)", 1).cast("long").alias("sid"), "member", "mol_type", "length", "seq", F.col("error").isNotNull().alias("failed"))
+
+
 @query(ORACLE["sequence_prescreen"].removeprefix("with recursive ").replace("select q.sid as q_id, r.sid as r_id, round(greatest(0, coalesce(v, 0)), 6) as similarity", "select q.sid as q_id, r.sid as r_id, q.len as q_len, r.len as r_len") + " and greatest(0, coalesce(v, 0)) >= 10 and least(q.len, r.len) >= 40")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the query set and all that type, length limits and the sequence pre-screen let through."""
