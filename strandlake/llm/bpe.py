@@ -177,15 +177,18 @@ class Codec:
         joins its successor, so a heap entry whose rank differs from it is out of date.
         """
         n, rank = len(piece), self.ranks.get
+        bits = n.bit_length()
+        place = (1 << bits) - 1
         end = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pair = [rank(piece[i : i + 2], -1) for i in range(n)]
-        pair[-1] = -1
-        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+        pair = [rank(piece[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
         heapify(heap)
         while heap:
-            r, i = divmod(heappop(heap), n)
-            if pair[i] != r:
+            least = heappop(heap)
+            i = least & place
+            if pair[i] != least >> bits:
                 continue
             j = end[i]
             end[i] = e = end[j]
@@ -194,14 +197,14 @@ class Codec:
                 before[e] = i
                 pair[i] = r = rank(piece[i : end[e]], -1)
                 if r >= 0:
-                    heappush(heap, r * n + i)
+                    heappush(heap, r << bits | i)
             else:
                 pair[i] = -1
             p = before[i]
             if p >= 0:
                 pair[p] = r = rank(piece[p:e], -1)
                 if r >= 0:
-                    heappush(heap, r * n + p)
+                    heappush(heap, r << bits | p)
         out, i = [], 0
         while i < n:
             e = end[i]
