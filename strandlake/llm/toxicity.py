@@ -327,6 +327,12 @@ def _presence(docs: list[np.ndarray], labels: np.ndarray, word: np.ndarray, gram
     return out
 
 
+def _summed(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of x by their group, of which none of the n is empty."""
+    order = np.argsort(at, kind="stable")
+    return np.add.reduceat(x[order], np.searchsorted(at[order], np.arange(n)))
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     """Fits a network; the same rows in the same order give the same weights."""
     y = np.array(labels, np.int64)
@@ -351,7 +357,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
         worst.append(window(i, np.argmax(running[a + n : a + n + many[i]] - running[a : a + many[i]])))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     speed = {"word": np.full(WORD_ROWS, 1e-6, np.float32), "gram": np.full(GRAM_ROWS, 1e-6, np.float32)}
-    toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    toxic, clean, names = np.flatnonzero(y == 1), np.flatnonzero(y == 0), list(vocabulary)
     for step in range(1, STEPS + 1):
         if step == STEPS // 2:  # look for each text's most suspect window again, with what is learnt
             proj = net.project(net.inputs(list(vocabulary)))
@@ -364,7 +370,6 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
         index, mask = _pack(chosen, ids)
         used, inverse = np.unique(index, return_inverse=True)
         own = [gram[ends[i] - count[i] : ends[i]] for i in used] if len(ids) else []
-        names = list(vocabulary)
         x_used = net.inputs([names[i] for i in used]) if names else np.zeros((1, DIM), np.float32)
         _, grads, dx = net.gradients(x_used[inverse.reshape(index.shape)], mask, y[pick].astype(np.float32))
         rate = 0.02 * min(1.0, 2.0 * (1 - step / (STEPS + 1)))
@@ -374,14 +379,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             s += 0.01 * (v * v - s)
             net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         if names:
-            dw = np.zeros((len(used), DIM), np.float32)
-            np.add.at(dw, inverse.reshape(-1), (dx * mask[:, :, None]).reshape(-1, DIM))
+            dw = _summed((dx * mask[:, :, None]).reshape(-1, DIM), inverse.reshape(-1), len(used))
             rows = np.concatenate([word[used], *own])
             each = np.concatenate([dw, np.repeat(dw / np.maximum(count[used], 1)[:, None], count[used], axis=0)])
             for name, part in (("word", slice(0, len(used))), ("gram", slice(len(used), None))):
                 row, at = np.unique(rows[part], return_inverse=True)
-                total = np.zeros((len(row), DIM), np.float32)
-                np.add.at(total, at, each[part])
+                total = _summed(each[part], at, len(row))
                 speed[name][row] += (total * total).mean(axis=1)
                 getattr(net, name)[row] -= 0.02 * total / np.sqrt(speed[name][row])[:, None]
     return net
