@@ -153,13 +153,13 @@ class Network:
         pooled = (a[:, :, None] * both).sum(axis=0)
         return s, a, pooled, pooled @ self.p["o"] + self.p["q"][0]
 
-    def score(self, projected: dict[str, np.ndarray], index: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    def score(self, projected: np.ndarray, index: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
         """Scores of windows: index is (T, B) rows of the projected inputs."""
-        f = self._run(projected["f"][index], mask, self.p["Uf"])
-        b = self._run(projected["b"][index[::-1]], None if mask is None else mask[::-1], self.p["Ub"])[::-1]
+        f = self._run(projected[:, : 3 * HIDDEN][index], mask, self.p["Uf"])
+        b = self._run(projected[:, 3 * HIDDEN :][index[::-1]], None if mask is None else mask[::-1], self.p["Ub"])[::-1]
         return _sigmoid(self._pool(np.concatenate([f, b], axis=2), mask)[3])
 
-    def scan(self, projected: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    def scan(self, projected: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Scores of the whole windows at each word of ids; equal to those of ``score`` but for rounding.
 
         Neighbouring windows read the same columns, so a step of a block of windows is a slice.  A
@@ -178,8 +178,9 @@ class Network:
             every, h, d = (x[: len(x) // size * n].reshape(-1, n) for x in buffers)
             zr, z, r, new, look = every[: 2 * H], every[:H], every[H : 2 * H], every[2 * H : 3 * H], every[3 * H :]
             seen = looks[:, : (ATTEND + 1) * n].reshape(WINDOW, ATTEND + 1, n)
-            for k, way in enumerate("fb"):
-                x = projected[way][ids[lo : lo + n + WINDOW - 1]].T.astype(np.float32, order="C")
+            inputs = projected[ids[lo : lo + n + WINDOW - 1]].T.astype(np.float32, order="C")
+            for k in range(2):
+                x = inputs[k * 3 * H : (k + 1) * 3 * H]
                 x[: 2 * H] *= 0.5
                 at = WINDOW - 1 if k else 0  # the first step starts from nothing: no product, no reset
                 np.tanh(x[:H, at : at + n], out=z)
@@ -214,16 +215,17 @@ class Network:
             out[lo : lo + n] = _sigmoid((e * seen[:, ATTEND]).sum(axis=0) / e.sum(axis=0) + p["q"][0])
         return out
 
-    def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        return {d: x @ self.p["W" + d] + self.p["c" + d] for d in "fb"}
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """What the gates of both directions take from inputs, side by side."""
+        return np.concatenate([x @ self.p["W" + d] + self.p["c" + d] for d in "fb"], axis=-1)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
         """Loss, gradients of the weights, and gradients of the inputs x (T, B, DIM)."""
         p, H = self.p, HIDDEN
         kept: dict[str, list] = {"f": [], "b": []}
         proj = self.project(x)
-        f = self._run(proj["f"], mask, p["Uf"], kept["f"])
-        b = self._run(proj["b"][::-1], mask[::-1], p["Ub"], kept["b"])[::-1]
+        f = self._run(proj[..., : 3 * H], mask, p["Uf"], kept["f"])
+        b = self._run(proj[::-1, :, 3 * H :], mask[::-1], p["Ub"], kept["b"])[::-1]
         both = np.concatenate([f, b], axis=2)
         s, a, pooled, logit = self._pool(both, mask)
         prob = _sigmoid(logit)
@@ -240,7 +242,7 @@ class Network:
         dboth = dboth + ds @ p["A"].T
         dx = np.zeros_like(x)
         for d, grad, m in (("f", dboth[:, :, :H], mask), ("b", dboth[::-1, :, H:], mask[::-1])):
-            U, dproj, dU = p["U" + d], np.zeros(proj[d].shape, np.float32), np.zeros_like(p["U" + d])
+            U, dproj, dU = p["U" + d], np.zeros((*mask.shape, 3 * H), np.float32), np.zeros_like(p["U" + d])
             dh = np.zeros((x.shape[1], H), np.float32)
             for t in range(len(grad) - 1, -1, -1):
                 h, z, r, n, un = kept[d][t]
@@ -276,7 +278,7 @@ class Scorer:
     def __init__(self, net: Network):
         self.net = net
         self._forget()
-        self.known = {d: np.zeros((0, 3 * HIDDEN), np.float32) for d in "fb"}
+        self.known = np.zeros((0, 6 * HIDDEN), np.float32)
 
     def _forget(self) -> None:
         self.row, self.used = defaultdict(count().__next__), 0  # numbers words in the order in which they are first asked for
@@ -288,10 +290,9 @@ class Scorer:
         ids = np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))
         if len(self.row) > at:
             self.used = len(self.row)
-            for d, x in self.net.project(self.net.inputs(list(islice(self.row, at, None)))).items():
-                if len(self.known[d]) < self.used:
-                    self.known[d] = np.concatenate([self.known[d][:at], np.empty((max(self.used, 2 * at) - at, 3 * HIDDEN), np.float32)])
-                self.known[d][at : self.used] = x
+            if len(self.known) < self.used:
+                self.known = np.concatenate([self.known[:at], np.empty((max(self.used, 2 * at) - at, 6 * HIDDEN), np.float32)])
+            self.known[at : self.used] = self.net.project(self.net.inputs(list(islice(self.row, at, None))))
         return ids
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
