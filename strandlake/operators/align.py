@@ -51,6 +51,17 @@ class Block:
         return own[low : bisect_left(own, True, key=lambda t: t[0] * coverage > length)]
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, their lists as arrays, so that a batch is never a heap of Python numbers."""
+    names = batch.schema.names
+    for k in range(batch.num_rows):
+        row = {}
+        for name, column in zip(names, batch.columns):
+            value = column[k]
+            row[name] = value.values.to_numpy(zero_copy_only=False) if pa.types.is_list(column.type) and value.is_valid else value.as_py()
+        yield row
+
+
 def chain(seq: str, mol: str, x, y, z, ss: str | None) -> Chain:
     return Chain(np.column_stack([x, y, z]), seq, mol, ss)
 
@@ -88,7 +99,7 @@ def align_against(refs: DataFrame, block: Block, options: SearchOptions, coverag
     def run(batches):
         queries = shared.value
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 rows, own = [], None
                 for _, q_id, q in queries.like(r["mol_type"], r["length"], coverage):
                     if each_once and q_id >= r["struct_id"] or options.pre_similarity and similarity(q.seq, r["seq"]) < options.pre_similarity:
@@ -112,11 +123,9 @@ def align_rows(pairs: DataFrame, options: SearchOptions) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for p in batch.to_pylist():
+            for p in rows_of(batch):
                 q, r = (chain(p[f"{s}_seq"], p[f"{s}_mol"], p[f"{s}_x"], p[f"{s}_y"], p[f"{s}_z"], p[f"{s}_ss"]) for s in "qr")
                 if hit := align_pair(q, r, options):
-                    rows.append({"query_id": p["q_id"], "ref_id": p["r_id"], **hit})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    yield pa.RecordBatch.from_pylist([{"query_id": p["q_id"], "ref_id": p["r_id"], **hit}], schema=schema)
 
     return pairs.mapInArrow(run, HITS)
