@@ -25,15 +25,21 @@ def superpose(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def superpose_weighted(q: np.ndarray, r: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As ``superpose`` for (..., n, 3) points with weights (..., n), none of which may sum to zero."""
     w = w / w.sum(axis=-1, keepdims=True)
-    cq, cr = (w[..., None] * q).sum(axis=-2), (w[..., None] * r).sum(axis=-2)
-    cov = np.swapaxes(w[..., None] * (q - cq[..., None, :]), -1, -2) @ (r - cr[..., None, :])
-    u, _, vt = np.linalg.svd(cov)
-    fix = np.ones((*cov.shape[:-2], 3))
-    fix[..., 2] = np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)
-    rot = np.swapaxes(vt, -1, -2) @ (fix[..., None] * np.swapaxes(u, -1, -2))
+    weighted = w[..., None] * q
+    cq, cr = weighted.sum(axis=-2), (w[..., None, :] @ r)[..., 0, :]
+    u, _, vt = np.linalg.svd(np.swapaxes(weighted, -1, -2) @ r - cq[..., :, None] * cr[..., None, :])
+    v = np.swapaxes(vt, -1, -2).copy()
+    v[..., 2] *= np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)[..., None]
+    rot = v @ np.swapaxes(u, -1, -2)
     return rot, cr - (rot @ cq[..., None])[..., 0]
 
 
+def between2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of paired points."""
+    d = a - b
+    return np.einsum("...i,...i->...", d, d)
+
+
 def move(points: np.ndarray, rot: np.ndarray, shift: np.ndarray) -> np.ndarray:
     return points @ np.swapaxes(rot, -1, -2) + shift[..., None, :]
 
