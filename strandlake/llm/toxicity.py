@@ -305,9 +305,10 @@ class Scorer:
         size = np.array([len(c) for c in cut], np.int64)
         begin = np.cumsum(size) - size
         whole, short = np.flatnonzero(size >= WINDOW), np.flatnonzero(size < WINDOW)
-        every = self.net.scan(self.known, ids)
+        every, at = self.net.scan(self.known, ids[np.repeat(size >= WINDOW, size)]), 0
         for i in whole:
-            out[i] = every[begin[i] : begin[i] + size[i] - WINDOW + 1].max()
+            out[i] = every[at : at + size[i] - WINDOW + 1].max()
+            at += size[i]
         for a in range(0, len(short), 2048):
             part = short[a : a + 2048]
             out[part] = self.net.score(self.known, *_pack(list(zip(begin[part], size[part])), ids))
