@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, checks, decontaminate, html_text, licences, neardup, secrets, token_counts, toxicity, url_filter, vectors
+from . import bpe, checks, decontaminate, fill_middle, html_text, licences, neardup, secrets, token_counts, toxicity, url_filter, vectors
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
     "url_aliases": url_filter.url_aliases,
 }
 
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_licence_scan": licences.oracle(),
     "op6_cross_polytope": checks.LINKS,
     "op9_decontamination": checks.LEAKS,
+    "op11_fill_in_middle": fill_middle.ORACLE,
 }
