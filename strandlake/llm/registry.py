@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, checks, decontaminate, fill_middle, html_text, licences, neardup, secrets, token_counts, toxicity, url_filter, vectors
+from . import bpe, checks, decontaminate, divergence, fill_middle, html_text, licences, neardup, secrets, token_counts, toxicity, url_filter, vectors
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_source_divergence": divergence.op12_source_divergence,
     "url_aliases": url_filter.url_aliases,
 }
 
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_cross_polytope": checks.LINKS,
     "op9_decontamination": checks.LEAKS,
     "op11_fill_in_middle": fill_middle.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
