@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, checks, decontaminate, divergence, fill_middle, html_text, licences, neardup, secrets, token_counts, toxicity, url_filter, vectors
+from . import bpe, checks, decontaminate, divergence, fill_middle, html_text, licences, neardup, repeats, secrets, token_counts, toxicity, url_filter, vectors
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_suffix_dedup": repeats.op13_suffix_dedup,
     "url_aliases": url_filter.url_aliases,
 }
 
