@@ -37,7 +37,7 @@ LEAST = 100
 #: Bytes that anchors hash; longer ones let fewer chance matches through, shorter ones lie less densely.
 GRAM = 40
 #: Bytes of text in a batch, and hashes in a bucket, on average.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 12_000_000
 BUCKET_HASHES = 1_000_000
 #: Tiles of one hash that are compared as they are; more are split by what they have in common.
 HOT_TILES = 500
@@ -74,7 +74,11 @@ class _Batch:
 
 
 def _pack(spans: list[tuple[int, int]]) -> bytes:
-    return np.array(spans, np.int64).tobytes()
+    """Spans as bytes, those that touch as one."""
+    found = np.array(sorted(spans), np.int64)
+    ends = np.maximum.accumulate(found[:, 1])
+    first = np.flatnonzero(np.append(True, found[1:, 0] > ends[:-1]))
+    return np.column_stack([found[first, 0], ends[np.append(first[1:], len(ends)) - 1]]).tobytes()
 
 
 def _dealt(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
@@ -139,7 +143,7 @@ def _tiles(dealt: DataFrame, answered: DataFrame, least: int, gram: int, buckets
                 gone.append((a, b + least))
             else:
                 seen.add(whole)
-                rows.append((key, at, data[a:at], data[at : b + least]))
+                rows.append((key, a, at, b + least))
 
         for key, at, a, b, split in zip(h[keep].view(np.int64).tolist(), place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), hot[keep].tolist()):
             if not split:
@@ -149,14 +153,15 @@ def _tiles(dealt: DataFrame, answered: DataFrame, least: int, gram: int, buckets
                 to = at - NARROW * part
                 core = xxhash.xxh64_intdigest(data[to : to + least + 1 - NARROW], part) ^ (key & (2**64 - 1))
                 tile(core - (1 << 64) if core >> 63 else core, to, max(a, to - NARROW + 1), min(b, to))
+        seen.clear()
         n = len(rows)
-        at = np.array([r[1] for r in rows], np.int64)
+        at = np.array([r[2] for r in rows], np.int64)
         row = np.searchsorted(batch.ends, at, "right")
         doc = batch.doc.take(pa.array(row))
-        out = pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.repeat(pa.scalar(number, pa.int64()), n), pa.array(at), pc.is_null(doc), pc.fill_null(doc, 0), batch.tie.take(pa.array(row)), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], schema=_TILES)
+        out = pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.repeat(pa.scalar(number, pa.int64()), n), pa.array(at), pc.is_null(doc), pc.fill_null(doc, 0), batch.tie.take(pa.array(row)), pa.array([data[a:x] for _, a, x, _ in rows], pa.binary()), pa.array([data[x:b] for _, _, x, b in rows], pa.binary())], schema=_TILES)
         if gone:
             out = pa.concat_tables([out, pa.Table.from_pylist([{"key": number, "batch": number, "at": -1, "unknown": False, "doc": 0, "tie": 0, "before": _pack(gone), "after": None}], schema=_TILES)])
-        del batch, seen, rows, gone
+        del batch, rows, gone
         give_back()
         return out
 
