@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..kernels.search import Chain, align_pair, similarity
 from ..model import HITS
 from ..options import SearchOptions
+from .allpairs import paired
 
 #: Bytes of query structures that are broadcast at once; a larger query set is searched in several blocks.
 BROADCAST_BYTES = 64_000_000
@@ -33,9 +34,9 @@ class Block:
     rows: dict[str, list[tuple[int, int, Chain]]] = field(default_factory=dict)
     size: int = 0
 
-    def add(self, r: Row) -> None:
-        self.rows.setdefault(r.mol_type, []).append((r.length, r.struct_id, chain(r.seq, r.mol_type, r.x, r.y, r.z, r.ss)))
-        self.size += POSITION_BYTES * r.length
+    def add(self, r: Row | dict) -> None:
+        self.rows.setdefault(r["mol_type"], []).append((r["length"], r["struct_id"], chain(r["seq"], r["mol_type"], r["x"], r["y"], r["z"], r["ss"])))
+        self.size += POSITION_BYTES * r["length"]
 
     def ready(self) -> Block:
         for own in self.rows.values():
@@ -114,6 +115,41 @@ def align_against(refs: DataFrame, block: Block, options: SearchOptions, coverag
     return refs.mapInArrow(run, HITS)
 
 
+def align_all(structures: DataFrame, options: SearchOptions, coverage: float) -> DataFrame:
+    """Hits of each unordered pair of structures within length coverage, once, with the smaller id as the query.
+
+    Blocks of structures meet on the executors (``allpairs``).  The same screens end a pair as in ``align_against``.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(HITS))
+    left, right = paired(structures.select(*SIDE), coverage)
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        if not one.num_rows or not other.num_rows:
+            return schema.empty_table()
+        block = Block()
+        for batch in one.to_batches():
+            for r in rows_of(batch):
+                block.add(r)
+        block.ready()
+        same, rows = one.column("i")[0] == one.column("j")[0], []
+        for batch in other.to_batches():
+            for r in rows_of(batch):
+                own, own_id = None, r["struct_id"]
+                for _, near_id, near in block.like(r["mol_type"], r["length"], coverage):
+                    if near_id == own_id or same and near_id > own_id or options.pre_similarity and similarity(near.seq, r["seq"]) < options.pre_similarity:
+                        continue
+                    own = own or chain(r["seq"], r["mol_type"], r["x"], r["y"], r["z"], r["ss"])
+                    first, hit = (near_id, align_pair(near, own, options)) if near_id < own_id else (own_id, align_pair(own, near, options))
+                    if hit:
+                        rows.append({"query_id": first, "ref_id": max(near_id, own_id), **hit})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, HITS)
+
+
 def align_rows(pairs: DataFrame, options: SearchOptions) -> DataFrame:
     """Hits of pairs that are known beforehand, a row each (q_id, r_id and, for each side, mol, seq, ss, x, y, z)."""
     from pyspark.sql.pandas.types import to_arrow_schema

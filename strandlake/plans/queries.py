@@ -12,7 +12,7 @@ from ..functions.text import identifier, middle_mark, output_name, wrapped
 from ..operators import aggregates as A
 from ..operators import pairs as P
 from ..operators import secstr
-from ..operators.cluster import cluster_rows, clusters, distance
+from ..operators.cluster import cluster_rows, clusters, distance, linkage_tree
 from ..operators.filters import diagonal_scores, longest_first, reportable, scored, sort_key, top_hits
 from ..options import ClusterOptions, ReadOptions, SearchOptions
 from ..sources import files, reports
@@ -188,10 +188,10 @@ select q.sid as q_id, r.sid as r_id, round(greatest(0, coalesce(v, 0)), 6) as si
 )
 def sequence_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best ungapped local score of the query set against all."""
-    s = structures(spark, sf_dir).select("struct_id", "mol_type", "seq")
-    q = s.where("struct_id % 100 = 0").select(F.col("struct_id").alias("q_id"), F.col("mol_type"), F.col("seq").alias("q_seq"))
-    r = s.select(F.col("struct_id").alias("r_id"), F.col("mol_type"), F.col("seq").alias("r_seq"))
-    return diagonal_scores(q.join(r, "mol_type")).select("q_id", "r_id", F.round("similarity", 6).alias("similarity"))
+    s = structures(spark, sf_dir).select("struct_id", "mol_type", "length", "seq")
+    q = s.where("struct_id % 100 = 0").select(F.col("struct_id").alias("q_id"), F.col("mol_type").alias("q_mol"), F.col("length").alias("q_len"), F.col("seq").alias("q_seq"))
+    r = s.select(F.col("struct_id").alias("r_id"), F.col("mol_type").alias("r_mol"), F.col("seq").alias("r_seq"))
+    return diagonal_scores(P.of_one_type(q, r, "q_mol", "r_mol", "q_len")).select("q_id", "r_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(POSITIONS_SQL + ", one as (select distinct sid, len, mol from pos) select a.mol, a.len as len_a, b.len as len_b, cast(count(*) as bigint) as pairs from one a join one b on a.mol = b.mol and a.sid < b.sid and greatest(a.len, b.len) * 0.7 <= least(a.len, b.len) group by a.mol, a.len, b.len")
@@ -374,8 +374,7 @@ assigned as (select struct_id, cluster_id, rep_id, n_members from named join rep
 
 def gapless(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of all pairs within coverage, aligned place by place."""
-    s = structures(spark, sf_dir)
-    return P.gapless_hits(P.block_pairs(s, s, 0.7, each_once=True))
+    return P.gapless_hits(P.self_pairs(structures(spark, sf_dir), 0.7))
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,6 +387,21 @@ def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark, sf_dir)
 
 
+@query(
+    _LINKED
+    + """, p0 as (select a, b, min(d) as d from (select a, b, dist as d from near union all select b, a, dist from near union all select sid, sid, 0 from one) group by a, b),
+"""
+    + ",\n".join(f"p{k + 1} as (select x.a, y.b, min(greatest(x.d, y.d)) as d from p{k} x join p{k} y on x.b = y.a group by x.a, y.b)" for k in range(7))
+    + """,
+joins as (select b as "from", min(d) as height from p7 where a < b group by b)
+select (select min(a) from p7 where p7.b = j."from" and p7.d <= j.height) as "into", "from", round(height, 6) as height from joins j"""
+)
+def single_linkage_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of single linkage: where each structure's cluster, named by its smallest member, is joined to which other."""
+    tree = linkage_tree(gapless(spark, sf_dir), ClusterOptions(threshold=0.07, linkage="single"))
+    return tree.select("into", "from", F.round("height", 6).alias("height"))
+
+
 @query(_LINKED + "select cast(rep_id as varchar) || coalesce(' ' || string_agg(cast(struct_id as varchar), ' ' order by struct_id) filter (struct_id <> rep_id), '') as value from assigned group by cluster_id, rep_id")
 def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster list: a line each, the representative first, large clusters first."""

@@ -1,0 +1,158 @@
+"""Components, spanning forests and linkage on shapes that are hard for them: slopes, ties, hubs, copies."""
+
+import numpy as np
+import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandlake.operators import align, allpairs, graph
+from strandlake.operators import cluster as cluster_module
+from strandlake.operators import pairs as P
+from strandlake.operators.cluster import complete_linkage, linkage_rounds
+from strandlake.options import ClusterOptions, SearchOptions
+from strandlake.plans.search import aligned, cluster
+from tests.test_operators import chains, random_edges
+
+EDGE = "a long, b long, dist double"
+
+
+def kruskal(edges):
+    """(into, from, height) by union-find over sorted edges."""
+    root, out = {}, []
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, a, b in sorted((d, min(a, b), max(a, b)) for a, b, d in edges if a != b):
+        a, b = sorted((find(a), find(b)))
+        if a != b:
+            root[b] = a
+            out.append((a, b, d))
+    return sorted(out)
+
+
+def greedy(n, near):
+    """The joins of the nearest two clusters, again and again, the pair of smaller names of equals."""
+    own, tree = {k: [k] for k in range(n)}, []
+    far = lambda a, b: max(near.get((min(i, j), max(i, j)), 99.0) for i in own[a] for j in own[b])
+    while True:
+        height, a, b = min(((far(a, b), a, b) for a in own for b in own if a < b), default=(99.0, 0, 0))
+        if height >= 99:
+            return sorted(tree)
+        tree.append((a, b, height))
+        own[a] += own.pop(b)
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.fixture
+def small_tasks(monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 14)
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+
+
+def test_a_slope_of_ids_is_one_component(spark):
+    n = 5000
+    slope = spark.range(1, n).select(F.when(F.col("id") == n - 1, 0).otherwise(F.col("id") + 1).alias("a"), "id")
+    got = graph.connected_components(slope, "a", "id")
+    assert got.count() == n and got.where("component <> 0").isEmpty()
+
+
+def test_components_by_rounds(spark, small_tasks):
+    slope = [(0, 30), *((k + 1, k) for k in range(1, 30))]
+    hub = [(100, k) for k in range(101, 111)]
+    df = spark.createDataFrame(slope + hub + [(200, 200), (30, 0)], "a long, b long")
+    got = {r.id: r.component for r in graph.connected_components(df, "a", "b").collect()}
+    assert got == {**{k: 0 for k in range(31)}, **{k: 100 for k in range(100, 111)}, 200: 200}
+
+
+def test_single_linkage_tree_in_one_task(spark):
+    g = np.random.default_rng(3)
+    edges = [(int(a), int(b), float(g.integers(1, 30))) for a, b in g.integers(-50, 150, (500, 2))] + [(5000 - k, 5001 - k, float(k % 7)) for k in range(3000)]
+    assert rows(graph.single_linkage_tree(spark.createDataFrame(edges, EDGE).repartition(3))) == kruskal(edges)
+
+
+def test_single_linkage_tree_by_rounds(spark, small_tasks):
+    g = np.random.default_rng(4)
+    edges = [(int(a), int(b), float(g.integers(1, 9))) for a, b in g.integers(0, 12, (30, 2))]
+    edges += [(k + 1, k, 1.0 + k) for k in range(100, 109)]  # each vertex's lightest edge leads to the next
+    assert rows(graph.single_linkage_tree(spark.createDataFrame(edges, EDGE).repartition(3))) == kruskal(edges)
+
+
+def test_complete_linkage_with_ties():
+    g = np.random.default_rng(5)
+    for _ in range(150):
+        n, levels, share = int(g.integers(2, 13)), int(g.integers(1, 5)), g.choice([0.5, 0.8, 1.0])
+        near = {(i, j): float(g.integers(levels)) for i in range(n) for j in range(i + 1, n) if g.random() < share}
+        assert sorted(complete_linkage([(a, b, d) for (a, b), d in near.items()])) == greedy(n, near)
+
+
+def test_complete_linkage_of_many_copies_and_of_a_slope():
+    n = 700
+    copies = complete_linkage((i, j, 0.0) for i in range(n) for j in range(i + 1, n))
+    assert copies == [(0, k, 0.0) for k in range(1, n)]
+    slope = complete_linkage((i, j, 2.0**-i) for i in range(n) for j in range(i + 1, n))
+    assert len(slope) == n - 1 and slope[0] == (n - 2, n - 1, 2.0 ** -(n - 2))
+
+
+def test_linkage_rounds_with_ties(spark):
+    g = np.random.default_rng(6)
+    near = {k: float(int(v * 2)) for k, v in random_edges(g, 8, 0.9, 2.0).items()}
+    near |= {(20 + i, 20 + j): 0.0 for i in range(4) for j in range(i + 1, 4) if (i, j) != (1, 3)}
+    got = linkage_rounds(spark.createDataFrame([(b, a, d) for (a, b), d in near.items()], EDGE))
+    assert rows(got) == greedy(24, near)
+
+
+def test_linkage_rounds_join_copies_at_once(spark, monkeypatch):
+    written = []
+    kept = cluster_module.checkpointed
+    monkeypatch.setattr(cluster_module, "checkpointed", lambda df: written.append(1) or kept(df))
+    n = 300
+    a = spark.range(n).select(F.col("id").alias("a"))
+    both = a.join(spark.range(n).select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    copies = both.select("a", "b", F.lit(0.25).alias("dist")).unionByName(spark.createDataFrame([(1000, 1001, 0.5), (1001, 1002, 0.5)], EDGE))
+    assert rows(linkage_rounds(copies)) == [(0, k, 0.25) for k in range(1, n)] + [(1000, 1001, 0.5)]
+    assert len(written) < 15  # the two first tables and six a round
+
+
+def test_all_pairs_meet_in_blocks(spark, monkeypatch):
+    s = chains(spark)
+    options = SearchOptions(pre_score=0.0, score_threshold=0.0).at_speed(13)
+    want = {(r.query_id, r.ref_id, round(r.tmscore_refn, 6), round(r.tmscore_query, 6)) for r in aligned(s, s, options, 0.7, each_once=True).collect()}
+    for positions in (4096, 90):
+        monkeypatch.setattr(allpairs, "BLOCK_POSITIONS", positions)
+        got = align.align_all(s, options, 0.7)
+        assert {(r.query_id, r.ref_id, round(r.tmscore_refn, 6), round(r.tmscore_query, 6)) for r in got.collect()} == want
+        assert {(r.q_id, r.r_id) for r in P.self_pairs(s, 0.7).collect()} == {t[:2] for t in want}
+    assert align.align_all(s.limit(0), options, 0.7).count() == 0
+
+
+def test_blocks_of_far_lengths_are_not_planned(spark, monkeypatch):
+    monkeypatch.setattr(allpairs, "BLOCK_POSITIONS", 150)
+    n = [20, 25, 28, 29, 36, 41, 52, 75, 107, 150] + [60] * 12
+    s = spark.createDataFrame([(k, "NA" if k % 4 == 3 else "Protein", v, "A" * v, None, [0.0] * v, [0.0] * v, [0.0] * v) for k, v in enumerate(n)], "struct_id long, mol_type string, length int, seq string, ss string, x array<double>, y array<double>, z array<double>")
+    want = {(a, b) for a in range(len(n)) for b in range(a + 1, len(n)) if (a % 4 == 3) == (b % 4 == 3) and max(n[a], n[b]) * 0.7 <= min(n[a], n[b])}
+    got = [(r.q_id, r.r_id) for r in P.self_pairs(s, 0.7).collect()]
+    assert set(got) == want and len(got) == len(want)
+    blocked = allpairs.in_blocks(s)
+    blocks = {r.block: (r.low, r.high) for r in blocked.groupBy("block").agg(F.min("length").alias("low"), F.max("length").alias("high")).collect()}
+    planned = [(r.i, r.j) for r in allpairs.block_pairs_of(blocked, 0.7).collect()]
+    assert len(blocks) > 8 and len(planned) < len(blocks) * (len(blocks) + 1) // 4
+    assert all(max(blocks[i][0], blocks[j][0]) * 0.7 <= min(blocks[i][1], blocks[j][1]) for i, j in planned)
+
+
+def test_clustering_brings_no_structure_to_the_driver(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("rows of a table were sent to the driver")
+
+    s = chains(spark)
+    for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    both = cluster(s, ClusterOptions(threshold=0.9, linkage="single"))
+    monkeypatch.undo()
+    assert {r.struct_id: r.cluster_id for r in both.collect()} == {10 * k + m: 10 * k for k in range(3) for m in range(2)}
