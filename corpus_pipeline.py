@@ -3,7 +3,8 @@
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents.  Run one after another, each stage is written as Parquet in the shared
 folder and read again, so a lost executor repeats one stage's tasks at most.  A run that is given a folder
-goes on after the last stage that it holds whole.
+goes on after the last stage that it holds whole.  The folder is marked with what its stages are made from: the
+files of the tables (paths, sizes and times), the stages and their code.  A run on anything else refuses it.
 
 Defined results of all stages: documents with null or empty texts are kept (they are neither toxic nor
 copies, hold no window and no secret, and encode to no tokens); null ids are kept as they are, and
@@ -13,10 +14,13 @@ stage; empty tables give empty results; other columns are handed on, whatever th
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decontaminate, neardup, secrets, toxicity
+from strandlake.llm import bpe, common, decontaminate, minhash, neardup, secrets, toxicity
 from strandlake.llm.common import finished, table, work_path
 
 
@@ -57,6 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
     """All stages over the documents of ``sf_dir``; the result reads what is kept below ``work`` (a new folder by default)."""
+    if work:
+        claim(spark, sf_dir, work)
     work = work or work_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
@@ -67,6 +73,36 @@ def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+def made_from(spark: SparkSession, sf_dir: str) -> str:
+    """A name for the files that the stages read and the code that they run."""
+    seen = hashlib.sha256(repr([name for name, _ in STAGES]).encode())
+    for module in (bpe, common, decontaminate, minhash, neardup, secrets, toxicity):
+        seen.update(inspect.getsource(module).encode())
+    for name in ("documents", "labels", "benchmark"):
+        for file in sorted(table(spark, sf_dir, name).inputFiles()):
+            at = spark._jvm.org.apache.hadoop.fs.Path(file)
+            status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+            seen.update(repr((name, file, status.getLen(), status.getModificationTime())).encode())
+    return seen.hexdigest()
+
+
+def claim(spark: SparkSession, sf_dir: str, work: str) -> None:
+    """Marks a folder with what its stages are made from; raises if it is marked otherwise, or holds stages without a mark."""
+    mark = made_from(spark, sf_dir)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{work}/MADE_FROM")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at):
+        found = spark.read.text(str(at)).first()
+        if found is None or found.value != mark:
+            raise ValueError(f"{work} holds stages of other tables or other code: clear it, or give another folder")
+        return
+    if any(finished(spark, f"{work}/{name}") for name, _ in STAGES):
+        raise ValueError(f"{work} holds stages that nothing says the origin of: clear it, or give another folder")
+    out = files.create(at, False)
+    out.write(bytearray(mark.encode()))
+    out.close()
+
+
 def clear(spark: SparkSession, work: str) -> None:
     """Deletes what a run keeps below ``work``, once its result is no longer read."""
     at = spark._jvm.org.apache.hadoop.fs.Path(work)
