@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh, map_arrow, slices, strings, table
 
-#: Elements that do not end a block (fixed values of the public standard).
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+#: Elements that do not end a block, those of formulas among them (fixed values of the public standards).
+FORMULA = frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none semantics".split())
+INLINE = FORMULA | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, and is dropped up to the end tag.
-RAW = frozenset("script style".split())
+RAW = frozenset("script style textarea".split())
 #: Elements whose content is markup, and is dropped; they do not end a block.
-DROPPED = frozenset("noscript template svg iframe object math".split())
+DROPPED = frozenset("noscript template svg iframe object select datalist annotation annotation-xml".split())
 #: A start tag on the left ends an open element on the right, up to the nearest container.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS |= {h: {"p", "h1", "h2", "h3", "h4", "h5", "h6"} for h in ("h1", "h2", "h3", "h4", "h5", "h6")}
@@ -50,13 +51,35 @@ WORD = re.compile(r"\w+")
 PATH_ROWS, WORD_ROWS = 4096, 2048
 PATH_DIM, WORD_DIM, EXTRA, HIDDEN = 16, 8, 6, 12
 INPUT = PATH_DIM + WORD_DIM + EXTRA
-PAGES, STEPS, BATCH = 1000, 320, 24
+PAGES, STEPS, BATCH = 1400, 420, 24
+
+
+#: Levels up to which a block's path is a list of its rows; of deeper ones only sums are kept.
+SHALLOW = 64
+
+
+class Level:
+    """An open element that ends blocks: its rows and the one around it, which all blocks within share."""
+
+    __slots__ = ("around", "depth", "rows")
+
+    def __init__(self, around: Level | None, rows: tuple[int, ...]):
+        self.around, self.rows, self.depth = around, rows, 1 + around.depth if around else 1
+
+
+def path_rows(level: Level | None) -> tuple[int, ...]:
+    """Rows of an element and all around it, the outermost first."""
+    found = []
+    while level:
+        found.append(level.rows)
+        level = level.around
+    return tuple(r for rows in reversed(found) for r in rows)
 
 
 class Block:
     __slots__ = ("linked", "path", "text")
 
-    def __init__(self, path: tuple[int, ...], text: str, linked: int):
+    def __init__(self, path: Level | None, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -122,28 +145,34 @@ def blocks(html: str | None) -> list[Block]:
     if not html:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[str] = []
+    levels: list[tuple[int, Level | None]] = []  # elements on the stack that end blocks
+    places: dict[str, list[int]] = {}  # where on the stack elements of a name are
     parts: list[str] = []
-    path: list[tuple[int, ...]] = [()]
+    path: list[Level | None] = [None]
     links, linked = 0, 0
-    drop = -1  # where on the stack the outermost dropped element is
-    opened: dict[str, int] = {}
+    drop = wall = -1  # where on the stack the outermost dropped element is, and the last level before it
 
     def push(name: str, rows: tuple[int, ...] = ()) -> None:
-        stack.append((name, rows))
-        opened[name] = opened.get(name, 0) + 1
+        if name not in INLINE:
+            around = levels[-1][1] if levels else None
+            levels.append((len(stack), Level(around, rows) if rows else around))
+        places.setdefault(name, []).append(len(stack))
+        stack.append(name)
 
     def pop(k: int) -> None:
-        for name, _ in stack[k:]:
-            opened[name] -= 1
+        for name in stack[k:]:
+            places[name].pop()
         del stack[k:]
+        while levels and levels[-1][0] >= k:
+            levels.pop()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(r for rows in path[0] for r in rows), text, min(linked, len(text))))
+                out.append(Block(path[0], text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -151,7 +180,7 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal linked
         if raw and drop < 0:
             if not parts:
-                path[0] = tuple(rows for _, rows in stack)
+                path[0] = levels[-1][1] if levels else None
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
@@ -167,7 +196,7 @@ def blocks(html: str | None) -> list[Block]:
             if name in DROPPED or drop >= 0:
                 if name not in VOID and not attributes.endswith("/"):
                     if drop < 0:
-                        drop = len(stack)
+                        drop, wall = len(stack), levels[-1][0] if levels else -1
                     push(name)
                 continue
             if name in INLINE:
@@ -181,21 +210,14 @@ def blocks(html: str | None) -> list[Block]:
                 continue
             flush()
             links = 0
-            for k in range(len(stack) - 1, -1, -1):  # what this start tag ends
-                if stack[k][0] in ENDS.get(name, ()):
-                    pop(k)
-                elif stack[k][0] not in INLINE:
-                    break
+            while levels and stack[levels[-1][0]] in ENDS.get(name, ()):  # what this start tag ends
+                pop(levels[-1][0])
             if name not in VOID:
                 push(name, _element(name, attributes.rstrip("/")))
         else:
-            ended = -1
-            for k in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
-                if stack[k][0] == name:
-                    ended = k
-                    break
-                if name in INLINE and stack[k][0] not in INLINE and not 0 <= drop <= k:
-                    break  # a stray inline end tag does not close blocks
+            ended = places[name][-1] if places.get(name) else -1
+            if name in INLINE and ended < (wall if drop >= 0 else levels[-1][0] if levels else -1):
+                ended = -1  # a stray inline end tag does not close blocks
             if drop >= 0 and not 0 <= ended < drop:  # within a dropped element, or its end
                 if ended >= 0:
                     pop(ended)
@@ -213,7 +235,7 @@ def blocks(html: str | None) -> list[Block]:
     return out
 
 
-def block_inputs(page: list[Block]) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
+def block_inputs(page: list[Block]) -> tuple[list[tuple[int, ...] | Level], list[list[int]], np.ndarray]:
     """Path rows, word rows and lengths of each block."""
     extra = np.zeros((len(page), EXTRA), np.float32)
     rows = []
@@ -221,7 +243,7 @@ def block_inputs(page: list[Block]) -> tuple[list[tuple[int, ...]], list[list[in
         rows.append([_row(x, WORD_ROWS) for x in WORD.findall(b.text.lower())])
         size = len(b.text)
         extra[k] = (1.0, min(np.log1p(size) / 8, 2), b.linked / size, k / max(1, len(page) - 1), size < 40, b.text[-1] in ".!?")
-    return [b.path for b in page], rows, extra
+    return [path_rows(b.path) if b.path is None or b.path.depth <= SHALLOW else b.path for b in page], rows, extra
 
 
 def _sigmoid(x):
@@ -242,8 +264,18 @@ class Labeller:
     def vectors(self, inputs) -> np.ndarray:
         paths, words, extra = inputs
         out = np.zeros((len(paths), INPUT), np.float32)
+        sums: dict[Level, np.ndarray] = {}  # of deep paths: each level adds its rows to the sum around it
         for k, (p, w) in enumerate(zip(paths, words)):
-            if p:
+            if isinstance(p, Level):
+                new, level = [], p
+                while level and level not in sums:
+                    new.append(level)
+                    level = level.around
+                total = sums[level] if level else np.zeros(PATH_DIM, np.float32)
+                for level in reversed(new):
+                    sums[level] = total = total + self.path[list(level.rows)].sum(axis=0)
+                out[k, :PATH_DIM] = total
+            elif p:
                 out[k, :PATH_DIM] = self.path[list(p)].sum(axis=0)
             if w:
                 out[k, PATH_DIM : PATH_DIM + WORD_DIM] = self.word[w].mean(axis=0)
@@ -350,6 +382,8 @@ _BESIDE = """menu nav navbar navigation header footer sidebar side ad ads advert
 notice notification alert popup modal newsletter subscribe share social related recommended comments comment reply replies discussion respond
 breadcrumb breadcrumbs pagination toolbar topbar widget login search copyright legal disclaimer masthead responses thread reviews
 feedback subnav submenu byline meta tags authorbox sharing adsense sponsorship""".split()
+#: Roles of parts that are not main text (fixed values of the public standard).
+_ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split()
 #: Those of readers' comments, whose text is most like an article's.
 _READERS = "comments comment reply replies discussion respond responses".split()
 #: Names of elements that hold whole pages or columns; they say nothing of what is in them.
@@ -394,6 +428,8 @@ def compose(g: np.random.Generator) -> tuple[str, list[bool]]:
             kind += any_of(["", "", "-box", "-wrap", " block", "-list", "-section"])
             each = {"ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}.get(tag) or any_of(["{} ", "<p>{}</p>", "<p>{}</p>", "<a href='/y'>{}</a> ", "<div>{}</div>", "<h3>{}</h3>", "<p><b>{}</b></p>", "<ul><li>{}</li></ul>", "<div class='item'><p>{}</p></div>", "<article><p>{}</p></article>"])
             a, z = f'<{tag} {any_of(["class", "class", "id"])}="{kind}">', f"</{tag}>"
+            if g.random() < 0.15:
+                a = f'<{tag} role="{any_of(_ROLES)}">'
         long, lengthy = g.random() < 0.4, g.random() < 0.1
         rows = int(g.integers(1, 8)) if not long else int(g.integers(1, 5))
         put(a + "".join(each.format(*([notice() if lengthy else prose(5, 40) if long else say()] * 2)) for _ in range(rows)) + z, False)
@@ -409,6 +445,8 @@ def compose(g: np.random.Generator) -> tuple[str, list[bool]]:
         a, z = f'<{tag} {any_of(["class", "class", "id"])}="{named(_BODY)}">', f"</{tag}>"
     if g.random() < 0.2:
         a, z = a + f'<div class="{any_of([*_SITE, *_BODY])}">', "</div>" + z
+    if g.random() < 0.1:
+        a, z = '<div role="main">', "</div>"
     out.append(a)
     if g.random() < 0.85:
         put(f"<h1>{prose(1, 12, 0.5)}</h1>", True)

@@ -169,6 +169,17 @@ def test_a_pipeline_goes_on_after_its_last_whole_stage(spark, folder, tmp_path,
     first = sorted(map(repr, corpus_pipeline.run(spark, folder, work).collect()))
     monkeypatch.setattr(corpus_pipeline.toxicity, "learn", None)  # a finished stage is not asked again
     assert sorted(map(repr, corpus_pipeline.run(spark, folder, work).collect())) == first
+    other = tmp_path / "other"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(5).write.parquet(f"{other}/{name}.parquet")
+    with pytest.raises(ValueError, match="other tables"):
+        corpus_pipeline.run(spark, str(other), work)  # never the first corpus's stages
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
+    with pytest.raises(ValueError, match="other code"):
+        corpus_pipeline.run(spark, folder, work)
+    (tmp_path / "work" / "MADE_FROM").unlink()
+    with pytest.raises(ValueError, match="origin"):
+        corpus_pipeline.run(spark, folder, work)
     corpus_pipeline.clear(spark, work)
     assert not (tmp_path / "work").exists()
 

@@ -284,6 +284,41 @@ def test_broken_tags_take_linear_time():
     assert [b.text for b in html_text.blocks('<p title="a > b">x</p><p \'>y</p><p>z')] == ["x", "y", "z"]
 
 
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    shapes = [("<b>", "<p>x"), ("", "<div>x"), ("<i><p>", "<b>", "</i>x"), ("<font>", "<p>x"), ("<a>", "<p>x"), ("<svg>", "<b>", "</i>"), ("", "<div>", "</b>"), ("", "<b><p>x")]
+    for first, *pieces in shapes:
+        seconds = []
+        for n in (15_000, 60_000):
+            page = (first * n if len(first) < 6 and len(pieces) == 1 else first) + "".join(p * n for p in pieces)
+            began = time.time()
+            html_text.Labeller().vectors(html_text.block_inputs(html_text.blocks(page)))
+            seconds.append(time.time() - began)
+        assert seconds[1] < 9 * seconds[0] + 2, (first, pieces, seconds)
+
+
+def test_deep_paths_are_sums_of_their_levels(monkeypatch):
+    page = "<main class='post body'>" + "".join(f"<div id='d{k}'>{k}" for k in range(90)) + "</div>" * 50 + "end"
+    net = html_text.Labeller()
+    deep = net.vectors(html_text.block_inputs(html_text.blocks(page)))
+    monkeypatch.setattr(html_text, "SHALLOW", 1000)
+    inputs = html_text.block_inputs(html_text.blocks(page))
+    assert len(inputs[0]) == 91 and len(inputs[0][89]) == 3 + 2 * 90 and len(inputs[0][90]) == 3 + 2 * 40
+    assert np.allclose(deep, net.vectors(inputs), atol=1e-4)
+
+
+def test_roles_fields_and_formulas():
+    said = "The valley lay quiet under snow and the river froze in the night."
+    pages = {
+        f'<div role="navigation">Home About</div><div role="main"><p>{said}</p><p>{said}</p></div><div role="contentinfo">Copyright notice</div>': f"{said}\n{said}",
+        f"<article><p>{said}</p><textarea>type <b>here</textarea><p>{said}</p><p><select><option>one<option>two</select>{said}</p></article>": "\n".join([said] * 3),
+        f"<article><p>{said}</p><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math> here.</p></article>": f"{said}\nEnergy is E=m here.",
+    }
+    cut = [html_text.blocks(h) for h in pages]
+    assert [html_text.main_text(b, m) for b, m in zip(cut, html_text.trained().label(cut))] == list(pages.values())
+
+
 def test_extraction_rows(spark):
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Head line</h1><p>First words of it.</p><p>Second &eacute;.</p></article><div class='comments'><p>I agree with this.</p></div><footer>&copy; x</footer></body></html>"
     df = spark.createDataFrame([(1, "u", page, "old"), (2, None, None, None), (3, "v", "", "o"), (3, "v", page, "o")], "page_id long, url string, html string, text string")
