@@ -53,6 +53,22 @@ def structures(spark: SparkSession, sf_dir: str, ss: bool = False) -> DataFrame:
     return g.select(F.col("sid").cast("long").alias("struct_id"), F.concat(F.lit("chain"), F.col("sid").cast("string")).alias("description"), "mol_type", "length", F.array_join(F.col("p")["res"], "").alias("seq"), whole.alias("ss"), F.col("p")["x"].alias("x"), F.col("p")["y"].alias("y"), F.col("p")["z"].alias("z"))
 
 
+#: How far apart the parts of a long chain start, and where ids of long nucleic chains begin.
+APART, LONG_NUCLEIC = 30.0, 1_000_000
+
+
+def long_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 180 to 264 positions: the four proteins of five structures in a row, and five nucleic chains, as one."""
+    s = structures(spark, sf_dir)
+    sid, nucleic = F.col("struct_id"), F.col("mol_type") == "NA"
+    own = s.withColumn("whole", F.when(nucleic, LONG_NUCLEIC + F.expr("struct_id div 25")).otherwise(F.expr("struct_id div 5")))
+    part = F.struct(sid.alias("sid"), F.when(nucleic, F.expr("struct_id div 5") % 5).otherwise(sid % 5).alias("k"), "seq", "x", "y", "z")
+    g = own.groupBy("whole").agg(F.first("mol_type").alias("mol_type"), F.sum("length").cast("int").alias("length"), F.array_sort(F.collect_list(part)).alias("p"))  # five parts at most
+    joined = lambda c, far: F.flatten(F.transform("p", lambda t: F.transform(t[c], lambda v: v + far * t["k"]))).alias(c)
+    seq = F.array_join(F.transform("p", lambda t: t["seq"]), "")
+    return g.select(F.col("whole").alias("struct_id"), F.concat(F.lit("long"), F.col("whole").cast("string")).alias("description"), "mol_type", "length", seq.alias("seq"), F.lit(None).cast("string").alias("ss"), joined("x", APART), joined("y", 0.0), joined("z", 0.0))
+
+
 #: A turn and a shift, and how many residues a copy lacks in the middle.
 TURN, SHIFT, MISSING = (0.36, 0.48, -0.8, -0.8, 0.6, 0.0, 0.48, 0.64, 0.6), (1.0, 2.0, -3.0), 10
 #: Ids of copies start here.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,11 +16,12 @@ from ..operators import pairs as P
 from ..operators import secstr
 from ..operators.cluster import cluster_rows, clusters, distance, linkage_tree
 from ..operators.filters import diagonal_scores, longest_first, reportable, scored, sort_key, top_hits
+from ..operators.graph import stored
 from ..options import ClusterOptions, ReadOptions, SearchOptions
 from ..sources import files, reports
-from .checks import copied_hits, linkage_faults, recomputed
-from .fixtures import POSITIONS_SQL, copies, positions, structures
-from .search import all_pairs, candidate_pairs, cluster, search
+from .checks import copied_hits, linkage_faults, recomputed, turned_around
+from .fixtures import LONG_NUCLEIC, POSITIONS_SQL, copies, long_structures, positions, structures
+from .search import aligned, all_pairs, candidate_pairs, cluster, search
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -530,6 +533,26 @@ def alignment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recomputed(h, s)
 
 
+#: Long chains, by all kinds of seeds: the trigger and seeds from local alignments of secondary structures, two sections.
+_LONG = SearchOptions(score_threshold=0.0, pre_score=0.0, second_tm=True, depth="high", trigger=50, seed_rule=64, search_by_ss=True, referenced=True, symmetric=True, refinement="few")
+_LONG_SQL = POSITIONS_SQL + f", long as (select case when mol = 'NA' then {LONG_NUCLEIC} + sid // 25 else sid // 5 end as id, any_value(mol) as mol, cast(count(*) as int) as len from pos group by 1) "
+
+
+@query(_LONG_SQL + "select id as query_id, 0 as wrong_scores, 0 as wrong_rmsd, 0 as wrong_counts, 1.0::double as own_score, len as own_aligned from long where id % 100 = 0")
+def long_alignment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``alignment_checks`` for chains above 150 positions, with transforms that move the reference."""
+    s = stored(long_structures(spark, sf_dir), "long")
+    return recomputed(stored(search(_queries(s), s, _LONG), "long_hits"), s)
+
+
+@query(_LONG_SQL + "select q.id as query_id, count(*) as hits, 0 as different from long q join long r on q.mol = r.mol where q.id % 100 = 0 group by q.id")
+def symmetric_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the query set with long chains, and those that differ if query and reference are swapped: none, by the option ``symmetric``."""
+    s = stored(long_structures(spark, sf_dir), "long")
+    options = replace(_LONG, depth="medium", referenced=False, search_by_ss=False)
+    return turned_around(search(_queries(s), s, options), aligned(s, _queries(s), options))
+
+
 @query()
 def alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain report of the same search as rows of text."""

@@ -266,3 +266,21 @@ def test_rules_are_those_of_the_columns(spark):
         want = [rules.step_size(r.id, d) for d in ("deep", "high", "medium", "shallow")] + [rules.seed_length(r.id, w) for w in (0, 1)] + [rules.seed_length(r.id, 1, f) for f in (64, 128)] + [rules.fragment_length(r.id, level) for level in range(1, 6)]
         assert list(r[1:]) == want, r.id
     assert S.similarity("ACDE" * 10, "ACDE" * 10) > 0
+
+
+def test_block_maxima_against_slices():
+    from strandlake.kernels.search import block_maxima
+
+    g = np.random.default_rng(31)
+    for _ in range(40):
+        n, m, size = (int(x) for x in g.integers(1, 30, 3))
+        v = g.normal(size=(n, m))
+        assert (block_maxima(v, size) == [[v[a : a + size, b : b + size].max(initial=0) for b in range(m)] for a in range(n)]).all()
+
+
+def test_symmetric_pairs_of_one_length_and_sequence():
+    g = np.random.default_rng(32)
+    a, b, s = walk(60, g), walk(60, g), letters(60, g)
+    options = SearchOptions(pre_score=0.0, score_threshold=0.0, symmetric=True).at_speed(9)
+    one, two = (S.align_pair(S.Chain(x, s, "Protein", None), S.Chain(y, s, "Protein", None), options) for x, y in ((a, b), (b, a)))
+    assert one["tmscore_query"] == pytest.approx(two["tmscore_refn"]) and one["n_aligned"] == two["n_aligned"]
