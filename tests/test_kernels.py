@@ -284,3 +284,38 @@ def test_symmetric_pairs_of_one_length_and_sequence():
     options = SearchOptions(pre_score=0.0, score_threshold=0.0, symmetric=True).at_speed(9)
     one, two = (S.align_pair(S.Chain(x, s, "Protein", None), S.Chain(y, s, "Protein", None), options) for x, y in ((a, b), (b, a)))
     assert one["tmscore_query"] == pytest.approx(two["tmscore_refn"]) and one["n_aligned"] == two["n_aligned"]
+
+
+def test_packed_alignment_is_the_same():
+    g = np.random.default_rng(33)
+    for k in range(400):
+        n, m = (int(x) for x in g.integers(1, 40, 2))
+        score = g.integers(-2, 3, (n, m)).astype(float) if k % 2 else g.normal(-0.2, 1, (n, m))
+        gap = float(g.choice([0.0, 0.6, 1.0, 2.0]))
+        rows = lambda a, b: score[a:b]  # noqa: E731, B023
+        want, got = dp.align(score, gap), dp.align_packed(rows, n, m, gap)
+        assert got[2] == want[2] and (got[0].tolist(), got[1].tolist()) == (want[0].tolist(), want[1].tolist())
+        assert dp.score_packed(rows, n, m, gap) == dp.score_only(score, gap)
+
+
+def test_long_pairs_without_whole_matrices_give_the_same_hits(monkeypatch):
+    g = np.random.default_rng(34)
+    a, b = walk(70, g), walk(55, g)
+    for options in (SearchOptions(pre_score=0.0, score_threshold=0.0).at_speed(13), SearchOptions(pre_score=0.0, score_threshold=0.0, search_by_ss=True, depth="high")):
+        hits = []
+        for cells in (10**9, 0):
+            monkeypatch.setattr(S, "WHOLE_CELLS", cells)
+            hits.append(S.align_pair(S.Chain(a, letters(70, np.random.default_rng(1)), "Protein"), S.Chain(b, letters(55, np.random.default_rng(2)), "Protein"), options))
+        assert hits[0]["query_aln"] == hits[1]["query_aln"] and hits[0]["tmscore_query"] == pytest.approx(hits[1]["tmscore_query"])
+
+
+def test_a_long_alignment_takes_half_a_byte_a_cell():
+    import tracemalloc
+
+    n, m = 3000, 6000
+    place = np.arange(m)
+    tracemalloc.start()
+    i, j, total = dp.align_packed(lambda a, b: np.where(place[None, :] == 2 * np.arange(a, b)[:, None], 1.0, -1.0), n, m, 0.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == n and (j == 2 * i).all() and most < n * m / 2 + 12_000_000
