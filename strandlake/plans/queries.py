@@ -16,7 +16,7 @@ from ..operators import pairs as P
 from ..operators import secstr
 from ..operators.cluster import cluster_rows, clusters, distance, linkage_tree
 from ..operators.filters import diagonal_scores, longest_first, reportable, scored, sort_key, top_hits
-from ..operators.graph import stored
+from ..operators.graph import folder, stored
 from ..options import ClusterOptions, ReadOptions, SearchOptions
 from ..sources import files, reports
 from .checks import copied_hits, linkage_faults, recomputed, turned_around
@@ -422,6 +422,26 @@ def linked_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cluster_sequences(linked(spark, sf_dir), structures(spark, sf_dir))
 
 
+@query(
+    _LINKED
+    + """, placed as (select cluster_id, n_members, rep_id, row_number() over (partition by cluster_id order by struct_id <> rep_id, struct_id) as place, struct_id, seq from assigned join one on sid = struct_id),
+lines as (
+  select cluster_id, place, 0 as line_no, '>chain' || struct_id as line from placed
+  union all select cluster_id, place, cast(k + 1 as int), substr(seq, cast(k * 80 + 1 as int), 80) from placed, range(0, 2) t(k) where k * 80 < length(seq)),
+listed as (select n_members, rep_id, string_agg(cast(struct_id as varchar), ' ' order by place) as line from placed group by cluster_id, n_members, rep_id)
+select 'cluster_' || cluster_id || '.fa' as file, count(*) as n_lines, md5(string_agg(line || chr(10), '' order by place, line_no)) as content from lines group by cluster_id
+union all select 'clusters.lst', count(*), md5(string_agg(line || chr(10), '' order by n_members desc, rep_id)) from listed"""
+)
+def cluster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster list and the sequences of each cluster as files, read again: lines and digest of each."""
+    at = folder(spark, "cluster-files")
+    assigned = stored(linked(spark, sf_dir), "assigned")
+    reports.write_cluster_list(cluster_rows(assigned), at)
+    reports.write_cluster_sequences(assigned, structures(spark, sf_dir), at)
+    read = spark.read.text(at, wholetext=True).withColumn("file", F.regexp_extract(F.input_file_name(), "[^/]*$", 0))
+    return read.select("file", (F.size(F.split("value", "\n")) - 1).cast("long").alias("n_lines"), F.md5("value").alias("content"))
+
+
 @query(_LINKED + "select (select count(*) from one) as structures, (select count(*) from near) > 0 as some_together, 0::bigint as apart, 0::bigint as joinable")
 def complete_linkage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete linkage of the same hits: no far pair within a cluster, and no two clusters that could still be joined."""
