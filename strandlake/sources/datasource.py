@@ -7,6 +7,7 @@ found by its headers and read one by one where they lie, so an archive of any si
 from __future__ import annotations
 
 import os
+from heapq import heappop, heappush
 
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,9 +21,9 @@ FIELDS = [f.strip().split(" ")[0] for f in SCHEMA.split(", ")]
 
 
 class Part(InputPartition):
-    """(path, member or None, offset, size) of each piece."""
+    """(path, member or None, offset, size, root) of each piece."""
 
-    def __init__(self, pieces: list[tuple[str, str | None, int, int]]):
+    def __init__(self, pieces: list[tuple[str, str | None, int, int, str]]):
         self.pieces = pieces
 
 
@@ -31,19 +32,16 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class StructureReader(DataSourceReader):
-    """Deals files and tar members to partitions of about equal bytes, the largest first."""
+    """Deals files and tar members of all roots to partitions of about equal bytes, the largest first."""
 
-    def __init__(self, path: str, options: ReadOptions, parts: int, drop: bool):
-        self.path, self.options, self.parts, self.drop = path, options, parts, drop
+    def __init__(self, roots: list[str], options: ReadOptions, parts: int, drop: bool):
+        self.roots, self.options, self.parts, self.drop = roots, options, parts, drop
 
-    def partitions(self):
-        store, root = store_of(self.path)
-        if store.get_file_info(root).type == fs.FileType.File:
-            found = [store.get_file_info(root)]
-        else:
-            found = store.get_file_info(fs.FileSelector(root, recursive=True))
-        pieces: list[tuple[str, str | None, int, int]] = []
-        for f in found:
+    def pieces(self, name: str):
+        """What a root holds; its files may be members of a tar."""
+        store, root = store_of(name)
+        one = store.get_file_info(root)
+        for f in [one] if one.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True)):
             below = f.path[len(root) :].strip("/").split("/")
             if f.type != fs.FileType.File or len(below) > DEPTH or any(x.startswith(".") for x in below):
                 continue
@@ -51,20 +49,22 @@ class StructureReader(DataSourceReader):
                 continue
             if f.path.lower().endswith(".tar"):
                 with store.open_input_file(f.path) as file:
-                    pieces += [(f.path, *m) for m in tar_members(file)]
+                    yield from ((f.path, *m, name) for m in tar_members(file))
             else:
-                pieces.append((f.path, None, 0, f.size))
-        parts, weight = [[] for _ in range(max(1, self.parts))], [0] * max(1, self.parts)
-        for piece in sorted(pieces, key=lambda p: (-p[3], p[0], p[1] or "")):
-            k = weight.index(min(weight))
-            parts[k].append(piece)
-            weight[k] += piece[3]
-        return [Part(p) for p in parts if p] or [Part([])]
+                yield f.path, None, 0, f.size, name
+
+    def partitions(self):
+        found = {(store_of(root)[0].type_name, *p[:2]): p for root in self.roots for p in self.pieces(root)}  # a file that several roots hold is read once
+        parts = [(0, k, []) for k in range(max(1, self.parts))]
+        for piece in sorted(found.values(), key=lambda p: (-p[3], p[0], p[1] or "")):
+            weight, k, own = heappop(parts)
+            own.append(piece)
+            heappush(parts, (weight + piece[3], k, own))
+        return [Part(own) for _, _, own in parts if own] or [Part([])]
 
     def read(self, partition: Part):
-        store, _ = store_of(self.path)
-        for path, member, offset, size in partition.pieces:
-            with store.open_input_file(path) as f:
+        for path, member, offset, size, root in partition.pieces:
+            with store_of(root)[0].open_input_file(path) as f:
                 content = f.read_at(size, offset)
             try:
                 own = [(member, inflate(content))] if member is not None else members(path, content) if is_tar(path) else [("", inflate(content))]
@@ -80,8 +80,9 @@ class StructureReader(DataSourceReader):
 
 
 class StructureSource(DataSource):
-    """Options: path, ter, split, hetatm, infmt, suffixes, partitions, and mode, which is ``permissive``
-    (a piece that cannot be read is a row with ``error`` set) or ``dropmalformed``."""
+    """Options: path (files or folders, separated by commas), ter, split, hetatm, infmt, suffixes, aatom and natom (which atom of a
+    residue counts, of proteins and nucleic acids), mol, partitions, and mode, which is ``permissive`` (a piece that cannot be
+    read is a row with ``error`` set) or ``dropmalformed``."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,5 +93,5 @@ class StructureSource(DataSource):
 
     def reader(self, schema) -> StructureReader:
         o = self.options
-        read = ReadOptions(ter=int(o.get("ter", 3)), split=int(o.get("split", 0)), hetatm=o.get("hetatm", "false") == "true", infmt=o.get("infmt"), suffixes=tuple(x for x in o.get("suffixes", "").split(",") if x))
-        return StructureReader(o["path"], read, int(o.get("partitions", 8)), o.get("mode", "permissive").lower() == "dropmalformed")
+        read = ReadOptions(ter=int(o.get("ter", 3)), split=int(o.get("split", 0)), hetatm=o.get("hetatm", "false") == "true", infmt=o.get("infmt"), suffixes=tuple(x for x in o.get("suffixes", "").split(",") if x), **{k: o[k] for k in ("aatom", "natom", "mol") if k in o})
+        return StructureReader([x for x in o["path"].split(",") if x], read, int(o.get("partitions", 8)), o.get("mode", "permissive").lower() == "dropmalformed")

@@ -100,6 +100,16 @@ def test_data_source(spark, folder):
     assert spark.read.format("structures").option("mode", "dropmalformed").load(str(folder)).where("error is not null").count() == 0
 
 
+def test_data_source_takes_several_roots_and_all_reading_options(spark, folder):
+    spark.dataSource.register(StructureSource)
+    twice = spark.read.format("structures").option("suffixes", ".pdb,.cif").load(f"{folder},{folder}")
+    once = spark.read.format("structures").option("suffixes", ".pdb,.cif").load(str(folder))
+    assert twice.count() == once.count() > 2
+    reader = StructureSource({"path": str(folder), "aatom": " CB ", "natom": " P  ", "mol": "NA", "hetatm": "true"}).reader(None)
+    assert reader.options == ReadOptions(aatom=" CB ", natom=" P  ", mol="NA", hetatm=True)
+    assert once.where("error is null").count() > spark.read.format("structures").option("suffixes", ".pdb,.cif").option("aatom", " XX ").load(str(folder)).where("error is null and length > 3").count()
+
+
 def test_members_of_a_tar_are_partitions(spark, folder):
     reader = StructureSource({"path": str(folder / "four.tar"), "partitions": "2"}).reader(None)
     parts = reader.partitions()
