@@ -455,7 +455,7 @@ def compose(g: np.random.Generator) -> tuple[str, list[bool]]:
     for _ in range(int(g.integers(1, 16)) if g.random() < 0.95 else int(g.integers(30, 80))):
         kind = g.random()
         text = prose(60, 300) if g.random() < 0.1 else prose(1, 60) if g.random() < 0.8 else prose(1, 4)
-        if g.random() < 0.05:  # articles use the words of notices too
+        if g.random() < 0.02:  # articles use the words of notices too
             text = f"{prose(1, 4, 0)} {any_of(_SAID)} {any_of(_SAID)}." if g.random() < 0.5 else f"{any_of(_SAID)} {any_of(_SAID)}.".capitalize()
         if kind < 0.56:
             put(f"<div>{text}</div>" if plain else f"<p>{text}</p>" if g.random() < 0.8 else f"<p>{text}", True)

@@ -259,7 +259,7 @@ PAGES = {
     "compound": (f'<html><body><main><article><h1>Flood</h1><p>{PARAGRAPH}</p><p>{SECOND}</p></article><div class="article-comments">{READERS}</div></main></body></html>', f"Flood\n{PARAGRAPH}\n{SECOND}"),
     "inner comments": (f'<html><body><article><h1>Flood</h1><p>{PARAGRAPH}</p><section id="comments"><h3>Comments</h3><div class="comment">{READERS}</div></section></article></body></html>', f"Flood\n{PARAGRAPH}"),
     "definitions": (f'<html><body><div id="wrapper"><div class="menu"><ul><li>News</li><li>Sport</li></ul></div><div id="main-content"><h1>Flood</h1><p>{PARAGRAPH}</p><dl><dt>Depth</dt><dd>Forty centimetres at the mill.</dd></dl></div><div class="sidebar"><p>Most read this week</p></div></div></body></html>', f"Flood\n{PARAGRAPH}\nDepth\nForty centimetres at the mill."),
-    "drawings": (f'<body><article><p>{PARAGRAPH}</p><svg width="1"/><p>After svg.</p><math><mi>x</mi></math><p>{SECOND}</p></article></body>', f"{PARAGRAPH}\nAfter svg.\n{SECOND}"),
+    "drawings": (f'<body><article><p>{PARAGRAPH}</p><svg width="1"/><p>After svg.</p><math><mi>x</mi></math><p>{SECOND}</p></article></body>', f"{PARAGRAPH}\nAfter svg.\nx\n{SECOND}"),
     "notice": (f'<body><div class="cookie-notice"><p>We use cookies to give you the best experience on our site and to show you adverts.</p><button>Accept</button></div><div class="post"><h2>Flood</h2><p>{PARAGRAPH}</p><blockquote>{SECOND}</blockquote><form><label>Email</label><input></form></div><div id="related-posts"><h3>Related</h3><ul><li><a href=/a>Another flood</a></li></ul></div></body>', f"Flood\n{PARAGRAPH}\n{SECOND}"),
     "nested": (f'<body><div class="page"><div class="row"><div class="col"><div class="entry-content"><div class="paragraph"><p>{PARAGRAPH}</p></div><div class="paragraph">{SECOND}</div></div></div><aside class="col"><p>Newsletter: sign up</p></aside></div></div></body>', f"{PARAGRAPH}\n{SECOND}"),
 }
