@@ -68,3 +68,13 @@ def test_reports_list_every_rank(spark, monkeypatch):
     lines = queries.alignment_report(spark, SF)
     assert [lines.where(f"section = {k}").select("rank").distinct().count() for k in (1, 2)] == [25, 25]
     assert queries.json_report(spark, SF).where("section = 3").count() == 25
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["alignment_report", "json_report", "json_frame", "report_frame"])
+def test_reports_align_once(spark, monkeypatch, name):
+    from strandlake.plans import queries
+
+    whole = queries.structures
+    monkeypatch.setattr(queries, "structures", lambda spark, sf_dir: whole(spark, sf_dir).where("struct_id < 2"))
+    assert "PythonUDF" not in (plan := entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()) and "MapInArrow" not in plan
