@@ -319,3 +319,42 @@ def test_a_long_alignment_takes_half_a_byte_a_cell():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert total == n and (j == 2 * i).all() and most < n * m / 2 + 12_000_000
+
+
+def test_pairs_together_give_what_each_gives_alone(monkeypatch):
+    g = np.random.default_rng(12)
+    chains = [S.Chain(walk(n, g), letters(n, g), "Protein") for n in (3, 24, 40, 41, 60, 7, 33)]
+    pairs = [(a, b, k) for k, (a, b) in enumerate((a, b) for a in chains for b in chains)] + [(chains[1], S.Chain(walk(20, g), "ACGU" * 5, "NA"), 49)]
+    monkeypatch.setattr(S, "SIDE_BY_SIDE_CELLS", 5_000)
+    monkeypatch.setattr(S, "TOGETHER_CELLS", 20_000)
+    for options in (SearchOptions(pre_score=0.2, score_threshold=0).at_speed(13), SearchOptions(pre_score=0, score_threshold=0, symmetric=True).at_speed(9)):
+        got = list(S.align_pairs(iter(pairs), options))
+        assert [p[2] for p, _ in got] == list(range(50)) and got[-1][1] is None
+        for (q, r, _), hit in got:
+            alone = S.align_pair(q, r, options)
+            assert (hit is None) == (alone is None) and (hit is None or hit["query_aln"] == alone["query_aln"] and hit["tmscore_query"] == pytest.approx(alone["tmscore_query"], abs=1e-9))
+
+
+def test_matrices_side_by_side():
+    g = np.random.default_rng(3)
+    for levels in (2, 1000):
+        scores = [g.integers(-levels, levels, (g.integers(1, 30), g.integers(1, 30))) / levels for _ in range(60)]
+        opens = [float(g.choice([0.0, 0.5, 0.6])) for _ in scores]
+        for s, gap, (i, j) in zip(scores, opens, S.dp.align_many(scores, opens)):
+            x, y, _ = S.dp.align(s, gap)
+            assert i.tolist() == x.tolist() and j.tolist() == y.tolist()
+        for s, gap in zip(scores, opens):
+            assert S.dp.totals(np.stack([s, -s], axis=1), gap).tolist() == [S.dp.score_only(s, gap), S.dp.score_only(-s, gap)]
+
+
+def test_rotations_of_many():
+    g = np.random.default_rng(4)
+    cov = g.normal(0, 1, (400, 3, 3)) * 10.0 ** g.integers(-6, 7, (400, 1, 1))
+    cov[:40, 2] = 0  # planar
+    cov[40:60, 1:] = 0  # collinear
+    cov[60] = 0
+    cov[61] = np.diag([1.0, 1.0, -1.0])
+    rot = G.rotations(cov)
+    assert np.allclose(np.linalg.det(rot), 1) and np.allclose(rot @ np.swapaxes(rot, 1, 2), np.eye(3))
+    gain = lambda r: np.einsum("bij,bji->b", r, cov)
+    assert np.allclose(gain(rot), gain(G._by_singular_vectors(cov)), rtol=1e-9, atol=1e-15)
