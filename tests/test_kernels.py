@@ -358,3 +358,14 @@ def test_rotations_of_many():
     assert np.allclose(np.linalg.det(rot), 1) and np.allclose(rot @ np.swapaxes(rot, 1, 2), np.eye(3))
     gain = lambda r: np.einsum("bij,bji->b", r, cov)
     assert np.allclose(gain(rot), gain(G._by_singular_vectors(cov)), rtol=1e-9, atol=1e-15)
+
+
+def test_a_copy_without_its_middle_is_found_by_diagonals():
+    # Superposed on whole diagonals this chain, of which ten positions are missing after the middle, was aligned elsewhere (19 places before).
+    x = [-2.406, 0.468, -0.006, -2.187, -5.912, -6.179, -3.944, -3.614, -3.886, -7.427, -9.29, -6.18, -8.518, -7.72, -9.156, -6.433, -2.846, -1.294, -2.635, -0.027, 1.825, 3.636, 0.276, 0.44, -0.729, -1.687, -0.382, -1.514, -1.245, -3.13, -3.948, -7.279, -4.278, -1.088, -0.898, -2.963]
+    y = [1.521, 3.941, 0.901, -1.044, -0.428, 2.381, 3.706, 2.0, 2.015, 2.804, 6.085, 4.209, 1.358, 4.979, 1.806, -0.686, -0.112, 2.878, -0.176, -0.534, -0.767, -0.135, -1.87, -2.133, -5.684, -8.442, -5.137, -3.016, -3.619, -0.373, 0.004, -0.995, 0.971, -0.993, 0.672, 3.63]
+    z = [2.517, 1.948, 4.178, 1.749, 2.184, -0.361, -3.134, 0.246, 4.036, 5.166, 5.616, 6.732, 5.816, 4.987, 3.467, 2.563, 3.676, 5.435, 7.254, 9.994, 13.305, 10.024, 9.651, 5.864, 5.185, 2.753, 1.407, 4.349, 0.607, 0.011, -3.681, -5.213, -6.467, -7.105, -10.516, -9.32]
+    points, kept = np.column_stack([x, y, z]), [k for k in range(36) if not 18 <= k < 28]
+    rot, shift = np.array([[0.36, 0.48, -0.8], [-0.8, 0.6, 0.0], [0.48, 0.64, 0.6]]), np.array([1.0, 2.0, -3.0])
+    h = S.align_pair(S.Chain(points, "GCAU" * 9, "NA"), S.Chain((points @ rot.T + shift)[kept], "".join(("GCAU" * 9)[k] for k in kept), "NA"), SearchOptions(score_threshold=0, pre_score=0).at_speed(13))
+    assert (h["n_aligned"], h["query_from"], h["query_to"], h["refn_to"]) == (26, 1, 36, 26) and h["tmscore_refn"] == pytest.approx(1, abs=1e-4) and h["rmsd"] < 1e-3
