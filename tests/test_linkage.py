@@ -156,3 +156,11 @@ def test_clustering_brings_no_structure_to_the_driver(spark, monkeypatch):
     both = cluster(s, ClusterOptions(threshold=0.9, linkage="single"))
     monkeypatch.undo()
     assert {r.struct_id: r.cluster_id for r in both.collect()} == {10 * k + m: 10 * k for k in range(3) for m in range(2)}
+
+
+def test_what_rounds_leave_is_joined_by_one_task(spark):
+    g = np.random.default_rng(5)
+    edges = [(a, b, float(g.integers(1, 9))) for a in range(9) for b in range(a + 1, 9) if g.random() < 0.9]
+    df, whole = spark.createDataFrame(edges, EDGE), complete_linkage(edges)
+    for most in (len(edges) - 1, len(edges)):  # after a round, and before any
+        assert sorted(map(tuple, linkage_rounds(df, most).collect())) == sorted(whole)
