@@ -369,3 +369,16 @@ def test_a_copy_without_its_middle_is_found_by_diagonals():
     rot, shift = np.array([[0.36, 0.48, -0.8], [-0.8, 0.6, 0.0], [0.48, 0.64, 0.6]]), np.array([1.0, 2.0, -3.0])
     h = S.align_pair(S.Chain(points, "GCAU" * 9, "NA"), S.Chain((points @ rot.T + shift)[kept], "".join(("GCAU" * 9)[k] for k in kept), "NA"), SearchOptions(score_threshold=0, pre_score=0).at_speed(13))
     assert (h["n_aligned"], h["query_from"], h["query_to"], h["refn_to"]) == (26, 1, 36, 26) and h["tmscore_refn"] == pytest.approx(1, abs=1e-4) and h["rmsd"] < 1e-3
+
+
+def test_a_whole_match_ends_the_search(monkeypatch):
+    g = np.random.default_rng(21)
+    xyz = np.cumsum(g.normal(0, 2, (50, 3)), axis=0)
+    seq = letters(50, g)
+    turn = np.array([[0.36, 0.48, -0.8], [-0.8, 0.6, 0.0], [0.48, 0.64, 0.6]])
+    keep = np.r_[0:25, 35:50]
+    q, r = S.Chain(xyz, seq, "Protein"), S.Chain((xyz @ turn.T + 3)[keep], "".join(seq[k] for k in keep), "Protein")
+    o = SearchOptions(score_threshold=0.0, pre_score=0.0, refinement="full").at_speed(0)
+    monkeypatch.setattr(S.Pair, "seeds", lambda self: pytest.fail("seeds of a pair that matches whole"))
+    hit = S.align_pair(q, r, o)
+    assert hit["n_aligned"] == 40 and hit["n_gaps"] == 10 and hit["tmscore_refn"] == pytest.approx(1, abs=1e-9) and hit["rmsd"] < 1e-6
