@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -146,11 +148,34 @@ def file_lines(structures: DataFrame) -> DataFrame:
 
 
 def write_structures(structures: DataFrame, path: str | None = None) -> str:
-    """Writes a file for each structure below ``path`` (a new place in the shared folder), in pdb/sid=<id> or, compressed, cif/sid=<id>."""
+    """Writes a file for each structure below ``path`` (a new place in the shared folder), pdb/sid=<id> or, compressed, cif/sid=<id>.
+
+    Tasks write the files themselves, each under a name of its own that it is moved from when it is whole; what is written twice is
+    the same.  So no file is moved by the driver, and no folder is made for a single file.
+    """
+    from .datasource import store_of
+
     path = path or f"{shared_folder(structures.sparkSession)}/structures-{uuid.uuid4().hex}"
-    lines = file_lines(structures).withColumnRenamed("struct_id", "sid").repartition("sid").sortWithinPartitions("sid", "n")
-    for kind, compression in (("pdb", "none"), ("cif", "gzip")):
-        lines.where(F.col("kind") == kind).select("sid", "value").write.option("compression", compression).partitionBy("sid").text(f"{path}/{kind}")
+    for kind in ("pdb", "cif"):
+        store, root = store_of(f"{path}/{kind}")
+        store.create_dir(root)
+    lines = file_lines(structures).withColumnRenamed("struct_id", "sid").repartition("sid").sortWithinPartitions("sid", "n").select("kind", "sid", "value")
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        written = 0
+        for (kind, sid), own in groupby(rows, key=lambda r: r[:2]):
+            data = "".join(f"{value}\n" for _, _, value in own).encode()
+            store, at = store_of(f"{path}/{kind}/sid={sid}.{kind}{'.gz' if kind == 'cif' else ''}")
+            folder, name = at.rsplit("/", 1)
+            part = f"{folder}/.{name}-{uuid.uuid4().hex}"  # files of such names are skipped
+            with store.open_output_stream(part, compression=None) as out:
+                out.write(gzip.compress(data, mtime=0) if kind == "cif" else data)
+            store.move(part, at)
+            written += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    lines.mapInArrow(run, "files long").agg(F.sum("files")).collect()  # one number
     return path
 
 

@@ -158,3 +158,17 @@ def test_stream_of_files(spark, folder, tmp_path):
     q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.where("tmscore_refn > 0.99").count() >= 5
+
+
+def test_structure_files_have_no_folder_of_their_own(spark, tmp_path):
+    import os
+
+    side = "struct_id long, mol_type string, seq string, x array<double>, y array<double>, z array<double>"
+    rows = [(k, "Protein", "ACD", [1.0, 2.0, 3.5 + k], [0.0, 1.0, 2.0], [-1.0, 0.0, 1.0]) for k in range(9)]
+    for _ in range(2):  # what is written again is the same
+        assert S.write_structures(spark.createDataFrame(rows, side), str(tmp_path)) == str(tmp_path)
+        assert sorted(os.listdir(tmp_path / "pdb")) == [f"sid={k}.pdb" for k in (1, 3, 5, 7)]
+        assert sorted(os.listdir(tmp_path / "cif")) == [f"sid={k}.cif.gz" for k in (0, 2, 4, 6, 8)]
+    lines = (tmp_path / "pdb" / "sid=3.pdb").read_text().split("\n")
+    assert len(lines) == 6 and lines[0].startswith("MODEL") and lines[4:] == ["TER", ""]
+    assert gzip.decompress((tmp_path / "cif" / "sid=2.cif.gz").read_bytes()).startswith(b"data_x\nloop_\n")
