@@ -325,3 +325,13 @@ def test_extraction_rows(spark):
     got = sorted((r.page_id, r.text) for r in html_text.extract(df).collect())
     want = "Head line\nFirst words of it.\nSecond é."
     assert got == [(1, want), (2, ""), (3, ""), (3, want)]
+
+
+def test_only_candidates_of_states_take_a_hyperbolic_tangent(monkeypatch):
+    net, ids = toxicity.Network(1), np.arange(400) % 50
+    projected = net.project(net.inputs([b"w%d" % k for k in range(50)]))
+    want = net.score(projected, np.stack([ids[t : t + 400 - 31] for t in range(32)]), None)
+    taken, whole = [], np.tanh
+    monkeypatch.setattr(toxicity.np, "tanh", lambda x, *a, **k: taken.append(np.size(x)) or whole(x, *a, **k))
+    assert np.allclose(net.scan(projected, ids), want, atol=1e-5)
+    assert sum(taken) == (400 - 31) * 2 * toxicity.WINDOW * toxicity.HIDDEN
