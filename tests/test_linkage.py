@@ -100,6 +100,45 @@ def test_complete_linkage_of_many_copies_and_of_a_slope():
     assert len(slope) == n - 1 and slope[0] == (n - 2, n - 1, 2.0 ** -(n - 2))
 
 
+def test_complete_joins_of_arrays():
+    from strandlake.kernels.linkage import complete_joins
+
+    g = np.random.default_rng(25)
+    for k in range(200):
+        n, levels, share = int(g.integers(2, 40)), int(g.integers(1, 9)), g.choice([0.1, 0.5, 0.8, 1.0])
+        near = {(3 * i, 3 * j): float(g.integers(levels) if k % 2 else g.random()) for i in range(n) for j in range(i + 1, n) if g.random() < share}
+        pairs = [(b, a, d) if g.random() < 0.5 else (a, b, d) for (a, b), d in near.items()]
+        got = complete_joins(*(np.array(c, t) for c, t in zip(zip(*pairs), (np.int64, np.int64, float)))) if pairs else ((), (), ())
+        assert list(zip(*got)) == complete_linkage(pairs)
+    a, b = np.triu_indices(1500, 1)
+    into, gone, height = complete_joins(a, b, np.zeros(len(a)))
+    assert not into.any() and gone.tolist() == list(range(1, 1500)) and not height.any()
+
+
+def test_components_leave_their_rounds_for_one_task(spark, monkeypatch):
+    written = []
+    kept = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: written.append(1) or kept(df))
+    monkeypatch.setattr(graph, "TASK_EDGES", 200)
+    a = spark.range(40).select(F.col("id").alias("a"))
+    df = a.join(spark.range(40).select(F.col("id").alias("b")), F.expr("a < b and a % 2 = b % 2"))  # 380 edges, of which 38 are needed
+    assert {(r.id, r.component) for r in graph.connected_components(df, "a", "b").collect()} == {(k, k % 2) for k in range(40)}
+    assert len(written) <= 6
+
+
+def test_linkage_faults_scores_pairs_once(spark, monkeypatch):
+    from strandlake.plans import checks
+
+    asked = []
+    kept = checks.edges
+    for module in (checks, cluster_module):
+        monkeypatch.setattr(module, "edges", lambda *a: asked.append(1) or kept(*a))
+    s = spark.range(6).select(F.col("id").alias("struct_id"))
+    hit = "query_id long, ref_id long, query_length int, ref_length int, tmscore_refn double, tmscore_query double, rmsd double, n_aligned int"
+    hits = spark.createDataFrame([(a, b, 10, 10, 0.9, 0.9, 1.0, 10) for a, b in ((0, 1), (0, 2), (1, 2), (4, 5))], hit)
+    assert tuple(checks.linkage_faults(s, hits, ClusterOptions()).first()) == (6, True, 0, 0) and len(asked) == 1
+
+
 def test_linkage_rounds_with_ties(spark):
     g = np.random.default_rng(6)
     near = {k: float(int(v * 2)) for k, v in random_edges(g, 8, 0.9, 2.0).items()}
