@@ -382,3 +382,20 @@ def test_a_whole_match_ends_the_search(monkeypatch):
     monkeypatch.setattr(S.Pair, "seeds", lambda self: pytest.fail("seeds of a pair that matches whole"))
     hit = S.align_pair(q, r, o)
     assert hit["n_aligned"] == 40 and hit["n_gaps"] == 10 and hit["tmscore_refn"] == pytest.approx(1, abs=1e-9) and hit["rmsd"] < 1e-6
+
+
+def test_terms_of_a_pair_are_products_of_its_sides(monkeypatch):
+    g = np.random.default_rng(41)
+    q, r = S.Chain(g.normal(0, 9, (31, 3)), "A" * 31, "Protein"), S.Chain(g.normal(0, 9, (24, 3)), "A" * 24, "Protein")
+    pair = S.Pair(q, r, SearchOptions())
+    for shape in ((19,), (7, 19)):
+        i, j = g.integers(0, 31, shape), g.integers(0, 24, shape)
+        a, b = q.xyz[i] - q.middle, r.xyz[j] - r.middle
+        terms, squares = pair.terms(i, j)
+        want = np.concatenate([np.ones((*shape, 1)), a, b, (a[..., :, None] * b[..., None, :]).reshape(*shape, 9)], axis=-1)
+        assert (terms == want).all() and (squares == (a * a).sum(-1) + (b * b).sum(-1)).all()
+    made = []
+    whole = S.np.repeat
+    monkeypatch.setattr(S.np, "repeat", lambda *a, **k: made.append(1) or whole(*a, **k))
+    S.align_pair(q, S.Chain(q.xyz[4:28] + g.normal(0, 0.5, (24, 3)), "A" * 24, "Protein"), SearchOptions(score_threshold=0.0, pre_score=0.0).at_speed(13))
+    assert len(made) == 1  # what the positions bring is worked out once, for all stages and final scores
